@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import decontam, line_dedup, sharding
+import public_tokenizers
+
+from corpusflow.llm import audio, decontam, line_dedup, packing, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,5 +31,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(docs, _table(spark, sf_dir, "benchmark"), words=5, threshold=0.8)
 
 
-QUERIES = {"op2_line_dedup": op2_line_dedup, "op6_sharding": op6_sharding, "op10_decontamination": op10_decontamination}
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    out = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), window=4096, end_id=2)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.counted(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.texts_as_audio(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op9_media_columns": op9_media_columns, "op4_packing": op4_packing, "op8_token_counts": op8_token_counts, "op2_line_dedup": op2_line_dedup, "op6_sharding": op6_sharding, "op10_decontamination": op10_decontamination}
 ORACLE_SQL: dict[str, str] = {}
