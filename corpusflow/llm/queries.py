@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from corpusflow.llm import audio, decontam, line_dedup, packing, sharding, token_counts
+from corpusflow.llm import audio, decontam, line_dedup, minhash, packing, sharding, token_counts, warc_zip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,5 +46,16 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.texts_as_audio(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_media_columns": op9_media_columns, "op4_packing": op4_packing, "op8_token_counts": op8_token_counts, "op2_line_dedup": op2_line_dedup, "op6_sharding": op6_sharding, "op10_decontamination": op10_decontamination}
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc_zip.write_packages(_table(spark, sf_dir, "pages"), min_revisit_bytes=0)
+    records = warc_zip.read_packages(manifest)
+    return records.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs, words=4, percent=80).drop("row")
+
+
+QUERIES = {"op5_warc": op5_warc, "op7_minhash": op7_minhash, "op9_media_columns": op9_media_columns, "op4_packing": op4_packing, "op8_token_counts": op8_token_counts, "op2_line_dedup": op2_line_dedup, "op6_sharding": op6_sharding, "op10_decontamination": op10_decontamination}
 ORACLE_SQL: dict[str, str] = {}
