@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from corpusflow.llm import audio, decontam, line_dedup, minhash, packing, sharding, token_counts, warc_zip
+from corpusflow.llm import audio, decontam, language_id, license_scan, line_dedup, minhash, packing, sharding, token_counts, warc_zip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,5 +57,34 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(docs, words=4, percent=80).drop("row")
 
 
-QUERIES = {"op5_warc": op5_warc, "op7_minhash": op7_minhash, "op9_media_columns": op9_media_columns, "op4_packing": op4_packing, "op8_token_counts": op8_token_counts, "op2_line_dedup": op2_line_dedup, "op6_sharding": op6_sharding, "op10_decontamination": op10_decontamination}
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return license_scan.scan(docs.select("doc_id", "text", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path")))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    out = language_id.identify(docs, language_id.fit_on(docs), host="source")
+    return out.select("doc_id", "lang_id", "lang_posterior", "lang_accepted")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    "op1_license_scan": op1_license_scan,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_language_id": op3_language_id,
+    "op4_packing": op4_packing,
+    "op5_warc": op5_warc,
+    "op6_sharding": op6_sharding,
+    "op7_minhash": op7_minhash,
+    "op8_token_counts": op8_token_counts,
+    "op9_media_columns": op9_media_columns,
+    "op10_decontamination": op10_decontamination,
+    "pipeline": pipeline,
+}
 ORACLE_SQL: dict[str, str] = {}
