@@ -12,6 +12,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusflow.functions.text import ENCLOSED, INVISIBLE, LATIN, LOOKALIKES, OPENED
 
@@ -20,7 +21,7 @@ PLAIN_WORDS = set("the and that ignore previous instructions system prompt secre
 # International Morse code, and digits and signs that stand for letters.
 MORSE = dict(zip(".- -... -.-. -.. . ..-. --. .... .. .--- -.- .-.. -- -. --- .--. --.- .-. ... - ..- ...- .-- -..- -.-- --.. ----- .---- ..--- ...-- ....- ..... -.... --... ---.. ----.".split(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", strict=True))
 LEET = str.maketrans("0134578@$!", "oieastbasi")
-SCHEMA = "canonical string, transforms array<string>, signals map<string,int>"
+SCHEMA = T.StructType([T.StructField("canonical", T.StringType()), T.StructField("transforms", T.ArrayType(T.StringType())), T.StructField("signals", T.MapType(T.StringType(), T.IntegerType()))])
 
 _HIDDEN = re.compile(f"[{INVISIBLE}]")
 _FOLD = str.maketrans(LOOKALIKES, LATIN)

@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SKIP = {"script", "style", "nav", "footer", "noscript", "template"}
 _BREAKS = {"p", "div", "section", "article", "ul", "ol", "table", "tr", "blockquote", "pre"}
@@ -63,7 +64,7 @@ def to_markdown(html: str | None) -> str:
     return "\n\n".join(blocks)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _markdown(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for pages in batches:
         yield pages.map(to_markdown)

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Types and their patterns, in the order in which they are applied. Group 1 keeps what stands before.
 PATTERNS = {
@@ -31,7 +32,7 @@ PATTERNS = {
 SITE_TYPES = ["EMAIL_ADDRESS", "PHONE_NUMBER", "CREDIT_CARD", "IBAN_CODE", "IP_ADDRESS", "URL", "CRYPTO", "US_SSN", "ID_NIK", "ID_NPWP", "ID_NPWP_PLAIN"]
 ITEM_TYPES = ["EMAIL_ADDRESS", "PHONE_NUMBER", "CREDIT_CARD", "IBAN_CODE", "IP_ADDRESS", "URL", "CRYPTO", "US_SSN", "ID_NIK", "ID_NPWP", "ID_BPJS"]
 SCORES = {"ID_NIK": 0.6, "ID_NPWP": 0.85, "ID_NPWP_PLAIN": 0.5, "ID_BPJS": 0.55, "EMAIL_ADDRESS": 1.0, "URL": 0.5, "PHONE_NUMBER": 0.4}
-SPANS = "array<struct<type:string,start:int,end:int,score:double,text:string>>"
+SPANS = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("text", T.StringType())]))
 
 
 def shown(kind: str) -> str:
