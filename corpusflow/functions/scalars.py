@@ -68,19 +68,16 @@ def recency_weighted(score: Column, ts: Column, now: Column) -> Column:
     return score * F.when((F.unix_timestamp(now) - F.unix_timestamp(ts)) <= 7 * 86400, 1.5).otherwise(1.0)
 
 
-def priority_rule(item: dict[str, Column]) -> Column:
-    """The first rule that matches; item has the boolean columns of the rules."""
-    return (
-        F.when(item["production_down"], "P0")
-        .when(item["security"], "P0")
-        .when(item["critical_alert"], "P0")
-        .when(item["blocks_release"], "P1")
-        .when(item["due_today"], "P1")
-        .when(item["mentioned"], "P1")
-        .when(item["review_waiting"], "P2")
-        .when(item["due_this_week"], "P2")
-        .otherwise("P3")
-    )
+#: The rules in order, each with its priority; the first that holds decides.
+PRIORITY_RULES = [("critical_alert", "P0"), ("warning_alert", "P1"), ("blocker_ticket", "P0"), ("high_ticket", "P1"), ("pipeline_failed", "P1"), ("review_waiting", "P2"), ("mentioned", "P1"), ("urgent_words", "P1")]
+
+
+def priority_rule(holds: dict[str, Column]) -> Column:
+    """The priority of the first rule that holds, else P2; holds has a boolean column for each rule."""
+    out = F.lit("P2")
+    for name, priority in reversed(PRIORITY_RULES):
+        out = F.when(holds[name], priority).otherwise(out)
+    return out
 
 
 def confidence(sources: Column, authoritative: Column) -> Column:
@@ -90,11 +87,11 @@ def confidence(sources: Column, authoritative: Column) -> Column:
 def reversibility(path: Column) -> Column:
     """Class of a directory for a disk report."""
     return (
-        F.when(path.rlike(r"(?i)(^|/)(caches?|tmp|logs?|deriveddata|\.npm|\.cache)(/|$)"), "safe")
-        .when(path.rlike(r"(?i)(^|/)(node_modules|target|build|dist|\.venv|venv)(/|$)"), "project")
-        .when(path.rlike(r"(?i)^/(system|library|usr|private)(/|$)"), "system")
-        .when(path.rlike(r"(?i)(^|/)(documents|desktop|pictures|photos|mail)(/|$)"), "personal")
-        .otherwise("unknown")
+        F.when(path.rlike(r"(?i)deriveddata|docker\.raw"), "system-app")
+        .when(path.rlike(r"(?i)whatsapp|telegram|imessage|messages/attachments"), "app-manual")
+        .when(path.rlike(r"(?i)(^|/)(node_modules|\.next|target|dist|build|\.venv|venv)(/|$)"), "project-rebuild")
+        .when(path.rlike(r"(?i)(^|/)(\.?caches?|\.npm|logs|homebrew|yarn|tmp)(/|$)|go/pkg/mod"), "safe-cache")
+        .otherwise("user-data")
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,33 +33,43 @@ def stripped(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
-def occurrences(c: Column, word: str) -> Column:
-    """How often a literal occurs, without overlaps."""
-    return ((F.length(c) - F.length(F.replace(c, F.lit(word), F.lit("")))) / len(word)).cast("int")
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value made once, however often it occurs in the expression."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def marker_count(c: Column, words: list[str]) -> Column:
-    return reduce(lambda a, b: a + b, [occurrences(c, f" {w} ") for w in words])
+    """How often the words occur between blanks, each counted without overlaps."""
+    marks = F.array(*[F.lit(f" {w} ") for w in words])
+    return F.aggregate(marks, F.lit(0), lambda n, m: n + ((F.length(c) - F.length(F.replace(c, m, F.lit("")))) / F.length(m)).cast("int"))
+
+
+def _opens(start: Column, openers: list[str]) -> Column:
+    return F.exists(F.array(*[F.lit(o) for o in openers]), lambda o: F.startswith(start, o))
 
 
 def site_language(text: Column) -> Column:
     """'en' or 'id' of a page or question: openers decide, else markers in the first 2000 characters; ties are 'id'."""
+
+    def decide(sample: Column) -> Column:
+        start = F.ltrim(sample)
+        more_english = marker_count(sample, EN_MARKERS) > marker_count(sample, ID_MARKERS)
+        return F.when(_opens(start, ID_OPENERS), "id").when(_opens(start, EN_OPENERS) | more_english, "en").otherwise("id")
+
     sample = F.concat(F.lit(" "), stripped(F.lower(F.substring(text, 1, 2000))), F.lit(" "))
-    start = F.ltrim(sample)
-    opens = lambda words: reduce(lambda a, b: a | b, [F.startswith(start, F.lit(w)) for w in words])
-    by_count = F.when(marker_count(sample, EN_MARKERS) > marker_count(sample, ID_MARKERS), "en").otherwise("id")
-    return F.when(F.coalesce(text, F.lit("")) == "", "id").when(opens(ID_OPENERS), "id").when(opens(EN_OPENERS), "en").otherwise(by_count)
+    return F.when(F.coalesce(text, F.lit("")) == "", "id").otherwise(bound(sample, decide))
 
 
 def item_language(text: Column, default: str = "en") -> Column:
     """'id' if at least two of nine markers occur in a text of 20 characters or more, else the default."""
-    hits = reduce(lambda a, b: a + b, [F.contains(F.lower(text), F.lit(f" {w} ")).cast("int") for w in ITEM_MARKERS])
+    marks = F.array(*[F.lit(f" {w} ") for w in ITEM_MARKERS])
+    hits = bound(F.lower(text), lambda t: F.size(F.filter(marks, lambda m: F.contains(t, m))))
     return F.when(F.coalesce(F.length(text), F.lit(0)) < 20, default).when(hits >= 2, "id").otherwise(default)
 
 
 def refusal_language(answer: Column) -> Column:
     sample = F.lower(F.substring(answer, 1, 300))
-    return F.when(marker_count(sample, REFUSAL_ID_MARKERS) > marker_count(sample, REFUSAL_EN_MARKERS), "id").otherwise("en")
+    return bound(sample, lambda s: F.when(marker_count(s, REFUSAL_ID_MARKERS) > marker_count(s, REFUSAL_EN_MARKERS), "id").otherwise("en"))
 
 
 def refusal_for(answer: Column) -> Column:
@@ -134,7 +144,7 @@ def document_id(label: Column, path: Column) -> Column:
 
 def csv_set(setting: Column) -> Column:
     """A comma-separated setting as trimmed, non-empty values."""
-    return F.filter(F.transform(F.split(setting, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(setting, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def glossary_line(acronym: Column, full_name: Column, gloss: Column) -> Column:

@@ -73,7 +73,7 @@ def message_priority(message: Column) -> Column:
 
 def action_items(message: Column) -> Column:
     """array<string>: lines that ask for something."""
-    lines = F.transform(F.split(message, "\n"), F.trim)
+    lines = F.transform(F.split(message, "\n"), lambda x: F.trim(x))
     return F.filter(lines, lambda x: F.regexp_like(x, F.lit(r"^(- \[ \]|TODO:|Action:|Please\b)")))
 
 

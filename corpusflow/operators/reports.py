@@ -22,10 +22,10 @@ def first_low_rated(votes: DataFrame, order: str, n: int = 10, latest: bool = Fa
     return low.orderBy(F.col(order).desc() if latest else F.col(order)).limit(n)
 
 
-def metric_summary(scores: DataFrame, by: list[str], value: str, threshold: float) -> DataFrame:
+def metric_summary(scores: DataFrame, by: list[str], value: str, threshold: float, digits: int = 4) -> DataFrame:
     """mean, n, pass_rate; null scores are errors and are left out."""
     v = F.col(value)
-    return scores.where(v.isNotNull()).groupBy(*by).agg(F.round(F.avg(v), 4).alias("mean"), F.count(F.lit(1)).alias("n"), F.round(F.avg((v >= threshold).cast("double")), 4).alias("pass_rate"))
+    return scores.where(v.isNotNull()).groupBy(*by).agg(F.round(F.avg(v), digits).alias("mean"), F.count(F.lit(1)).alias("n"), F.round(F.avg((v >= threshold).cast("double")), 4).alias("pass_rate"))
 
 
 def verdict_tally(verdicts: DataFrame, guard: str = "guard", level: str = "level") -> DataFrame:

@@ -61,9 +61,9 @@ def after_offset(items: DataFrame, offsets: DataFrame, source: str = "source", t
     return items.join(F.broadcast(o), F.col(source) == F.col("__s"), "left").where(F.col("__v").isNull() | (F.col(ts) > F.col("__v"))).drop("__s", "__v")
 
 
-def preserved(state: DataFrame, rescanned: DataFrame, label: str = "label") -> DataFrame:
-    """Entries of labels that were not scanned, and all that was."""
-    return state.join(rescanned.select(label).distinct(), label, "left_anti").unionByName(rescanned)
+def preserved(state: DataFrame, rescanned: DataFrame, labels: DataFrame, label: str = "label") -> DataFrame:
+    """Entries of labels that were not scanned, and all that the scan of `labels` found."""
+    return state.join(F.broadcast(labels.select(label).distinct()), label, "left_anti").unionByName(rescanned)
 
 
 def reverted(delta: DataFrame, failed: DataFrame, key: str = "path") -> DataFrame:
