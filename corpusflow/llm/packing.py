@@ -21,6 +21,7 @@ must fit in memory (a mixture has few); a source may hold any share of the rows.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,13 @@ _ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202
 _SPACE = re.compile(r"[ \t\n\r]+")
 
 
+def id_kind(path: str) -> str:
+    """array type code of the ids: 16 bits where all fit, else 32."""
+    from tokenizers import Tokenizer
+
+    return "H" if Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
+
+
 class WordTokens:
     """Ids of whole texts from a word-level BPE whose pieces never span white space, cached by word and piece.
 
@@ -58,6 +66,7 @@ class WordTokens:
 
         self.library = Tokenizer.from_file(path)
         self.model, self.letter = self.library.model, byte_letters()
+        self.kind = id_kind(path)
         spec = json.load(open(path, encoding="utf-8"))  # noqa: SIM115
         kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
@@ -71,14 +80,15 @@ class WordTokens:
     def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
-            found = np.array([t.id for t in self.model.tokenize("".join(map(self.letter.__getitem__, piece.encode())))], np.uint32).tobytes()
+            shown = piece if piece.isascii() else "".join(map(self.letter.__getitem__, piece.encode()))  # ASCII stands for itself
+            found = array(self.kind, [t.id for t in self.model.tokenize(shown)]).tobytes()
             if len(self.pieces) < CACHE:
                 self.pieces[piece] = found
         return found
 
     def _word(self, word: str) -> bytes:
         if self.pattern is None or "<|" in word or not self.plain.match(word):
-            out = np.array(self.library.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
+            out = array(self.kind, self.library.encode(word, add_special_tokens=False).ids).tobytes()
         else:
             out = b"".join(map(self._piece, self.pattern.findall(word.lower())))
         if len(self.words) < CACHE:
@@ -86,31 +96,32 @@ class WordTokens:
         return out
 
     def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
+        """Ids as machine words of self.kind."""
         if self.pattern is None:
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+            return array(self.kind, self.library.encode(text, add_special_tokens=False).ids).tobytes()
         words = _SPACE.split(text) if _ODD_SPACE.search(text) else text.split()
-        known = self.words
-        return b"".join([known[w] if w in known else self._word(w) for w in words])
+        known, make = self.words.get, self._word
+        return b"".join([known(w) or make(w) for w in words])
 
 
 _tokens: dict[str, WordTokens] = {}
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(uid, doc_id, source, n, ids): ids as unsigned 32-bit words, ending with end_id; uid is unique once written."""
+    """(uid, doc_id, source, n, ids): ids as words of id_kind, ending with end_id; uid is unique once written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _tokens:
             _tokens[tokenizer] = WordTokens(tokenizer)
-        encode, end = _tokens[tokenizer].ids, np.array([end_id], np.uint32).tobytes()
+        encode, kind = _tokens[tokenizer].ids, _tokens[tokenizer].kind
+        end = array(kind, [end_id]).tobytes()
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 ids = [encode(x) + end if x else end for x in part.column(1).to_pylist()]
                 n = len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(range(uid, uid + n), pa.int64()), part.column(0), part.column(2), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["uid", "doc_id", "source", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(range(uid, uid + n), pa.int64()), part.column(0), part.column(2), pa.array([len(x) // len(end) for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["uid", "doc_id", "source", "n", "ids"])
                 uid += n
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string"), F.col(source).cast("string").alias("source"))
@@ -164,6 +175,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     target = [totals[s] / total if shares is None else float(shares.get(s, 0)) for s in sources]
     partitions = max(1, -(-total // partition_tokens))
     index = {s: i for i, s in enumerate(sources)}
+    width = np.uint16 if id_kind(tokenizer) == "H" else np.uint32
     placed = tokens.withColumn("part", F.pmod(F.xxhash64("uid"), F.lit(partitions)))
     sums = scratch.table(_carried(placed.groupBy("part", "source").agg(F.sum("n").alias("n"))), "sums")
 
@@ -187,7 +199,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
                 while m:
                     i = queue[q][head[q]]
                     length = min(m, n[i] - done[q])
-                    out.append((docs_[i], done[q], length, ids[i].as_buffer()[4 * done[q] : 4 * (done[q] + length)].to_pybytes(), n[i], at // window, at % window, sources[q]))
+                    out.append((docs_[i], done[q], length, np.frombuffer(ids[i].as_buffer(), width)[done[q] : done[q] + length].astype(np.uint32).tobytes(), n[i], at // window, at % window, sources[q]))
                     at, m, done[q] = at + length, m - length, done[q] + length
                     if done[q] == n[i]:
                         head[q], done[q] = head[q] + 1, 0
