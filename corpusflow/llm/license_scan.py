@@ -5,7 +5,8 @@
 2. Document frequencies of the template words, over all files, give the IDF weights. There are as many as the
    templates have words, whatever the corpus.
 3. Each passage's sparse TF-IDF vector is compared with each template; the best cosine of at least `threshold` decides.
-   A file of which at least half the words lie in such passages, or that is named like one, is a licence file.
+   A file of at least FILE_WORDS words, four fifths of them in such passages, or one that is named like it, is a licence
+   file.
 4. Files without a licence of their own take that of the licence file in the nearest ancestor directory, by joining
    the ancestors of their paths with the directories that have one.
 
@@ -29,6 +30,7 @@ from corpusflow.llm.shared import BROADCAST_ROWS, Scratch
 THRESHOLD = 0.6
 #: Words on each side of a trigger; passages that touch are one, as long as templates of whole licence files.
 AROUND = 20
+FILE_WORDS = 25
 #: Notices by licence.
 TEMPLATES = {
     "AGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License, version 3."],
@@ -120,7 +122,7 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", key: str = "d
             rows = [_candidates(x.as_py()) for x in batch.column(2).cast(pa.binary())]
             n = len(rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(uid, uid + n), pa.int64()), batch.column(0), batch.column(1), pa.array([sorted(r[0]) for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.list_(pa.int32()))), pa.array([r[3] > 0 and 2 * r[2] >= r[3] for r in rows], pa.bool_())],
+                [pa.array(range(uid, uid + n), pa.int64()), batch.column(0), batch.column(1), pa.array([sorted(r[0]) for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.list_(pa.int32()))), pa.array([r[3] >= FILE_WORDS and 5 * r[2] >= 4 * r[3] for r in rows], pa.bool_())],
                 ["uid", "key", "path", "present", "found", "mostly"],
             )
             uid += n
