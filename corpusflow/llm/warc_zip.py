@@ -102,6 +102,9 @@ class ZipDirectory:
         tail_at = max(0, length - 22 - _MAX16)
         tail = self._read(tail_at, length - tail_at)
         found = tail.rfind(b"PK\5\6")
+        # a comment may hold the signature: the record's own comment length must reach the file's end
+        while found >= 0 and (found + 22 > len(tail) or found + 22 + struct.unpack_from("<H", tail, found + 20)[0] != len(tail)):
+            found = tail.rfind(b"PK\5\6", 0, found)
         if found < 0:
             raise ValueError("no end of central directory")
         _, _, _, _, n, size, start, _ = struct.unpack_from("<IHHHHIIH", tail, found)
