@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -10,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_SKIP = {"script", "style", "nav", "footer", "noscript", "template"}
+_SKIP = {"script", "style", "nav", "footer", "noscript", "template", "title"}
 _BREAKS = {"p", "div", "section", "article", "ul", "ol", "table", "tr", "blockquote", "pre"}
 
 
@@ -45,7 +46,7 @@ class _Markdown(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
-            self.out.append(" ".join(data.split()) if data.strip() else " ")
+            self.out.append(re.sub(r"\s+", " ", data))
 
 
 def to_markdown(html: str | None) -> str:
@@ -57,7 +58,7 @@ def to_markdown(html: str | None) -> str:
     parser.close()
     seen, blocks = set(), []
     for block in "".join(parser.out).split("\n\n"):
-        text = "\n".join(" ".join(x.split(" ")).strip() for x in block.split("\n")).strip()
+        text = "\n".join(re.sub(" +", " ", x).strip() for x in block.split("\n")).strip()
         if text and text not in seen:
             seen.add(text)
             blocks.append(text)
