@@ -98,10 +98,10 @@ def _shingle_sql(text: str) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
-    "op2_line_dedup": f"""with l as (select doc_id, rowid as r, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as at from (select *, row_number() over () as rowid from documents)),
+    "op2_line_dedup": f"""with l as (select doc_id, rowid as r, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from (select *, row_number() over () as rowid from documents)),
 k as (select *, translate(trim(line, {_WHITE}), {_AZ}) as key from l),
 f as (select key from k where length(key) >= 1 group by key having count(distinct r) >= 10)
-select doc_id, count(*) as n_lines, count(f.key) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by at) filter (f.key is null), '')) as kept_sha256 from k left join f using (key) group by doc_id, r""",
+select doc_id, count(*) as n_lines, count(f.key) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where f.key is null), '')) as kept_sha256 from k left join f using (key) group by doc_id, r""",
     "op10_decontamination": f"""with d as (select doc_id, unnest({_shingle_sql('text')}) as s from documents where doc_id is not null),
 i as (select item_id, {_shingle_sql('text')} as ss from benchmark), j as (select item_id, len(ss) as q, unnest(ss) as s from i)
 select doc_id, item_id, q as item_shingles, count(*) as shared_shingles, round(count(*) / q, 6) as containment from d join j using (s) group by doc_id, item_id, q having count(*) >= ceil(q * 0.8 - 1e-9)""",
