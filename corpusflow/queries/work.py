@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions import html, pii, scalars
 from corpusflow.functions import text as strings
-from corpusflow.operators import guards, intel, reports
+from corpusflow.functions.models import INJECTION_WORDS
+from corpusflow.operators import guards, intel, items, reports
 from corpusflow.queries.registry import NOW, query
 from corpusflow.session import table
 
@@ -267,8 +268,8 @@ def str18_undisguised(spark, sf_dir):
 
 @query()
 def brf01_briefing(spark, sf_dir):
-    items = _items(spark, sf_dir).withColumns({"title": F.concat(F.lit("item "), "item_id"), "body": F.concat("source", F.lit(" by "), "user_id"), "score": F.col("value"), "search": F.lit(0)})
-    return intel.briefing(items, _now()).select("item_id", "title", "priority", "section")
+    rows = _items(spark, sf_dir).withColumns({"title": F.concat(F.lit("item "), "item_id"), "body": F.concat("source", F.lit(" by "), "user_id"), "score": F.col("value"), "search": F.lit(0)})
+    return intel.briefing(rows, _now()).select("item_id", "title", "priority", "section")
 
 
 @query(f"""select conv_id, turn, case when regexp_matches(text, '(?m)^(From|Subject|Date):') then 'email' when regexp_matches(text, '\\[\\d{{2}}/\\d{{2}}/\\d{{2,4}}, \\d{{2}}:\\d{{2}}(:\\d{{2}})?\\]') then 'whatsapp' when regexp_matches(text, '(^|\\s)@\\w+|Forwarded from') then 'telegram' else 'unknown' end as source,
@@ -294,3 +295,75 @@ def flt09_testset_candidates(spark, sf_dir):
 def grd04_refusals(spark, sf_dir):
     answer = F.when(F.col("doc_id") % 2 == 0, " this is the one ").otherwise(" ini adalah untuk ")
     return table(spark, sf_dir, "documents").select("doc_id", strings.refusal_for(answer).alias("refusal"))
+
+
+_RISK = "round(least(1.0, " + " + ".join(f"case when list_contains(t, '{w}') then {p} else 0 end" for w, p in INJECTION_WORDS.items()) + ")::double, 6)"
+
+
+@query(f"""with w as (select doc_id, text[start:start + 1999] as w from (select doc_id, text, unnest(case when length(text) <= 2000 then [1] else range(1, length(text) + 1, 1500) end) as start from documents)),
+t as (select doc_id, string_split_regex(lower(w), '[^a-zA-Z0-9_]+') as t from w) select doc_id, max({_RISK}) as risk from t group by 1""")
+def agg15_window_risk(spark, sf_dir):
+    return items.window_risk(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query("select c_custkey::varchar as base_id, c_name[1:500] as title, case when c_acctbal < 0 then 'P0' else 'P2' end as priority, 'open' as status, c_mktsegment as segment from customer")
+def flt08_stored_items(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer")
+    nothing = F.lit(None).cast("string")
+    rows = customers.select(F.col("c_custkey").cast("string").alias("id"), *[nothing.alias(n) for n in ("source", "type", "url", "owner", "status", "timestamp")], F.col("c_name").alias("title"), F.when(F.col("c_acctbal") < 0, "P1").alias("priority"), F.lit("text").alias("body"), F.when(F.col("c_acctbal") < 0, F.create_map(F.lit("segment"), F.col("c_mktsegment"), F.lit("priority"), F.lit("P0"))).otherwise(F.create_map(F.lit("segment"), F.col("c_mktsegment"))).alias("metadata"))
+    field = lambda k: F.element_at("fields", k).alias(k)
+    return items.stored(rows).select("base_id", field("title"), field("priority"), field("status"), field("segment"))
+
+
+@query(r"""with w as (select doc_id, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) as n from documents)
+select doc_id || '__chunk' || unnest(range(0, greatest(0, ceil((n - 512) / 448.0))::int + 1)) as item_id from w where n > 0""")
+def snk02_item_ids(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where(F.regexp_like("text", F.lit(r"\S")))
+    rows = docs.select(F.col("doc_id").alias("base_id"), F.col("text").alias("body"), F.create_map().cast("map<string,string>").alias("fields"))
+    return items.item_chunks(rows).select("item_id")
+
+
+@query("select doc_id, case when source = 'src1' then 1 else 0 end as allowed from documents")
+def jn14_site_allowlists(spark, sf_dir):
+    sites = spark.createDataFrame([("src1", [" email_address ", ""]), ("src2", [])], "source string, pii_allowlist array<string>")
+    rows = items.with_allowlist(table(spark, sf_dir, "documents").select("doc_id", "source"), sites, "source")
+    return rows.select("doc_id", F.array_contains("allowed", "EMAIL_ADDRESS").cast("int").alias("allowed"))
+
+
+@query("select * from (values ('custom-openai:http://h:11434/v1:llama', 'custom-openai', 'http://h:11434/v1', 'llama'), ('haiku', 'named', null, 'haiku')) t(spec, provider, url, model)")
+def str27_judge_specs(spark, sf_dir):
+    rows = spark.createDataFrame([("custom-openai:http://h:11434/v1:llama",), ("haiku",)], "spec string")
+    return rows.withColumn("j", items.judge_spec(F.col("spec"))).select("spec", "j.*")
+
+
+@query("select acronym, gloss from (select substr(s_name, 1, 20) as acronym, case when s_suppkey % 2 = 0 then 'even' end as gloss, s_suppkey from supplier) order by acronym limit 50")
+def jn02_glossary_join(spark, sf_dir):
+    names = table(spark, sf_dir, "supplier").select(F.substring("s_name", 1, 20).alias("acronym"), "s_suppkey")
+    glosses = names.where("s_suppkey % 2 = 0").select("acronym", F.lit("even").alias("gloss")).unionByName(spark.createDataFrame([("_note", "x")], "acronym string, gloss string"))
+    return items.glossary(names, glosses).select("acronym", "gloss")
+
+
+@query("select label, round(max(score), 6) as best from (select conv_id % 3 as label, length(text) / 1000.0 as score from conversations) group by 1")
+def top02_best_scores(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").groupBy((F.col("conv_id") % 3).alias("label")).agg(F.round(F.max(F.length("text") / 1000), 6).alias("best"))
+
+
+@query()
+def src23_sampled(spark, sf_dir):
+    from corpusflow.sources.files import sampled
+
+    return sampled(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 20)
+
+
+@query()
+def src07_token_bucket(spark, sf_dir):
+    from corpusflow.sources.web import token_bucket
+
+    return token_bucket(table(spark, sf_dir, "events"), 10, 60).select("event_id", F.round("sent_at", 3).alias("sent_at"))
+
+
+@query()
+def evl01_metrics(spark, sf_dir):
+    from corpusflow.plans.evaluate import judged
+
+    return judged(table(spark, sf_dir, "labels"), {"quality": lambda s: s.quality.cast("double"), "harmless": lambda s: (1 - s.toxic).cast("double")})

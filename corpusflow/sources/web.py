@@ -74,7 +74,7 @@ def token_bucket(requests: DataFrame, n: int, seconds: int, key: str = "user_id"
 
     each = seconds / n
     w = Window.partitionBy(key).orderBy(ts, order)
-    at = F.col(ts).cast("double")
+    at = F.col(ts).cast("timestamp").cast("double")
     ranked = requests.withColumn("__i", F.row_number().over(w) - 1)
     # virtual finish: i * each + max over j <= i of (arrival_j - j * each); tokens in hand let n - 1 of them go early
     start = F.max(at - F.col("__i") * each).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("__i") * each
