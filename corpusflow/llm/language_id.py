@@ -1,7 +1,8 @@
 """Language identification by Bayesian fusion of evidence.
 
 The posterior of a language is the product of
-- the text's likelihood under a smoothed byte-trigram model, tempered by 1/3 as each byte is in three trigrams;
+- the text's likelihood under a smoothed byte-trigram model of letters and blanks, tempered by 1/3 as each byte is in
+  three trigrams;
 - the likelihood of the declared markup language (an html lang or xml:lang attribute, or a given column);
 - the likelihood of the address's suffix, where that suffix belongs to a language;
 - the host's prior, smoothed towards its domain's, that towards the corpus's. The counts are of the text's own best
@@ -46,6 +47,9 @@ SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "e
 _DECLARED = re.compile(rb"<(?:html|body|article)\b[^>]*?\b(?:xml:)?lang\s*=\s*[\"']?([A-Za-z]{2,3})\b", re.I)
 _LETTER = re.compile(r"[^\W\d_]")
 
+#: A byte as it counts: letters and all beyond ASCII themselves, white space a blank, others 0.
+_KIND = np.array([x if x >= 128 or 97 <= x <= 122 else 32 if x == 32 or 9 <= x <= 13 else 0 for x in range(256)], np.uint32)
+
 
 @dataclass
 class Model:
@@ -54,10 +58,13 @@ class Model:
 
 
 def _grams(data: bytes) -> np.ndarray:
-    b = np.frombuffer(data.lower(), np.uint8).astype(np.uint32)
+    """Hashed trigrams of letters and blanks; digits and signs are no evidence of a language."""
+    b = np.frombuffer(data.lower(), np.uint8)
     if len(b) < 3:
         return np.zeros(0, np.int64)
+    b = _KIND[b]
     code = b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]
+    code = code[(b[:-2] > 0) & (b[1:-1] > 0) & (b[2:] > 0)]
     return ((code * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64)
 
 
