@@ -1,6 +1,6 @@
 """Sharding: a two-pass external shuffle of records into shards, in DataFrame functions only.
 
-Pass 1 scatters records by seeded hashes into buckets that fit in memory: a record's shard depends on its key and the
+Pass 1 scatters records by seeded hashes into buckets that fit in memory and writes them: a record's shard depends on its key and the
 number of shards alone, its bucket within the shard on a seeded hash of the whole record. Pass 2 gathers each bucket,
 sorts it, applies Fisher-Yates (Spark's `shuffle`, with a seed) and numbers the records from the bucket's offset in
 its shard.
@@ -22,6 +22,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusflow.llm.shared import Scratch
+
 SHARDS = 40
 BUCKET_BYTES = 8 << 20
 SEED = 17
@@ -51,6 +53,8 @@ def shuffle_into_shards(records: DataFrame, key: str, text: str, shards: int = S
         .withColumn("__bucket", F.col("shard").cast("long") * per_shard + F.pmod(F.xxhash64(F.lit(seed), "__row", key, "size"), F.lit(per_shard)))
         .withColumn("grown_shard", consistent_shard(F.col(key), shards + 1))
     )
+    # written, as a row's place may change when its input is read again, and counts must be those of the same buckets
+    placed = Scratch(records.sparkSession, "sharding").table(placed, "scattered")
     record = F.struct(F.xxhash64(F.lit(seed + 1), "__row").alias("__order"), "__row", *[c for c in placed.columns if c not in ("__row", "__bucket", "shard")])
     gathered = (
         placed.select("__bucket", record.alias("__record"))
