@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.llm.shared import BROADCAST_ROWS
+from corpusflow.llm.shared import BROADCAST_ROWS, worker_state
 
 PER_LANGUAGE, MAX_LANGUAGES = 400, 64
 BUCKETS = 1 << 16
@@ -119,6 +119,7 @@ def host_priors(docs: DataFrame, model: Model, text: str, host: Column) -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("language", dict)
         for batch in batches:
             found = []
             for x in batch.column(0).cast(pa.binary()):

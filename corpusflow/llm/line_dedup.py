@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.llm.shared import BROADCAST_ROWS, Scratch
+from corpusflow.llm.shared import BROADCAST_ROWS, Scratch, worker_state
 
 MIN_DOCS = 10
 BATCHES = 4
@@ -154,6 +154,7 @@ def _in_batches(docs: DataFrame, text: str, min_chars: int, batches: int) -> Dat
     """(h, batch): a row for each document and distinct key in it; documents go to the batches in turn."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("lines", dict)
         seen = 0
         for batch in rows:
             out, of = [], []

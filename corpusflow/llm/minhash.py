@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.shared import Scratch
+from corpusflow.llm.shared import Scratch, worker_state
 
 WORDS, PERCENT = 5, 80
 PERMUTATIONS, PER_BAND = 64, 2
@@ -47,13 +47,12 @@ _M = np.uint64(0xD6E8FEB86659FD93)
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 300_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
 
 
-_words = _Words()
 _rng = np.random.default_rng(20240101)
 _A = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -68,7 +67,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def shingle_set(text: bytes | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of `words` words."""
     found = (text or b"").lower().split()
-    h = np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
+    h = np.fromiter(map(worker_state("word hashes", _Words).__getitem__, found), np.uint64, len(found))
     if not len(h):
         return h
     width = min(words, len(h))

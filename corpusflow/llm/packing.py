@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusflow.llm.shared import Scratch
+from corpusflow.llm.shared import Scratch, worker_state
 
 WINDOW = 4096
 END_ID = 2
@@ -104,16 +104,12 @@ class WordTokens:
         return b"".join([known(w) or make(w) for w in words])
 
 
-_tokens: dict[str, WordTokens] = {}
-
-
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(uid, doc_id, source, n, ids): ids as words of id_kind, ending with end_id; uid is unique once written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _tokens:
-            _tokens[tokenizer] = WordTokens(tokenizer)
-        encode, kind = _tokens[tokenizer].ids, _tokens[tokenizer].kind
+        words = worker_state(f"word tokens {tokenizer}", lambda: WordTokens(tokenizer))
+        encode, kind = words.ids, words.kind
         end = array(kind, [end_id]).tobytes()
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:

@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +29,24 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_held: dict[str, Any] = {}
+
+
+def worker_state(name: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between tasks of one operator: caches, tokenizers, tables.
+
+    Workers outlive operators, so that of another operator is let go first, and its memory given back.
+    """
+    if name not in _held:
+        if _held:
+            _held.clear()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+        _held[name] = make()
+    return _held[name]
+
+
 class Scratch:
     """Tables of one run under the shared folder. They cut lineage, so a lost executor costs a re-read and no recomputation.
 

@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusflow.llm.shared import worker_state
+
 MAX_STATES = 100_000
 CHUNK = 256
 #: Bytes of text that step through the tables together.
@@ -294,15 +296,6 @@ class TokenCounter:
         return out.tolist()
 
 
-_counters: dict[str, TokenCounter] = {}
-
-
-def _counter(path: str) -> TokenCounter:
-    if path not in _counters:
-        _counters[path] = TokenCounter(path)
-    return _counters[path]
-
-
 def blocks(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Runs of neighbours of about `most` bytes together."""
     at = total = 0
@@ -323,7 +316,7 @@ def with_token_counts(docs: DataFrame, tokenizer: str, text: str = "text", out:
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(tokenizer)
+        counter = worker_state(f"token counter {tokenizer}", lambda: TokenCounter(tokenizer))
         for batch in batches:
             texts = [x or "" for x in batch.column(at).to_pylist()]
             counts: list[int] = []
