@@ -1,12 +1,12 @@
 """License scan: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
 1. One pass over the whole text of every file finds, for each place that speaks of licensing (a trigger word), the
-   words around it, and notes which template words the file has.
+   words around it, on its line, in its paragraph and over line ends, and notes which template words the file has.
 2. Document frequencies of the template words, over all files, give the IDF weights. There are as many as the
    templates have words, whatever the corpus.
 3. Each passage's sparse TF-IDF vector is compared with each template; the best cosine of at least `threshold` decides.
-   A file of at least FILE_WORDS words, four fifths of them in such passages, or one that is named like it, is a licence
-   file.
+   A file of at least FILE_WORDS words, four fifths of them in such passages (on lines with a trigger or mostly of
+   template words), or one that is named like it, is a licence file.
 4. Files without a licence of their own take that of the licence file in the nearest ancestor directory, by joining
    the ancestors of their paths with the directories that have one.
 
@@ -74,19 +74,42 @@ def passages(words: list[bytes]) -> list[tuple[int, int]]:
 
 
 def _candidates(text: bytes | None) -> tuple[set[int], list[list[int]], int, int]:
-    """(template words in the text, each passage's template words line by line, words in passages, words)."""
+    """(template words in the text, each candidate's template words, words in passages, words).
+
+    Notices are wrapped, so passages run over line ends. What stands on one line or in one paragraph is a candidate
+    of its own beside them, as is each trigger's own window, so that no neighbour thins out a notice.
+    """
     data = (text or b"").lower()
-    all_words = _WORD.findall(data)
-    present = {VOCABULARY[w] for w in VOCABULARY.keys() & set(all_words)}
-    found: list[list[int]] = []
-    inside = 0
-    if any(t in data for t in (b"licen", b"copyright", b"spdx", b"permi", b"waived", b"gpl")):
-        for line in data.split(b"\n"):
-            words = _WORD.findall(line)
-            for a, b in passages(words):
-                found.append([VOCABULARY[w] for w in words[a:b] if w in VOCABULARY])
-                inside += b - a
-    return present, found, inside, len(all_words)
+    if not any(t in data for t in (b"licen", b"copyright", b"spdx", b"permi", b"waived", b"gpl")):
+        all_words = _WORD.findall(data)
+        return {VOCABULARY[w] for w in VOCABULARY.keys() & set(all_words)}, [], 0, len(all_words)
+    lines = [_WORD.findall(line) for line in data.split(b"\n")]
+    all_words = [w for line in lines for w in line]
+    terms = [VOCABULARY.get(w, -1) for w in all_words]
+    found: dict[tuple[int, ...], None] = {}
+
+    def add(words: list[bytes], at: int) -> list[tuple[int, int]]:
+        runs = passages(words)
+        for a, b in runs:
+            found[tuple(sorted(t for t in terms[at + a : at + b] if t >= 0))] = None
+        return runs
+
+    at = start = 0
+    licensing: list[bool] = []  # by word: its line speaks of licensing or is mostly of template words
+    for line in [*lines, []]:
+        if line:
+            add(line, at)
+            known = sum(t >= 0 for t in terms[at : at + len(line)])
+            licensing += [2 * known >= len(line) or not TRIGGERS.isdisjoint(line)] * len(line)
+        elif start < at:
+            add(all_words[start:at], start)
+            start = at
+        at += len(line)
+    inside = sum(sum(licensing[a:b]) for a, b in add(all_words, 0))
+    for i, w in enumerate(all_words):
+        if w in TRIGGERS:
+            found[tuple(sorted(t for t in terms[max(0, i - AROUND) : i + AROUND + 1] if t >= 0))] = None
+    return {t for t in terms if t >= 0}, [list(f) for f in found], inside, len(all_words)
 
 
 def _vectors(idf: np.ndarray) -> np.ndarray:

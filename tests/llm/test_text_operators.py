@@ -1,6 +1,7 @@
 """Line dedup, near dedup, decontamination, language ID, licence scan on small fixtures, against brute force."""
 
 import random
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -226,3 +227,16 @@ def test_license_scan(spark):
     out = Counter((r.doc_id, r.license, r.basis) for r in license_scan.scan(spark.createDataFrame(files, "doc_id long, path string, text string, score int")).collect())
     assert out == Counter({(1, "Apache-2.0", "file"): 1, (2, "MIT", "inherited"): 1, (3, "MIT", "file"): 1, (4, "CC-BY-NC-4.0", "header"): 1, (5, None, None): 1, (6, None, None): 1, (7, "Apache-2.0", "inherited"): 2, (8, "GPL-3.0", "header"): 1})
     assert license_scan.scan(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
+
+
+def test_license_of_wrapped_notices(spark):
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    lgpl = "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    bsd, mit = license_scan.TEMPLATES["BSD-3-Clause"][0] + ":", license_scan.TEMPLATES["MIT"][1]
+    code = "\n#\nimport os\n\n\ndef run():\n    return os.name\n" + "value = run()\n" * 20
+    header = lambda t: "\n".join("# " + x for x in textwrap.wrap(t, 60)) + code
+    files = [(i, f"{i}/a.py", header(t)) for i, t in enumerate([gpl, lgpl, bsd, mit])] + [(4, "4/terms.txt", textwrap.fill(license_scan.TEMPLATES["AGPL-3.0"][0], 50)), (5, "4/b.py", code), (6, "6/n.txt", "wool shed river moon\n" * 9 + "Released under the MIT License."), (7, "6/c.py", code)]
+    out = {r.doc_id: (r.license, r.basis, r.score) for r in license_scan.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert [out[i][:2] for i in range(4)] == [(l, "header") for l in ("GPL-2.0", "LGPL-3.0", "BSD-3-Clause", "MIT")] and min(out[i][2] for i in range(4)) > 0.8
+    assert out[4][:2] == ("AGPL-3.0", "file") and out[5][:2] == ("AGPL-3.0", "inherited") and out[4][2] > 0.9
+    assert out[6] == ("MIT", "header", 1.0) and out[7] == (None, None, None)
