@@ -11,8 +11,8 @@ The posterior of a language is the product of
 `und` stands for no language: a uniform trigram model. A row is accepted unless `und` is the best class or its text has
 no letters. Trigram weights are integers (1/4096 nat), so sums are exact and equal in any order.
 
-The trigram model is fitted on at most `per_language` labelled rows of each of at most `max_languages` languages, taken
-in hash order. All else covers every row and whole texts.
+The trigram model is fitted on at most `per_language` distinct labelled texts of each language, taken in hash order;
+more than `max_languages` languages are an error. All else covers every row and whole texts.
 
 Rules: a null or empty text has no likelihood, so lang is the best by the other evidence and accepted is false. A null
 host is a host of its own. Ties go to the first language in code order. Repeated rows count each. Columns lang_id,
@@ -82,19 +82,27 @@ def fit(rows: list[tuple[str, str]]) -> Model:
 
 
 def fit_on(docs: DataFrame, text: str = "text", label: str = "lang", per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> Model:
-    """Fitted on a bounded sample of labelled rows, in the order of a hash of the text."""
-    labelled = docs.where(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(text).alias("t"), F.col(label).alias("l"))
-    sizes = {r.l: r.n for r in labelled.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(max_languages).collect()}
+    """Fitted on the per_language distinct texts of each language with the smallest hashes, or on all if there are fewer."""
+    labelled = docs.where(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(text).alias("t"), F.col(label).alias("l")).withColumn("h", F.xxhash64("t"))
+    sizes = {r.l: r.n for r in labelled.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).limit(max_languages + 1).collect()}
     if not sizes:
         raise ValueError("no labelled rows to fit on")
-    rows: list[tuple[str, str]] = []
-    for l, n in sorted(sizes.items()):
-        # a hash range that holds enough rows, so that only those are ordered
-        share = min(1.0, 4 * per_language / n + 0.001)
-        near = labelled.where(F.col("l") == l).withColumn("h", F.xxhash64("t"))
-        near = near.where(F.abs(F.col("h") / float(1 << 63)) <= share)
-        rows += [(r.t, l) for r in near.orderBy("h", "t").limit(per_language).collect()]
-    return fit(rows)
+    if len(sizes) > max_languages:
+        raise ValueError(f"more than {max_languages} languages: raise max_languages")
+    # hashes are even, so a range from the smallest holds about four times the texts that are needed; it grows while it holds too few
+    share = {l: min(1.0, 4 * per_language / max(1, n)) for l, n in sizes.items()}
+    chosen: list[tuple[str, int]] = []
+    while share:
+        ranges = F.create_map(*[F.lit(x) for l, s in share.items() for x in (l, (1 << 63) - 1 if s >= 1 else int(s * (1 << 64)) - (1 << 63))])
+        held: dict[str, list[int]] = {l: [] for l in share}
+        for r in labelled.select("l", "h").where(F.col("h") <= ranges[F.col("l")]).distinct().collect():
+            held[r.l].append(r.h)
+        done = [l for l, s in share.items() if s >= 1 or len(held[l]) >= per_language]
+        chosen += [(l, h) for l in done for h in sorted(held[l])[:per_language]]
+        share = {l: min(1.0, 8 * s) for l, s in share.items() if l not in done}
+    keys = docs.sparkSession.createDataFrame(chosen, "l string, h long")
+    rows = labelled.join(F.broadcast(keys), ["l", "h"]).groupBy("l", "h").agg(F.min("t").alias("t")).collect()
+    return fit([(r.t, r.l) for r in rows])
 
 
 def _scores(model: Model, text: bytes | None) -> np.ndarray:

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusflow.llm import decontam, language_id, license_scan, line_dedup, minhash
 
@@ -208,6 +209,22 @@ def test_language_edges(spark):
         language_id.identify(docs.withColumnRenamed("n", "lang_id"), model)
 
 
+def test_language_fit_of_many_copies(spark, monkeypatch):
+    """Each language is fitted on its distinct texts, however many copies they have and wherever their hashes lie."""
+    fitted = []
+    monkeypatch.setattr(language_id, "fit", fitted.append)
+    few = spark.range(16000).selectExpr("concat('la casa del rio ', id % 5) as text", "'es' as lang")
+    many = spark.range(3000).selectExpr("concat('the house by the river ', id) as text", "'en' as lang")
+    copies = spark.range(4000).selectExpr("'the house by the river 7' as text", "'en' as lang")
+    language_id.fit_on(few.union(many).union(copies))
+    rows = fitted[0]
+    assert Counter(l for _, l in rows) == {"es": 5, "en": 400} and len(set(rows)) == 405
+    by_hash = [r.text for r in many.orderBy(F.xxhash64("text")).limit(400).collect()]
+    assert {t for t, l in rows if l == "en"} == set(by_hash)
+    with pytest.raises(ValueError):
+        language_id.fit_on(few.union(many), max_languages=1)
+
+
 # --- licence scan ---
 
 
