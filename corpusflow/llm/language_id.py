@@ -5,11 +5,11 @@ The posterior of a language is the product of
   three trigrams;
 - the likelihood of the declared markup language (an html lang or xml:lang attribute, or a given column);
 - the likelihood of the address's suffix, where that suffix belongs to a language;
-- the host's prior, smoothed towards its domain's, that towards the corpus's. The counts are of the text's own best
-  language, from a grouped aggregation over all rows.
+- the host's prior, smoothed towards its domain's, that towards the corpus's; a host without a dot has no domain. The
+  counts are of the text's own best class, from a grouped aggregation over all rows.
 
-`und` stands for no language: a uniform trigram model. A row is accepted unless `und` is the best class or its text has
-no letters. Trigram weights are integers (1/4096 nat), so sums are exact and equal in any order.
+`und` stands for no language: a class with a uniform trigram model, a prior of its own and even evidence. A row is
+accepted unless `und` has the best posterior or its text has no letters. Trigram weights are integers (1/4096 nat), so sums are exact and equal in any order.
 
 The trigram model is fitted on at most `per_language` distinct labelled texts of each language, taken in hash order;
 more than `max_languages` languages are an error. All else covers every row and whole texts.
@@ -117,12 +117,12 @@ def _scores(model: Model, text: bytes | None) -> np.ndarray:
 
 
 def _domain(host: Column) -> Column:
-    """The last two labels of a dotted host; others are their own."""
-    return F.when(host.contains("."), F.substring_index(host, ".", -2)).otherwise(host)
+    """The last two labels of a dotted host; others have none."""
+    return F.when(host.contains("."), F.substring_index(host, ".", -2)).otherwise(F.lit(""))
 
 
 def host_priors(docs: DataFrame, model: Model, text: str, host: Column) -> DataFrame:
-    """(__host, __prior array<double>): log priors of model.languages by host, smoothed by domain and corpus."""
+    """(__host, __prior array<double>): log priors of model.languages and und by host, smoothed by domain and corpus."""
     names = [*model.languages, UND]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -136,8 +136,8 @@ def host_priors(docs: DataFrame, model: Model, text: str, host: Column) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.string())], ["__host", "l"])
 
     guessed = docs.select(F.col(text).cast("string"), F.coalesce(host.cast("string"), F.lit("")).alias("h")).mapInArrow(best, "__host string, l string")
-    by_host = guessed.groupBy("__host", "l").agg(F.count(F.lit(1)).alias("n")).groupBy("__host").agg(*[F.coalesce(F.sum(F.when(F.col("l") == l, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, l in enumerate(model.languages)])
-    count = len(model.languages)
+    by_host = guessed.groupBy("__host", "l").agg(F.count(F.lit(1)).alias("n")).groupBy("__host").agg(*[F.coalesce(F.sum(F.when(F.col("l") == l, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, l in enumerate(names)])
+    count = len(names)
     total = by_host.agg(*[F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"n{i}") for i in range(count)]).first()
     everywhere = sum(total)
     corpus = [(total[i] + 1) / (everywhere + count) for i in range(count)]
@@ -145,28 +145,30 @@ def host_priors(docs: DataFrame, model: Model, text: str, host: Column) -> DataF
     domains = by_host.groupBy("d").agg(*[F.sum(f"n{i}").alias(f"d{i}") for i in range(count)])
     joined = by_host.join(domains, "d")
     n_host, n_domain = (sum((F.col(f"{c}{i}") for i in range(1, count)), F.col(f"{c}0")) for c in "nd")
-    of_domain = [(F.col(f"d{i}") + SMOOTHING * corpus[i]) / (n_domain + SMOOTHING) for i in range(count)]
+    of_domain = [F.when(F.col("d") == "", F.lit(corpus[i])).otherwise((F.col(f"d{i}") + SMOOTHING * corpus[i]) / (n_domain + SMOOTHING)) for i in range(count)]
     return joined.select("__host", F.array(*[F.log((F.col(f"n{i}") + SMOOTHING * p) / (n_host + SMOOTHING)) for i, p in enumerate(of_domain)]).alias("__prior"))
 
 
 def _evidence(languages: list[str], said: str | None, right: float) -> np.ndarray:
+    """Log likelihoods, und last: it says each language as often."""
     if not said or said not in languages:
-        return np.zeros(len(languages))
+        return np.zeros(len(languages) + 1)
     wrong = (1 - right) / max(1, len(languages) - 1)
-    return np.log([right if l == said else wrong for l in languages])
+    return np.log([*(right if l == said else wrong for l in languages), 1 / len(languages)])
 
 
 def posterior(model: Model, text: bytes | None, declared: str | None, suffix: str | None, prior: np.ndarray) -> tuple[str, float, bool]:
-    """(language, its posterior among languages, accepted)."""
-    scores = _scores(model, text)
-    log = scores[:-1] / (UNIT * TEMPER) + prior
+    """(language, its posterior among languages, accepted). A prior without und gives it an even share."""
+    if len(prior) == len(model.languages):
+        prior = np.append(prior, np.logaddexp.reduce(prior) - np.log(len(prior)))
+    log = _scores(model, text) / (UNIT * TEMPER) + prior
     if declared is None and text and b"lang" in text and (m := _DECLARED.search(text)):
         declared = m[1].decode()
     log = log + _evidence(model.languages, (declared or "").lower()[:2], DECLARED_RIGHT) + _evidence(model.languages, SUFFIXES.get((suffix or "").lower()), SUFFIX_RIGHT)
-    at = int(np.argmax(log))
-    p = float(1 / np.exp(log - log[at]).sum())
+    at = int(np.argmax(log[:-1]))
+    p = float(1 / np.exp(log[:-1] - log[at]).sum())
     letters = bool(text) and bool(_LETTER.search(text.decode()))
-    return model.languages[at], p, letters and scores[:-1].max() >= scores[-1]
+    return model.languages[at], p, letters and bool(log[at] >= log[-1])
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", host: str | None = None, url: str | None = None, declared: str | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -174,20 +176,20 @@ def identify(docs: DataFrame, model: Model, text: str = "text", host: str | None
     made = {"lang_id", "lang_posterior", "lang_accepted"}
     if clash := made & set(docs.columns) | {c for c in docs.columns if c.startswith("__")}:
         raise ValueError(f"columns {sorted(clash)} are made here")
-    address = F.lower(F.parse_url(url, F.lit("HOST"))) if url else F.lit(None).cast("string")
+    address = F.lower(F.try_parse_url(url, F.lit("HOST"))) if url else F.lit(None).cast("string")
     from_host = F.col(host).cast("string") if host else address
     priors = host_priors(docs, model, text, from_host)
     few = priors.limit(broadcast_rows + 1).count() <= broadcast_rows
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
     k = len(docs.columns)
-    even = -np.log(len(model.languages))
+    even = -np.log(len(model.languages) + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             prior, suffix, said = (batch.column(k + i).to_pylist() for i in range(3))
-            rows = [posterior(m, x.as_py(), d, s, np.array(p) if p is not None else np.full(len(m.languages), even)) for x, p, s, d in zip(batch.column(at).cast(pa.binary()), prior, suffix, said, strict=True)]
+            rows = [posterior(m, x.as_py(), d, s, np.array(p) if p is not None else np.full(len(m.languages) + 1, even)) for x, p, s, d in zip(batch.column(at).cast(pa.binary()), prior, suffix, said, strict=True)]
             columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(columns[0], pa.string()), pa.array([round(p, 6) for p in columns[1]], pa.float64()), pa.array(columns[2], pa.bool_())], [*batch.schema.names[:k], "lang_id", "lang_posterior", "lang_accepted"])
 

@@ -62,10 +62,21 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(docs.select("doc_id", "text", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path")))
 
 
+#: Markup, and what it hides.
+_TAGS = r"(?is)<script\b.*?(?:</script|\z)|<style\b.*?(?:</style|\z)|<[^<>]*>"
+_LANG = r"(?i)<(?:html|body|article)\b[^>]*?\b(?:xml:)?lang\s*=\s*[\"']?([A-Za-z]{2,3})\b"
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with their source as host, and pages with their address and declared language; the other id is null."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    out = language_id.identify(docs, language_id.fit_on(docs), host="source")
-    return out.select("doc_id", "lang_id", "lang_posterior", "lang_accepted")
+    pages = _table(spark, sf_dir, "pages")
+    said = F.nullif(F.regexp_extract("html", _LANG, 1), F.lit(""))
+    host = F.lower(F.try_parse_url("url", F.lit("HOST")))
+    pages = pages.select("page_id", "url", F.regexp_replace("html", _TAGS, " ").alias("text"), said.alias("said"), host.alias("host"))
+    both = docs.select("doc_id", "text", F.col("source").alias("host")).unionByName(pages, allowMissingColumns=True)
+    out = language_id.identify(both, language_id.fit_on(docs), host="host", url="url", declared="said")
+    return out.select("doc_id", "page_id", "lang_id", "lang_posterior", "lang_accepted")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -225,6 +225,28 @@ def test_language_fit_of_many_copies(spark, monkeypatch):
         language_id.fit_on(few.union(many), max_languages=1)
 
 
+def test_language_accepted_by_all_evidence(spark):
+    """und is a class: what speaks for or against a language changes the decision where the text leaves it open."""
+    model = language_id.fit([(t, l) for l, t in SENTENCES.items()])
+    accepted = lambda text, said, prior: language_id.posterior(model, text, said, None, np.log(prior))[2]
+    assert accepted(b"the dog", None, [0.25] * 4) and not accepted(b"the dog", None, [1e-30] * 3 + [1.0])
+    assert not accepted(b"ab", None, [0.2, 0.2, 0.2, 0.4]) and accepted(b"ab", "fr", [0.2, 0.2, 0.2, 0.4])
+
+
+def test_language_of_pages(spark):
+    from corpusflow.llm.queries import op3_language_id
+
+    sf = "/root/testdata/sf0.001"
+    out = op3_language_id(spark, sf).collect()
+    docs, pages = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/pages.parquet")
+    assert Counter(r.doc_id for r in out if r.page_id is None) == Counter(r.doc_id for r in docs.collect())
+    got = {r.page_id: r.lang_id for r in out if r.page_id is not None}
+    assert set(got) == {r.page_id for r in pages.collect()}
+    fitted = {r.lang for r in docs.collect()}
+    said = {r.page_id: r.l for r in pages.select("page_id", F.regexp_extract("html", "lang=\"?([a-z]{2})", 1).alias("l")).collect() if r.l in fitted}
+    assert said and np.mean([got[i] == l for i, l in said.items()]) > 0.9
+
+
 # --- licence scan ---
 
 
