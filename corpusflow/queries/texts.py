@@ -178,4 +178,4 @@ def src03_crawl(spark, sf_dir):
     from corpusflow.sources.web import crawled
 
     pages = table(spark, sf_dir, "pages")
-    return crawled(pages, pages.select(F.regexp_replace("url", "#.*$", "").alias("url")), max_depth=1, max_pages=1000)
+    return crawled(pages, pages.select(F.regexp_replace("url", "#.*$", "").alias("url")), max_depth=1, max_pages=None)

@@ -37,9 +37,10 @@ def link_table(pages: DataFrame) -> DataFrame:
     return found.where(html.site(F.col("source")) == html.site(F.col("target"))).distinct()
 
 
-def crawled(pages: DataFrame, start: DataFrame, max_depth: int = 2, max_pages: int = 100) -> DataFrame:
-    """(url, depth): breadth first from the start; the page limit keeps the nearest, then the first by address."""
-    return reachable(link_table(pages), start, max_depth).orderBy("depth", "url").limit(max_pages)
+def crawled(pages: DataFrame, start: DataFrame, max_depth: int = 2, max_pages: int | None = 100) -> DataFrame:
+    """(url, depth): breadth first from the start; the page limit, if any, keeps the nearest, then the first by address."""
+    found = reachable(link_table(pages), start, max_depth)
+    return found if max_pages is None else found.orderBy("depth", "url").limit(max_pages)
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str = "*") -> DataFrame:

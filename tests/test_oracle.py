@@ -26,3 +26,16 @@ def test_runs(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_crawl_has_every_page_and_followed_links(spark, tmp_path):
+    pages = [(i, f"http://a.example/{i}", f'<a href="/to{i}">x</a>') for i in range(1200)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {(r.url, r.depth) for r in QUERIES["src03_crawl"](spark, str(tmp_path)).collect()}
+    assert got == {(f"http://a.example/{i}", 0) for i in range(1200)} | {(f"http://a.example/to{i}", 1) for i in range(1200)}
+
+
+def test_retrieve_asks_every_item(spark):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id")
+    asked = {r.query_id for r in QUERIES["ret04_retrieve"](spark, SF).select("query_id").distinct().collect()}
+    assert max(asked) >= 5 and asked <= {r.item_id for r in items.collect()}
