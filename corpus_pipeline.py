@@ -14,8 +14,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language stay."""
-    model = language_id.fit_on(docs)
-    return language_id.identify(docs.select(*COLUMNS), model, host="source").where("lang_accepted").select(*COLUMNS)
+    return language_id.identify_fitted(docs.select(*COLUMNS), docs, host="source").where("lang_accepted").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,6 +51,10 @@ _LETTER = re.compile(r"[^\W\d_]")
 _KIND = np.array([x if x >= 128 or 97 <= x <= 122 else 32 if x == 32 or 9 <= x <= 13 else 0 for x in range(256)], np.uint32)
 
 
+class NoLabels(ValueError):
+    """There is nothing to fit on."""
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -86,7 +90,7 @@ def fit_on(docs: DataFrame, text: str = "text", label: str = "lang", per_languag
     labelled = docs.where(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(text).alias("t"), F.col(label).alias("l")).withColumn("h", F.xxhash64("t"))
     sizes = {r.l: r.n for r in labelled.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).limit(max_languages + 1).collect()}
     if not sizes:
-        raise ValueError("no labelled rows to fit on")
+        raise NoLabels("no labelled rows to fit on")
     if len(sizes) > max_languages:
         raise ValueError(f"more than {max_languages} languages: raise max_languages")
     # hashes are even, so a range from the smallest holds about four times the texts that are needed; it grows while it holds too few
@@ -198,3 +202,14 @@ def identify(docs: DataFrame, model: Model, text: str = "text", host: str | None
     joined = keyed.join(F.broadcast(priors) if few else priors, "__host", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__prior", "__suffix", "__said")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_id", T.StringType()), T.StructField("lang_posterior", T.DoubleType()), T.StructField("lang_accepted", T.BooleanType())])
     return joined.mapInArrow(run, schema)
+
+
+def identify_fitted(docs: DataFrame, labelled: DataFrame, text: str = "text", **given: str) -> DataFrame:
+    """identify() with a model of `labelled`. Without labelled rows no language is known: lang_id and lang_posterior are
+    null, and text with letters is accepted."""
+    try:
+        model = fit_on(labelled)
+    except NoLabels:
+        letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+        return docs.withColumns({"lang_id": F.lit(None).cast("string"), "lang_posterior": F.lit(None).cast("double"), "lang_accepted": letters})
+    return identify(docs, model, text, **given)

@@ -75,7 +75,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     host = F.lower(F.try_parse_url("url", F.lit("HOST")))
     pages = pages.select("page_id", "url", F.regexp_replace("html", _TAGS, " ").alias("text"), said.alias("said"), host.alias("host"))
     both = docs.select("doc_id", "text", F.col("source").alias("host")).unionByName(pages, allowMissingColumns=True)
-    out = language_id.identify(both, language_id.fit_on(docs), host="host", url="url", declared="said")
+    out = language_id.identify_fitted(both, docs, host="host", url="url", declared="said")
     return out.select("doc_id", "page_id", "lang_id", "lang_posterior", "lang_accepted")
 
 

@@ -71,6 +71,13 @@ def test_stages_take_an_empty_table(spark, tmp_path):
         assert stage(spark, empty, str(tmp_path)).count() == 0
 
 
+def test_language_stage_without_labels(spark, tmp_path):
+    stage = dict(corpus_pipeline.STAGES)["language"]
+    assert stage(spark, spark.createDataFrame([], SCHEMA), str(tmp_path)).count() == 0
+    rows = [(1, "the house", None, "s", 9, 1), (2, "12 !", None, "s", 4, 1), (3, None, None, None, None, None)]
+    assert [r.doc_id for r in stage(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()] == [1]
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_same_as_sql(spark, name):
     assert difference(spark, connect(SF), name, QUERIES[name], ORACLE_SQL[name], SF) == ""
