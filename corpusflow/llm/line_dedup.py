@@ -1,10 +1,15 @@
 """Line dedup: lines that many documents repeat are removed from all of them.
 
-Line hashes live in levelled sorted runs, as in a log-structured merge tree. A batch of documents is reduced to one
-sorted table of (hash, documents that hold it). Keys that the runs already know as frequent are removed from the
-batch by a merge anti-join; the rest becomes a new run of level 0. When a level holds `fan_out` runs, they are merged
-(counts added) into one run of the next level. A key's count is the sum over the runs, so each batch costs its own
-size and each key is rewritten once a level.
+Line hashes live in levelled sorted runs, as in a log-structured merge tree. A run is a table of (hash, documents that
+hold it) in buckets by the hash, each sorted by it, and all runs of a store have the same buckets. A batch of documents
+is reduced to its distinct hashes, the one shuffle that it costs. Keys that the runs already know as frequent are a run
+too, and are removed from the batch by a merge anti-join, bucket by bucket; the rest becomes a new run of level 0. When
+a level holds `fan_out` runs, they are merged (counts added) into one run of the next level, so each key is rewritten
+once a level. Joining, merging and counting runs is bucket by bucket, without a shuffle. A key's count is the sum over
+the runs.
+
+There are BATCHES batches, or more where one would have over BATCH_DOCS documents. A store has as many buckets as
+spark.sql.shuffle.partitions says when it is made.
 
 Rules, the same for any size of input:
 - A text is split at \\n. A null or empty text is one empty line.
@@ -14,6 +19,7 @@ Rules, the same for any size of input:
 - Kept lines stay in order, unchanged, joined by \\n. When all lines go, the text is empty; a null text stays null
   unless `null_as_empty`.
 - Hashes have 128 bits: xxh3_128 of the key's UTF-8 bytes.
+- An empty table gives an empty table. Other columns pass through, whatever their names but n_lines and n_dropped.
 """
 
 from __future__ import annotations
@@ -26,10 +32,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.llm.shared import BROADCAST_ROWS, Scratch, worker_state
+from corpusflow.llm.shared import BROADCAST_ROWS, Scratch, tidy
 
 MIN_DOCS = 10
-BATCHES = 4
+BATCHES, BATCH_DOCS = 4, 500_000_000
 FAN_OUT = 2
 _SPACE = b" \t\n\x0b\x0c\r"
 
@@ -56,10 +62,12 @@ class LineRuns:
     def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fan_out: int = FAN_OUT):
         self.spark, self.min_docs, self.fan_out = spark, min_docs, fan_out
         self.scratch = Scratch(spark, "line-runs")
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = []
+        self.known: DataFrame | None = None  # the frequent keys so far, a run of their own
 
     def _run(self, counted: DataFrame, name: str) -> DataFrame:
-        return self.scratch.table(counted.sortWithinPartitions("h"), name)
+        return self.scratch.run(counted, name, "h", self.buckets)
 
     def _merged(self, runs: list[DataFrame]) -> DataFrame:
         union = runs[0]
@@ -77,13 +85,15 @@ class LineRuns:
 
     def add(self, hashes: DataFrame) -> None:
         """One batch: hashes has one row for each document and key."""
-        batch = hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-        if any(self.levels):  # what is known as frequent needs no more counting
-            batch = batch.join(self.frequent().select("h").hint("merge"), "h", "left_anti")
+        run = self._run(hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "batch")
+        if self.known is not None:  # what is known as frequent needs no more counting
+            batch, run = run, self._run(run.join(self.known.hint("merge"), "h", "left_anti"), "run")
+            self.scratch.drop(batch, self.known)
         if not self.levels:
             self.levels.append([])
-        self.levels[0].append(self._run(batch, "run"))
+        self.levels[0].append(run)
         self._compact()
+        self.known = self._run(self.frequent().select("h"), "known")
 
     def _compact(self) -> None:
         at = 0
@@ -100,6 +110,7 @@ class LineRuns:
 def _dropper(frequent: set[bytes] | None, min_chars: int, out_schema: pa.Schema, at: int, null_as_empty: bool):
     """Rewrites column `at`; with frequent None, the last column of each batch lists the row's own frequent hashes."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = None if frequent is not None else batch.column(batch.num_columns - 1).to_pylist()
@@ -119,7 +130,7 @@ def _dropper(frequent: set[bytes] | None, min_chars: int, out_schema: pa.Schema,
     return run
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, min_chars: int = 1, batches: int = BATCHES, fan_out: int = FAN_OUT, null_as_empty: bool = False, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, min_chars: int = 1, batches: int | None = None, fan_out: int = FAN_OUT, null_as_empty: bool = False, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """docs with frequent lines removed from `text`, plus n_lines and n_dropped (both long).
 
     Other columns pass through; columns already named n_lines or n_dropped raise ValueError. The frequent keys go to
@@ -128,12 +139,14 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, m
     spark = docs.sparkSession
     if {"n_lines", "n_dropped"} & set(docs.columns):
         raise ValueError("docs already has a column n_lines or n_dropped")
+    if batches is None:
+        batches = max(BATCHES, -(-docs.count() // BATCH_DOCS))
     store = LineRuns(spark, min_docs, fan_out)
     hashed = store.scratch.table(_in_batches(docs, text, min_chars, batches), "hashes", "batch")
     for b in range(batches):
         store.add(hashed.where(F.col("batch") == b).select("h"))
-    frequent = store.scratch.table(store.frequent().select("h"), "frequent")
-    store.scratch.drop(hashed)
+    frequent = store.known
+    store.scratch.drop(hashed, *(r for level in store.levels for r in level))
     schema, at = _arrow_schema(docs), docs.columns.index(text)
     ddl = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     if frequent.limit(broadcast_rows + 1).count() <= broadcast_rows:
@@ -153,8 +166,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, m
 def _in_batches(docs: DataFrame, text: str, min_chars: int, batches: int) -> DataFrame:
     """(h, batch): a row for each document and distinct key in it; documents go to the batches in turn."""
 
+    @tidy
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_state("lines", dict)
         seen = 0
         for batch in rows:
             out, of = [], []
@@ -170,6 +183,7 @@ def _in_batches(docs: DataFrame, text: str, min_chars: int, batches: int) -> Dat
 
 
 def _text_hashes(keyed: DataFrame, text: str, min_chars: int) -> DataFrame:
+    @tidy
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             out, of = [], []
