@@ -1,18 +1,20 @@
 """Sharding: a two-pass external shuffle of records into shards, in DataFrame functions only.
 
-Pass 1 scatters records by seeded hashes into buckets that fit in memory and writes them: a record's shard depends on its key and the
-number of shards alone, its bucket within the shard on a seeded hash of the whole record. Pass 2 gathers each bucket,
-sorts it, applies Fisher-Yates (Spark's `shuffle`, with a seed) and numbers the records from the bucket's offset in
-its shard.
+Pass 1 scatters records by seeded hashes into buckets that fit in memory and writes them: a record's shard depends on
+its key and the number of shards alone, its bucket within the shard on a seeded hash of the record's place. Pass 2
+gathers each bucket, sorts it by a seeded hash, applies Fisher-Yates (Spark's `shuffle`, with a seed), numbers the
+records from the bucket's offset in its shard, and write_shards() writes them where they are, without a third shuffle.
 
-The law is `key`: for n shards, a record goes to the largest j < n whose hash of (key, j) is divisible by j + 1. That
-gives every shard the same share, and one more shard takes rows only into itself.
+The law is `key`, by a jump consistent hash: the j-th jump of a key leads from shard b to (b + 1) / u, u a hash of (key, j)
+in (0, 1], and the last place below n is the key's shard. That gives every shard the same share, one more shard takes
+rows only into itself, and the work grows with log n.
 
 Rules: equal keys share a shard (null keys are equal). Repeated rows are separate records with slots of their own.
-Buckets are sized by the bytes measured over all records, so their number grows with the input and no bucket gathers a
-hot key: a record's place in the input is part of its bucket's hash. Within a shard, slots count from 0 without gaps.
+The bytes of each shard are measured, over all columns, and it gets buckets by them: a shard with a hot key has more
+buckets, none of them larger, as a record's place in the input is what its bucket hashes. A record larger than a bucket
+is one bucket. Within a shard, slots count from 0 without gaps.
 The order is reproducible for the same files and partition settings; the shard always is. Columns named shard, slot,
-grown_shard or with a leading `__` in the input raise ValueError. An empty table gives an empty table.
+grown_shard, size or with a leading `__` in the input raise ValueError. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,45 +31,62 @@ BUCKET_BYTES = 8 << 20
 SEED = 17
 
 
+def jumps(key: Column, shards: int) -> Column:
+    """struct<b, j>: the last place of the key's jumps below `shards`, and the first that is not."""
+    # a key makes ln(n) jumps on average; that it makes so many has no chance worth naming
+    most = 16 + 8 * math.ceil(math.log(shards + 1))
+    u = lambda i: (F.shiftrightunsigned(F.xxhash64(key, i), 11) + 1) / F.lit(float(1 << 53))
+    jump = lambda s, i: F.struct(s.j.alias("b"), F.least(F.floor((s.j + 1) / u(i)), F.lit(1 << 62)).alias("j"))
+    start = F.struct(F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("j"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(most)), start, lambda s, i: F.when(s.j < shards, jump(s, i)).otherwise(s))
+
+
 def consistent_shard(key: Column, shards: int) -> Column:
-    """The largest j < shards with hash(key, j) divisible by j + 1; j = 0 always is."""
-    return F.greatest(F.lit(0), *[F.when(F.pmod(F.xxhash64(key, F.lit(j)), F.lit(j + 1)) == 0, F.lit(j)).otherwise(F.lit(0)) for j in range(1, shards)]).cast("int") if shards > 1 else F.lit(0)
+    return jumps(key, shards).b.cast("int")
 
 
 def record_bytes(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long")
 
 
+def _all_bytes(records: DataFrame) -> Column:
+    """About what a record takes in memory."""
+    texts = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)).cast("long") for c, kind in records.dtypes if kind in ("string", "binary")]
+    return sum(texts, F.lit(16 * len(records.columns) + 32).cast("long"))
+
+
 def shuffle_into_shards(records: DataFrame, key: str, text: str, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """records with size, shard, slot and grown_shard (its shard were there one more)."""
     clash = {"size", "shard", "slot", "grown_shard"} & set(records.columns) | {c for c in records.columns if c.startswith("__")}
     if clash:
         raise ValueError(f"columns {sorted(clash)} are made here")
-    sized = records.withColumn("size", record_bytes(F.col(text)))
-    total = sized.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first().b
-    per_shard = max(1, math.ceil(total / shards / bucket_bytes))
-    buckets = shards * per_shard
+    jumped = records.withColumn("__jumps", jumps(F.col(key), shards))
+    measured = {r.shard: r.b for r in jumped.groupBy(F.col("__jumps.b").alias("shard")).agg(F.sum(_all_bytes(records)).alias("b")).collect()}
+    count = [max(1, math.ceil(measured.get(s, 0) / bucket_bytes)) for s in range(shards)]
+    first = [sum(count[:s]) for s in range(shards)]
+    of = lambda numbers: F.element_at(F.array(*[F.lit(n) for n in numbers]), (F.col("shard") + 1).cast("int")).cast("long")
     placed = (
-        sized.withColumn("__row", F.monotonically_increasing_id())
-        .withColumn("shard", consistent_shard(F.col(key), shards))
-        .withColumn("__bucket", F.col("shard").cast("long") * per_shard + F.pmod(F.xxhash64(F.lit(seed), "__row", key, "size"), F.lit(per_shard)))
-        .withColumn("grown_shard", consistent_shard(F.col(key), shards + 1))
+        jumped.withColumn("size", record_bytes(F.col(text)))
+        .withColumn("__row", F.monotonically_increasing_id())
+        .withColumn("shard", F.col("__jumps.b").cast("int"))
+        .withColumn("grown_shard", F.when(F.col("__jumps.j") == shards, F.lit(shards)).otherwise(F.col("shard")).cast("int"))
+        .withColumn("__bucket", of(first) + F.pmod(F.xxhash64(F.lit(seed), "__row", key, "size"), of(count)))
+        .drop("__jumps")
     )
     # written, as a row's place may change when its input is read again, and counts must be those of the same buckets
-    placed = Scratch(records.sparkSession, "sharding").table(placed, "scattered")
+    placed = Scratch(records.sparkSession, "sharding").table(placed, "scattered", compression="zstd")
     record = F.struct(F.xxhash64(F.lit(seed + 1), "__row").alias("__order"), "__row", *[c for c in placed.columns if c not in ("__row", "__bucket", "shard")])
     gathered = (
-        placed.select("__bucket", record.alias("__record"))
-        .repartition(buckets, "__bucket")
+        placed.select("__bucket", "shard", record.alias("__record"))
+        .repartition(sum(count), "__bucket")
         .groupBy("__bucket")
-        .agg(F.sort_array(F.collect_list("__record")).alias("__records"))
+        .agg(F.first("shard").alias("shard"), F.sort_array(F.collect_list("__record")).alias("__records"))
         .sortWithinPartitions("__bucket")
         .withColumn("__records", F.shuffle("__records", F.lit(seed)))
     )
-    counted = placed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    shard_of = F.floor(F.col("__bucket") / per_shard).cast("int")
+    counted = placed.groupBy("shard", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counted.withColumn("shard", shard_of).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    starts = counted.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     return (
         gathered.join(starts, "__bucket")
         .select("shard", "__start", F.posexplode("__records").alias("__pos", "__record"))
@@ -75,6 +94,7 @@ def shuffle_into_shards(records: DataFrame, key: str, text: str, shards: int = S
     )
 
 
-def write_shards(shuffled: DataFrame, path: str) -> None:
-    """One folder a shard, its files in slot order; each file holds one run of slots."""
-    shuffled.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(shuffled: DataFrame, path: str) -> DataFrame:
+    """One folder a shard, each file in slot order with whole buckets; the records as read back."""
+    shuffled.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path, compression="zstd")
+    return shuffled.sparkSession.read.schema(shuffled.schema).parquet(path).select(*shuffled.columns)
