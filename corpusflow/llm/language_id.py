@@ -6,18 +6,23 @@ The posterior of a language is the product of
 - the likelihood of the declared markup language (an html lang or xml:lang attribute, or a given column);
 - the likelihood of the address's suffix, where that suffix belongs to a language;
 - the host's prior, smoothed towards its domain's, that towards the corpus's; a host without a dot has no domain. The
-  counts are of the text's own best class, from a grouped aggregation over all rows.
+  counts are of each text's best class, from a grouped aggregation over all rows; a row's own class is taken out of its
+  prior, so no text speaks twice.
 
 `und` stands for no language: a class with a uniform trigram model, a prior of its own and even evidence. A row is
 accepted unless `und` has the best posterior or its text has no letters. Trigram weights are integers (1/4096 nat), so sums are exact and equal in any order.
 
-The trigram model is fitted on at most `per_language` distinct labelled texts of each language, taken in hash order;
-more than `max_languages` languages are an error. All else covers every row and whole texts.
+Each text is read and scored once, into a written table; priors and posteriors are joins and column expressions over
+it. Only hosts, domains and classes are grouped, so a host may hold any share of the rows.
+
+The trigram model is fitted on at most `per_language` distinct labelled texts of each language, taken in hash order,
+without those that would go over `language_bytes` bytes together; more than `max_languages` languages are an error. All
+else covers every row and whole texts.
 
 Rules: a null or empty text has no likelihood, so lang is the best by the other evidence and accepted is false. A null
 host is a host of its own. Ties go to the first language in code order. Repeated rows count each. Columns lang_id,
-lang_posterior, lang_accepted and those with a leading `__` must be new. An empty table gives an empty table, if a
-model is given; fitting needs labelled rows.
+lang_posterior, lang_accepted and those with a leading `__` must be new. An empty table gives an empty table. Fitting
+needs labelled rows; identify_fitted() has a rule for when there are none.
 """
 
 from __future__ import annotations
@@ -32,9 +37,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.llm.shared import BROADCAST_ROWS, worker_state
+from corpusflow.llm.shared import BROADCAST_ROWS, Scratch, slices, tidy
 
-PER_LANGUAGE, MAX_LANGUAGES = 400, 64
+PER_LANGUAGE, LANGUAGE_BYTES, MAX_LANGUAGES = 400, 4 << 20, 64
 BUCKETS = 1 << 16
 UNIT = 4096
 TEMPER = 3
@@ -85,10 +90,12 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     return Model(languages, np.rint(log * UNIT).astype(np.int32))
 
 
-def fit_on(docs: DataFrame, text: str = "text", label: str = "lang", per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> Model:
+def fit_on(docs: DataFrame, text: str = "text", label: str = "lang", per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES, language_bytes: int = LANGUAGE_BYTES) -> Model:
     """Fitted on the per_language distinct texts of each language with the smallest hashes, or on all if there are fewer."""
     labelled = docs.where(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(text).alias("t"), F.col(label).alias("l")).withColumn("h", F.xxhash64("t"))
-    sizes = {r.l: r.n for r in labelled.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).limit(max_languages + 1).collect()}
+    scratch = Scratch(docs.sparkSession, "language-fit")
+    hashes = scratch.table(labelled.select("l", "h", F.octet_length("t").alias("b")).distinct(), "hashes")
+    sizes = {r.l: r.n for r in hashes.groupBy("l").agg(F.count(F.lit(1)).alias("n")).limit(max_languages + 1).collect()}
     if not sizes:
         raise NoLabels("no labelled rows to fit on")
     if len(sizes) > max_languages:
@@ -98,14 +105,22 @@ def fit_on(docs: DataFrame, text: str = "text", label: str = "lang", per_languag
     chosen: list[tuple[str, int]] = []
     while share:
         ranges = F.create_map(*[F.lit(x) for l, s in share.items() for x in (l, (1 << 63) - 1 if s >= 1 else int(s * (1 << 64)) - (1 << 63))])
-        held: dict[str, list[int]] = {l: [] for l in share}
-        for r in labelled.select("l", "h").where(F.col("h") <= ranges[F.col("l")]).distinct().collect():
-            held[r.l].append(r.h)
+        held: dict[str, list[tuple[int, int]]] = {l: [] for l in share}
+        for r in hashes.where(F.col("h") <= ranges[F.col("l")]).collect():
+            held[r.l].append((r.h, r.b))
         done = [l for l, s in share.items() if s >= 1 or len(held[l]) >= per_language]
-        chosen += [(l, h) for l in done for h in sorted(held[l])[:per_language]]
+        for l in done:
+            room = language_bytes
+            for h, b in sorted(held[l])[:per_language]:
+                if b <= room:
+                    chosen.append((l, h))
+                    room -= b
         share = {l: min(1.0, 8 * s) for l, s in share.items() if l not in done}
+    if not chosen:
+        raise NoLabels("every labelled text is longer than language_bytes")
     keys = docs.sparkSession.createDataFrame(chosen, "l string, h long")
     rows = labelled.join(F.broadcast(keys), ["l", "h"]).groupBy("l", "h").agg(F.min("t").alias("t")).collect()
+    scratch.drop(hashes)
     return fit([(r.t, r.l) for r in rows])
 
 
@@ -125,34 +140,6 @@ def _domain(host: Column) -> Column:
     return F.when(host.contains("."), F.substring_index(host, ".", -2)).otherwise(F.lit(""))
 
 
-def host_priors(docs: DataFrame, model: Model, text: str, host: Column) -> DataFrame:
-    """(__host, __prior array<double>): log priors of model.languages and und by host, smoothed by domain and corpus."""
-    names = [*model.languages, UND]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_state("language", dict)
-        for batch in batches:
-            found = []
-            for x in batch.column(0).cast(pa.binary()):
-                s = _scores(shared.value, x.as_py())
-                found.append(names[int(np.argmax(s))] if s.any() else None)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.string())], ["__host", "l"])
-
-    guessed = docs.select(F.col(text).cast("string"), F.coalesce(host.cast("string"), F.lit("")).alias("h")).mapInArrow(best, "__host string, l string")
-    by_host = guessed.groupBy("__host", "l").agg(F.count(F.lit(1)).alias("n")).groupBy("__host").agg(*[F.coalesce(F.sum(F.when(F.col("l") == l, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, l in enumerate(names)])
-    count = len(names)
-    total = by_host.agg(*[F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"n{i}") for i in range(count)]).first()
-    everywhere = sum(total)
-    corpus = [(total[i] + 1) / (everywhere + count) for i in range(count)]
-    by_host = by_host.withColumn("d", _domain(F.col("__host")))
-    domains = by_host.groupBy("d").agg(*[F.sum(f"n{i}").alias(f"d{i}") for i in range(count)])
-    joined = by_host.join(domains, "d")
-    n_host, n_domain = (sum((F.col(f"{c}{i}") for i in range(1, count)), F.col(f"{c}0")) for c in "nd")
-    of_domain = [F.when(F.col("d") == "", F.lit(corpus[i])).otherwise((F.col(f"d{i}") + SMOOTHING * corpus[i]) / (n_domain + SMOOTHING)) for i in range(count)]
-    return joined.select("__host", F.array(*[F.log((F.col(f"n{i}") + SMOOTHING * p) / (n_host + SMOOTHING)) for i, p in enumerate(of_domain)]).alias("__prior"))
-
-
 def _evidence(languages: list[str], said: str | None, right: float) -> np.ndarray:
     """Log likelihoods, und last: it says each language as often."""
     if not said or said not in languages:
@@ -161,55 +148,102 @@ def _evidence(languages: list[str], said: str | None, right: float) -> np.ndarra
     return np.log([*(right if l == said else wrong for l in languages), 1 / len(languages)])
 
 
+def likelihood(model: Model, text: bytes | None, declared: str | None, suffix: str | None) -> tuple[np.ndarray, int | None, bool]:
+    """(log likelihoods of all evidence of a row's own with und last, the text's best class, whether it has letters)."""
+    scores = _scores(model, text)
+    if declared is None and text and b"lang" in text and (m := _DECLARED.search(text)):
+        declared = m[1].decode()
+    log = scores / (UNIT * TEMPER) + _evidence(model.languages, (declared or "").lower()[:2], DECLARED_RIGHT) + _evidence(model.languages, SUFFIXES.get((suffix or "").lower()), SUFFIX_RIGHT)
+    return log, int(np.argmax(scores)) if scores.any() else None, bool(text) and bool(_LETTER.search(text.decode()))
+
+
 def posterior(model: Model, text: bytes | None, declared: str | None, suffix: str | None, prior: np.ndarray) -> tuple[str, float, bool]:
-    """(language, its posterior among languages, accepted). A prior without und gives it an even share."""
+    """(language, its posterior among languages, accepted) of one text. A prior without und gives it an even share."""
     if len(prior) == len(model.languages):
         prior = np.append(prior, np.logaddexp.reduce(prior) - np.log(len(prior)))
-    log = _scores(model, text) / (UNIT * TEMPER) + prior
-    if declared is None and text and b"lang" in text and (m := _DECLARED.search(text)):
-        declared = m[1].decode()
-    log = log + _evidence(model.languages, (declared or "").lower()[:2], DECLARED_RIGHT) + _evidence(model.languages, SUFFIXES.get((suffix or "").lower()), SUFFIX_RIGHT)
+    log, _, letters = likelihood(model, text, declared, suffix)
+    log = log + prior
     at = int(np.argmax(log[:-1]))
-    p = float(1 / np.exp(log[:-1] - log[at]).sum())
-    letters = bool(text) and bool(_LETTER.search(text.decode()))
-    return model.languages[at], p, letters and bool(log[at] >= log[-1])
+    return model.languages[at], float(1 / np.exp(log[:-1] - log[at]).sum()), letters and bool(log[at] >= log[-1])
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", host: str | None = None, url: str | None = None, declared: str | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """docs with lang_id string, lang_posterior double (6 digits) and lang_accepted boolean."""
-    made = {"lang_id", "lang_posterior", "lang_accepted"}
-    if clash := made & set(docs.columns) | {c for c in docs.columns if c.startswith("__")}:
-        raise ValueError(f"columns {sorted(clash)} are made here")
-    address = F.lower(F.try_parse_url(url, F.lit("HOST"))) if url else F.lit(None).cast("string")
-    from_host = F.col(host).cast("string") if host else address
-    priors = host_priors(docs, model, text, from_host)
-    few = priors.limit(broadcast_rows + 1).count() <= broadcast_rows
+def _scored(docs: DataFrame, model: Model, text: str, host: Column, suffix: Column, declared: Column, keep: list[str]) -> DataFrame:
+    """The columns `keep` of docs with __host, __log (log likelihoods of the row's own evidence), __best and __letters."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text)
-    k = len(docs.columns)
-    even = -np.log(len(model.languages) + 1)
+    k = len(keep)
+    given = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(host, F.lit("")).alias("__host"), F.col(f"`{text}`").cast("string").alias("__text"), suffix.alias("__suffix"), declared.alias("__said"))
+    made = T.StructType([*given.schema.fields[: k + 1], T.StructField("__log", T.ArrayType(T.DoubleType())), T.StructField("__best", T.IntegerType()), T.StructField("__letters", T.BooleanType())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
-            prior, suffix, said = (batch.column(k + i).to_pylist() for i in range(3))
-            rows = [posterior(m, x.as_py(), d, s, np.array(p) if p is not None else np.full(len(m.languages) + 1, even)) for x, p, s, d in zip(batch.column(at).cast(pa.binary()), prior, suffix, said, strict=True)]
-            columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(columns[0], pa.string()), pa.array([round(p, 6) for p in columns[1]], pa.float64()), pa.array(columns[2], pa.bool_())], [*batch.schema.names[:k], "lang_id", "lang_posterior", "lang_accepted"])
-
-    said = F.col(declared).cast("string") if declared else F.lit(None).cast("string")
-    keyed = docs.withColumn("__host", F.coalesce(from_host, F.lit(""))).withColumn("__suffix", F.substring_index(address, ".", -1)).withColumn("__said", said)
-    joined = keyed.join(F.broadcast(priors) if few else priors, "__host", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__prior", "__suffix", "__said")
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_id", T.StringType()), T.StructField("lang_posterior", T.DoubleType()), T.StructField("lang_accepted", T.BooleanType())])
-    return joined.mapInArrow(run, schema)
-
-
-def identify_fitted(docs: DataFrame, labelled: DataFrame, text: str = "text", **given: str) -> DataFrame:
+            for part in slices(batch, k + 1):
+                rows = [likelihood(shared.value, x.as_py(), d, s) for x, s, d in zip(part.column(k + 1).cast(pa.binary()), part.column(k + 2).to_pylist(), part.column(k + 3).to_pylist(), strict=True)]
+                log, best, letters = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([*part.columns[: k + 1], pa.array([x.tolist() for x in log], pa.list_(pa.float64())), pa.array(best, pa.int32()), pa.array(letters, pa.bool_())], [f.name for f in made])
+
+    return given.mapInArrow(run, made)
+
+
+def host_counts(scored: DataFrame, classes: int) -> tuple[DataFrame, list[int]]:
+    """(__host, __n, __d, and their totals __n_all, __d_all): how many texts of the host, and of its domain (null without
+    one), are best in each class; and the same of all hosts together."""
+    by_class = scored.groupBy("__host", "__best").agg(F.count(F.lit(1)).alias("n"))
+    by_host = by_class.groupBy("__host").agg(*[F.coalesce(F.sum(F.when(F.col("__best") == i, F.col("n"))), F.lit(0)).alias(f"n{i}") for i in range(classes)])
+    by_host = by_host.withColumn("__domain", _domain(F.col("__host")))
+    total = by_host.agg(*[F.coalesce(F.sum(f"n{i}"), F.lit(0)) for i in range(classes)]).first()
+    domains = by_host.where("__domain <> ''").groupBy("__domain").agg(F.array(*[F.sum(f"n{i}") for i in range(classes)]).alias("__d"))
+    found = by_host.join(domains, "__domain", "left").select("__host", F.array(*[f"n{i}" for i in range(classes)]).alias("__n"), "__d")
+    add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda x, y: x + y).alias(f"{c}_all")
+    return found.select("*", add("__n"), add("__d")), list(total)
+
+
+def _log_prior(total: list[int], classes: int) -> Column:
+    """array<double> from __n, __d and __best: each level without the row's own class, smoothed towards the next."""
+    own = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda i: F.when(i.eqNullSafe(F.col("__best")), F.lit(1)).otherwise(F.lit(0)))
+    one = F.when(F.col("__best").isNull(), F.lit(0)).otherwise(F.lit(1))
+    corpus = F.zip_with(F.array(*[F.lit(x) for x in total]), own, lambda t, o: (t - o + 1) / (F.lit(sum(total) + classes) - one))
+    less = lambda counts: F.zip_with(counts, own, lambda c, o: c - o)
+    smoothed = lambda c, above: F.zip_with(less(F.col(c)), above, lambda n, p: (n + SMOOTHING * p) / (F.col(f"{c}_all") - one + SMOOTHING))
+    domain = F.when(F.col("__d").isNull(), corpus).otherwise(smoothed("__d", corpus))
+    host = F.when(F.col("__n").isNull(), domain).otherwise(smoothed("__n", domain))
+    return F.transform(host, lambda p: F.log(p))
+
+
+def identify(docs: DataFrame, model: Model, text: str = "text", host: str | None = None, url: str | None = None, declared: str | None = None, keep: list[str] | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """docs, or its columns `keep`, with lang_id string, lang_posterior double (6 digits) and lang_accepted boolean."""
+    keep = docs.columns if keep is None else keep
+    made = {"lang_id", "lang_posterior", "lang_accepted"}
+    if clash := made & set(keep) | {c for c in keep if c.startswith("__")}:
+        raise ValueError(f"columns {sorted(clash)} are made here")
+    none = F.lit(None).cast("string")
+    address = F.lower(F.try_parse_url(url, F.lit("HOST"))) if url else none
+    from_host = F.col(host).cast("string") if host else address
+    said = F.col(declared).cast("string") if declared else none
+    scratch, classes = Scratch(docs.sparkSession, "language"), len(model.languages) + 1
+    scored = scratch.table(_scored(docs, model, text, from_host, F.substring_index(address, ".", -1), said, keep), "scored", compression="zstd")
+    counts, total = host_counts(scored, classes)
+    counts = scratch.table(counts, "hosts")
+    few = counts.limit(broadcast_rows + 1).count() <= broadcast_rows
+    joined = scored.join(F.broadcast(counts) if few else counts, "__host", "left")
+    fused = joined.withColumn("__log", F.zip_with("__log", _log_prior(total, classes), lambda x, y: x + y))
+    fused = fused.withColumn("__top", F.array_max(F.slice("__log", 1, classes - 1)))
+    names = F.array(*[F.lit(l) for l in model.languages])
+    share = 1 / F.aggregate(F.slice("__log", 1, classes - 1), F.lit(0.0), lambda x, y: x + F.exp(y - F.col("__top")))
+    return fused.select(
+        *[F.col(f"`{c}`") for c in keep],
+        F.get(names, (F.array_position("__log", F.col("__top")) - 1).cast("int")).alias("lang_id"),
+        F.round(share, 6).alias("lang_posterior"),
+        (F.col("__letters") & (F.col("__top") >= F.element_at("__log", -1))).alias("lang_accepted"),
+    )
+
+
+def identify_fitted(docs: DataFrame, labelled: DataFrame, text: str = "text", keep: list[str] | None = None, **given: str) -> DataFrame:
     """identify() with a model of `labelled`. Without labelled rows no language is known: lang_id and lang_posterior are
     null, and text with letters is accepted."""
     try:
         model = fit_on(labelled)
     except NoLabels:
         letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-        return docs.withColumns({"lang_id": F.lit(None).cast("string"), "lang_posterior": F.lit(None).cast("double"), "lang_accepted": letters})
-    return identify(docs, model, text, **given)
+        return docs.select(*[F.col(f"`{c}`") for c in keep or docs.columns], letters.alias("lang_accepted")).withColumns({"lang_id": F.lit(None).cast("string"), "lang_posterior": F.lit(None).cast("double")}).select(*(keep or docs.columns), "lang_id", "lang_posterior", "lang_accepted")
+    return identify(docs, model, text, keep=keep, **given)
