@@ -8,15 +8,17 @@ similarity of 0.8 a pair misses all 32 bands with a probability of 5e-8. Each li
 Scale:
 - Equal sets are one node, found by a 128-bit key, so copies cost nothing further.
 - A bucket of any size is linked to one hub (its smallest node) first. Only buckets that still hold several components
-  go on: to the hubs of all their bands, then to all pairs of different components. The nodes of buckets of
-  more than BUCKET members meet in blocks instead, where overlaps are counted through an inverted index and only links
-  come out. Sizes are compared before sets are read.
+  go on: to the hubs of all their bands, then for some rounds to hubs drawn anew. All of this is one pair a member.
+- What is left in buckets of at most BUCKET members meets pair by pair. Nodes of larger ones go to an inverted index of
+  their rarest shingles: two sets that are similar enough share one of the rarest (1 - t) n + 1 of each, and the place
+  where they first meet bounds what they can share after it. Only pairs that pass this bound come out. The entries of a
+  frequent shingle are dealt into cells of CELL, so none is a task of its own. Sizes are compared before sets are read.
 - Components are found by label propagation with pointer jumping on written tables; nothing of it comes to the driver.
 
 Rules: words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; a set is the distinct runs of `words` words. A text with
 fewer words is one shingle of all of them; without words (or null) the set is empty and linked with nothing. Repeated
 ids and repeated rows are separate documents; a null id has the group's smallest other id, or null. Links are inclusive
-of the threshold. Extra columns are ignored; an empty table gives an empty table.
+of the threshold. Extra columns are ignored; an empty table gives an empty table. A word of any length is one word.
 """
 
 from __future__ import annotations
@@ -27,19 +29,21 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.shared import Scratch, worker_state
+from corpusflow.llm.shared import Scratch, slices, tidy
 
 WORDS, PERCENT = 5, 80
 PERMUTATIONS, PER_BAND = 64, 2
-#: Nodes of larger buckets find their remaining links in blocks.
-BUCKET = 50
-#: Shingles of one block of nodes that meets each other block.
-BLOCK_SHINGLES = 500_000
+#: Nodes of larger buckets find their remaining links through the index, after at most so many rounds of new hubs.
+BUCKET, ROUNDS = 50, 3
+#: Entries of one shingle in the index that meet in one cell.
+CELL = 256
+#: Places of the table that the index takes its order from, and the parts that it is added up in.
+SLOTS, PARTS = 1 << 18, 16
 #: Rows of two longs that may be broadcast.
-BROADCAST = 500_000
+BROADCAST = 200_000
 _MASK = (1 << 64) - 1
 _K = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xD6E8FEB86659FD93)
@@ -47,9 +51,11 @@ _M = np.uint64(0xD6E8FEB86659FD93)
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        found = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) >= 200_000:
+                self.clear()
+            self[word] = found
         return found
 
 
@@ -64,10 +70,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_set(text: bytes | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of `words` words."""
+def shingle_set(text: bytes | None, words: int = WORDS, hashes: dict[bytes, int] | None = None) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the runs of `words` words. `hashes` keeps those of words from text to text."""
     found = (text or b"").lower().split()
-    h = np.fromiter(map(worker_state("word hashes", _Words).__getitem__, found), np.uint64, len(found))
+    h = np.fromiter(map((_Words() if hashes is None else hashes).__getitem__, found), np.uint64, len(found))
     if not len(h):
         return h
     width = min(words, len(h))
@@ -104,19 +110,20 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(_longs(np.concatenate(arrays)) if arrays else np.zeros(0, np.int64)))
 
 
-def _row_hash(doc_id: str, text: str):
-    return F.xxhash64(F.col(doc_id), F.col(text))
+def text_key(text: str) -> Column:
+    """128 bits of the text as two longs."""
+    return F.struct(F.xxhash64(F.col(text)).alias("t"), F.xxhash64(F.lit(1), F.col(text)).alias("u"))
 
 
 def signed(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """(uid, doc_id, row, n, key, bands); uid is unique once written."""
+    """(uid, doc_id, row, n, key, bands): row is text_key(text); uid is unique once written."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uid = TaskContext.get().partitionId() << 40
+        uid, hashes = TaskContext.get().partitionId() << 40, _Words()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                sets = [shingle_set(x.as_py(), words) for x in part.column(1).cast(pa.binary())]
+            for part in slices(batch, 1):
+                sets = [shingle_set(x.as_py(), words, hashes) for x in part.column(1).cast(pa.binary())]
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 none = np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays(
@@ -125,28 +132,30 @@ def signed(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
                 )
                 uid += len(sets)
 
-    chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), _row_hash(doc_id, text).alias("row"))
-    return chosen.mapInArrow(run, "uid long, doc_id long, row long, n long, key binary, bands array<long>")
+    chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), text_key(text).alias("row"))
+    return chosen.mapInArrow(run, "uid long, doc_id long, row struct<t:long,u:long>, n long, key binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, doc_id: str, text: str, words: int, wanted: DataFrame) -> DataFrame:
     """(uid, n, sh) of the wanted (uid, row)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Words()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                sets = [shingle_set(x.as_py(), words) for x in part.column(1).cast(pa.binary())]
+            for part in slices(batch, 1):
+                sets = [shingle_set(x.as_py(), words, hashes) for x in part.column(1).cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), _lists([_longs(s) for s in sets])], ["uid", "n", "sh"])
 
     few = wanted.limit(BROADCAST + 1).count() <= BROADCAST
-    found = docs.select(F.col(text).cast("string").alias("__text"), _row_hash(doc_id, text).alias("row")).join(F.broadcast(wanted) if few else wanted, "row").select("uid", "__text")
+    found = docs.select(F.col(text).cast("string").alias("__text"), text_key(text).alias("row")).join(F.broadcast(wanted) if few else wanted, "row").select("uid", "__text")
     return found.mapInArrow(run, "uid long, n long, sh array<long>").dropDuplicates(["uid"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of (a, b), those whose sets overlap enough."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = batch.column(2), batch.column(3)
@@ -188,15 +197,17 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 class _Links:
     """Labels of nodes, merged by rounds of confirmed pairs."""
 
-    def __init__(self, members: DataFrame, sets: DataFrame, scratch: Scratch, percent: int):
-        self.members, self.sets, self.scratch, self.percent = members, sets, scratch, percent
+    def __init__(self, sets: DataFrame, scratch: Scratch, percent: int):
+        self.sets, self.scratch, self.percent = sets, scratch, percent
         self.labels: DataFrame | None = None
 
-    def labelled(self) -> DataFrame:
-        """members (band, uid, n, hub, hub_n) with label."""
+    def label(self, rows: DataFrame, of: str, name: str) -> DataFrame:
+        """rows with the label of the node in column `of`; a node without one is its own."""
         if self.labels is None:
-            return self.members.withColumn("label", F.col("uid"))
-        return self.members.join(self.labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+            return rows.withColumn(name, F.col(of))
+        few = self.labels.limit(BROADCAST + 1).count() <= BROADCAST
+        known = self.labels.select(F.col("node").alias(of), F.col("label").alias("__l"))
+        return rows.join(F.broadcast(known) if few else known, of, "left").withColumn(name, F.coalesce("__l", of)).drop("__l")
 
     def merge(self, pairs: DataFrame) -> int:
         """Confirms pairs (a, b); how many held."""
@@ -204,32 +215,24 @@ class _Links:
         if pairs.isEmpty():
             return 0
         edges = self.scratch.table(_confirmed(pairs, self.sets, self.percent), "held")
-        return self._join(edges)
-
-    def merge_held(self, edges: DataFrame) -> int:
-        """Merges pairs (a, b) that are known to hold."""
-        return self._join(self.scratch.table(edges, "held"))
-
-    def _join(self, edges: DataFrame) -> int:
         held = edges.count()
         if held:
-            if self.labels is not None:  # between labels; all labelled nodes then follow their label
-                l = self.labels
+            before = self.labels
+            if before is not None:  # between labels; all labelled nodes then follow their label
                 for c in ("a", "b"):
-                    edges = edges.join(l.select(F.col("node").alias(c), F.col("label").alias(f"__{c}")), c, "left").withColumn(c, F.coalesce(f"__{c}", c)).drop(f"__{c}")
+                    edges = self.label(edges, c, "__of").withColumn(c, F.col("__of")).drop("__of")
                 edges = edges.where("a <> b")
-            found = components(edges, self.scratch)
-            if self.labels is None:
-                self.labels = found
-            else:
-                moved = l.join(found.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-                new = found.join(l, "node", "left_anti")
-                self.labels = self.scratch.table(moved.unionByName(new), "merged")
+            self.labels = found = components(edges, self.scratch)
+            if before is not None:
+                moved = before.join(found.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+                self.labels = self.scratch.table(moved.unionByName(found.join(before, "node", "left_anti")), "merged")
+                self.scratch.drop(before, found)
+        self.scratch.drop(pairs)
         return held
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, row): row is xxhash64(doc_id, text)."""
+    """(doc_id, n_shingles, component_id, kept, component, row): component is a number that its rows alone share, row is text_key(text)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     rows = scratch.table(signed(docs, doc_id, text, words), "signed")
@@ -238,77 +241,122 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = full.join(classes.select("uid"), "uid", "left_semi")
     banded = nodes.select("uid", "n", "row", F.explode("bands").alias("band"))
     hubs = scratch.table(banded.groupBy("band").agg(F.min(F.struct("uid", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").select("band", F.col("hub.uid").alias("hub"), F.col("hub.n").alias("hub_n"), "size"), "hubs")
-    members = scratch.table(banded.join(hubs, "band"), "members")
+    few = hubs.limit(BROADCAST + 1).count() <= BROADCAST
+    members = scratch.table(banded.join(F.broadcast(hubs) if few else hubs, "band"), "members")
     labels = None
     if not members.isEmpty():
         wanted = members.groupBy("uid").agg(F.first("row").alias("row"))
         sets = scratch.table(_sets(docs, doc_id, text, words, wanted), "sets")
-        links = _Links(members, sets, scratch, percent)
+        links = _Links(sets, scratch, percent)
         able = members.where(F.col("uid") != F.col("hub")).where(_near("n", "hub_n", percent))
         links.merge(able.groupBy("uid").agg(F.min("hub").alias("b")).withColumnRenamed("uid", "a"))
-        _more(links, percent)
+        _more(members, links, percent)
         labels = links.labels
+        scratch.drop(members, sets)
     known = classes.select("key", "uid", "least", "copies")
     if labels is None:
-        groups = known.where("copies > 1").select("key", F.col("least").alias("component"))
+        groups = known.where("copies > 1").select("key", F.col("uid").alias("label"), F.col("least").alias("component"))
     else:
         of = known.join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
         of = scratch.table(of.where("copies > 1 or label <> uid").unionByName(of.join(labels.where("label <> node").select("label").distinct(), "label", "left_semi").where("copies = 1 and label = uid")), "grouped")
         least = scratch.table(of.groupBy("label").agg(F.min("least").alias("component")), "least")
-        groups = of.join(least, "label").select("key", "component")
+        groups = of.join(least, "label").select("key", "label", "component")
     groups = scratch.table(groups, "groups")
     joined = rows.select("doc_id", "n", "key", "row", "uid").join(groups.withColumn("__in", F.lit(True)), "key", "left")
     component = F.when((F.col("n") > 0) & F.col("__in"), F.col("component")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "row")
+    own = F.when((F.col("n") > 0) & F.col("__in"), F.col("label")).otherwise(F.col("uid"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), own.alias("component"), "row")
 
 
-def _more(links: _Links, percent: int) -> None:
+def _more(members: DataFrame, links: _Links, percent: int) -> None:
     """The rounds after the first: buckets that hold several components."""
     s = links.scratch
-    at = links.labelled()
-    hub_label = at.where(F.col("uid") == F.col("hub")).select("band", F.col("label").alias("hub_label"))
-    apart = at.join(hub_label, "band").where(F.col("label") != F.col("hub_label")).where(_near("n", "hub_n", percent))
-    links.merge(apart.select(F.col("uid").alias("a"), F.col("hub").alias("b")).distinct())
-    at = s.table(links.labelled(), "labelled")
-    mixed = s.table(at.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count(F.lit(1)).alias("now")).where("l <> m").select("band", "now"), "mixed")
-    rest = s.table(at.select("band", "uid", "n", "label").join(mixed, "band"), "rest")
-    left, right = (rest.select("band", "now", F.col("uid").alias(u), F.col("n").alias(n), F.col("label").alias(x)) for u, n, x in (("a", "n", "x"), ("b", "m", "y")))
-    small = left.where(F.col("now") <= BUCKET).drop("now").join(right.drop("now"), "band").where("a < b and x <> y").where(_near("n", "m", percent)).select("a", "b").distinct()
-    big = s.table(rest.where(F.col("now") > BUCKET).select("uid", "n", "label").distinct(), "big")
-    links.merge(small)
-    links.merge_held(_in_blocks(big, links.sets, percent))
-
-
-def _in_blocks(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between nodes (uid, n, label) of different labels, one at least for each node and label it reaches.
-
-    The nodes are dealt into blocks of about BLOCK_SHINGLES shingles, and each two blocks meet in one group: the one's
-    sets count their overlaps through an inverted index of the other's. Only links leave the group.
+
+    def off_hub(rows: DataFrame) -> DataFrame:
+        """Members that are not in their hub's component: a bucket without any is one component, and stays one."""
+        return s.table(links.label(links.label(rows, "uid", "label"), "hub", "hub_label").where("label <> hub_label").select(members.columns), "off-hub")
+
+    apart = off_hub(members)
+    links.merge(apart.where(_near("n", "hub_n", percent)).select(F.col("uid").alias("a"), F.col("hub").alias("b")).distinct())
+    mixed = s.table(off_hub(apart).select("band").distinct(), "mixed")
+    few = mixed.limit(BROADCAST + 1).count() <= BROADCAST
+    rest = s.table(members.join(F.broadcast(mixed) if few else mixed, "band", "left_semi").select("band", "uid", "n", "size"), "rest")
+    rest = _mixed(rest, links)
+    for turn in range(ROUNDS):
+        big = rest.where(F.col("size") > BUCKET)
+        drawn = big.groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "uid").alias("draw"), F.col("uid").alias("b"), F.col("n").alias("m"), F.col("label").alias("y"))).alias("d")).select("band", "d.b", "d.m", "d.y")
+        if not links.merge(big.join(s.table(drawn, "drawn"), "band").where(F.col("label") != F.col("y")).where(_near("n", "m", percent)).select(F.col("uid").alias("a"), "b").distinct()):
+            break
+        rest = _mixed(rest.drop("label"), links)
+    left, right = (rest.where(F.col("size") <= BUCKET).select("band", F.col("uid").alias(u), F.col("n").alias(n), F.col("label").alias(x)) for u, n, x in (("a", "n", "x"), ("b", "m", "y")))
+    small = left.join(right, "band").where("a < b and x <> y").where(_near("n", "m", percent)).select("a", "b").distinct()
+    big = s.table(rest.where(F.col("size") > BUCKET).select("uid", "n", "label").distinct(), "big")
+    links.merge(small.unionByName(_by_rarest(big, links.sets, s, percent)).distinct())
+
+
+def _mixed(rows: DataFrame, links: _Links) -> DataFrame:
+    """Of members (band, uid, n, size) those in buckets that hold several components, with their label."""
+    at = links.scratch.table(links.label(rows, "uid", "label"), "labelled")
+    mixed = at.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("band")
+    return links.scratch.table(at.join(links.scratch.table(mixed, "mixed"), "band", "left_semi"), "rest")
+
+
+def _slots(nodes: DataFrame) -> np.ndarray:
+    """How many of the shingles of nodes (uid, n, label, sh) fall on each of SLOTS places: at least how many sets have one."""
+
+    @tidy
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            lists = batch.column(0)
+            held += np.bincount(lists.flatten().to_numpy() & (SLOTS - 1), minlength=SLOTS)
+        for part in range(PARTS):
+            own = held[part :: PARTS]
+            at = np.flatnonzero(own)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([at.astype("<i4").tobytes()]), pa.array([own[at].astype("<i8").tobytes()])], ["part", "at", "n"])
+
+    def add(key: tuple, rows: pa.Table) -> pa.Table:
+        total = np.zeros(SLOTS // PARTS, np.int64)
+        for at, n in zip(rows.column("at"), rows.column("n"), strict=True):
+            total[np.frombuffer(at.as_buffer(), "<i4")] += np.frombuffer(n.as_buffer(), "<i8")
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([total.astype("<i8").tobytes()])})
+
+    out = np.zeros(SLOTS, np.int64)
+    for r in nodes.select("sh").mapInArrow(count, "part int, at binary, n binary").groupBy("part").applyInArrow(add, "part int, n binary").collect():  # SLOTS numbers
+        out[r.part :: PARTS] = np.frombuffer(r.n, "<i8")
+    return out
+
+
+def _by_rarest(nodes: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """(a, b): pairs of nodes (uid, n, label) of different labels, with all that are similar enough among them.
+
+    Each set is ordered from its rarest shingle on, by the counts of a table of SLOTS places; any one order for all sets
+    is exact, this one keeps pairs few. What two sets share must begin within the first n - ceil(t n) + 1 of both, and
+    from there at most the shorter rest can be shared.
     """
-    blocks = max(1, -(-(nodes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n) // BLOCK_SHINGLES))
-    dealt = nodes.join(sets.select("uid", "sh"), "uid").withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(blocks)))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
-    met = dealt.withColumn("other", other).select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "uid", "n", "label", "sh")
-
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        i, j = key[0].as_py(), key[1].as_py()
-        block, uid, label = (rows.column(c).to_numpy() for c in ("block", "uid", "label"))
-        lists = rows.column("sh").combine_chunks()
-        n, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
-        first = np.concatenate([[0], np.cumsum(n)])
-        _, token = np.unique(flat, return_inverse=True)
-        owner = np.repeat(np.arange(len(uid)), n)
-        right = block[owner] == j
-        order = np.argsort(token[right], kind="stable")
-        held = owner[right][order]
-        at = np.searchsorted(token[right][order], np.arange(token.max() + 2 if len(token) else 1))
-        out: list[tuple[int, int]] = []
-        for a in np.flatnonzero(block == i).tolist():
-            mine = token[first[a] : first[a + 1]]
-            both = np.bincount(np.concatenate([held[at[t] : at[t + 1]] for t in mine.tolist()]), minlength=len(uid))
-            link = np.flatnonzero((100 * both >= percent * (n[a] + n - both)) & (label != label[a]) & (both > 0))
-            _, one = np.unique(label[link], return_index=True)
-            out += [(int(uid[a]), int(uid[b])) for b in link[one].tolist()]
-        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
-
-    return met.groupBy("i", "j").applyInArrow(run, "a long, b long")
+    if nodes.isEmpty():
+        return nodes.select(F.col("uid").alias("a"), F.col("uid").alias("b"))
+    held = scratch.table(nodes.join(sets.select("uid", "sh"), "uid").select("uid", "n", "label", "sh"), "sets-of-big")
+    counts = nodes.sparkSession.sparkContext.broadcast(_slots(held))
+
+    @tidy
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uid, n, label, shingles in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                own = shingles.values.to_numpy()
+                seen = counts.value[own & (SLOTS - 1)]
+                first = np.lexsort((own, seen))[: n - (n * percent + 99) // 100 + 1]
+                place = np.flatnonzero(seen[first] > 1)  # a place that one shingle has is one set's alone
+                k = len(place)
+                if k:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, uid)), pa.array(np.full(k, n)), pa.array(np.full(k, label)), pa.array(own[first[place]]), pa.array(place + 1)], ["uid", "n", "label", "s", "i"])
+
+    first = scratch.table(held.mapInArrow(rarest, "uid long, n long, label long, s long, i long"), "rarest")
+    cells = first.groupBy("s").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
+    entries = scratch.table(first.join(cells, "s"), "entries")
+    left = entries.select("s", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.col("uid").alias("a"), "n", F.col("label").alias("x"), "i")
+    right = entries.select("s", F.pmod(F.xxhash64("uid"), F.col("cells")).cast("int").alias("cell"), F.col("uid").alias("b"), F.col("n").alias("m"), F.col("label").alias("y"), F.col("i").alias("j"))
+    most = 1 + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
+    met = left.join(right, ["s", "cell"]).where("a < b and x <> y").where(_near("n", "m", percent) & ((100 + percent) * most >= percent * (F.col("n") + F.col("m"))))
+    return met.select("a", "b").distinct()
