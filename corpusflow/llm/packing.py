@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusflow.llm.shared import Scratch, worker_state
+from corpusflow.llm.shared import Scratch, keeping, slices, worker_state
 
 WINDOW = 4096
 END_ID = 2
@@ -82,7 +82,7 @@ class WordTokens:
         if found is None:
             shown = piece if piece.isascii() else "".join(map(self.letter.__getitem__, piece.encode()))  # ASCII stands for itself
             found = array(self.kind, [t.id for t in self.model.tokenize(shown)]).tobytes()
-            if len(self.pieces) < CACHE:
+            if len(self.pieces) < CACHE and len(piece) <= 64:
                 self.pieces[piece] = found
         return found
 
@@ -91,7 +91,7 @@ class WordTokens:
             out = array(self.kind, self.library.encode(word, add_special_tokens=False).ids).tobytes()
         else:
             out = b"".join(map(self._piece, self.pattern.findall(word.lower())))
-        if len(self.words) < CACHE:
+        if len(self.words) < CACHE and len(word) <= 64:
             self.words[word] = out
         return out
 
@@ -107,14 +107,14 @@ class WordTokens:
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(uid, doc_id, source, n, ids): ids as words of id_kind, ending with end_id; uid is unique once written."""
 
+    @keeping(f"word tokens {tokenizer}")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = worker_state(f"word tokens {tokenizer}", lambda: WordTokens(tokenizer))
         encode, kind = words.ids, words.kind
         end = array(kind, [end_id]).tobytes()
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in slices(batch, 1):
                 ids = [encode(x) + end if x else end for x in part.column(1).to_pylist()]
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(range(uid, uid + n), pa.int64()), part.column(0), part.column(2), pa.array([len(x) // len(end) for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["uid", "doc_id", "source", "n", "ids"])

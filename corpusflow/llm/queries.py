@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from corpusflow.llm import audio, decontam, language_id, license_scan, line_dedup, minhash, packing, sharding, token_counts, warc_zip
+from corpusflow.llm.shared import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +23,8 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = sharding.shuffle_into_shards(docs, "doc_id", "text", shards=40)
+    shuffled = sharding.shuffle_into_shards(docs, "doc_id", "text", shards=40)
+    out = sharding.write_shards(shuffled, Scratch(spark, "shards").path("written"))
     return out.select("doc_id", "size", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
@@ -54,7 +56,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return minhash.near_duplicates(docs, words=4, percent=80).drop("row")
+    return minhash.near_duplicates(docs, words=4, percent=80).drop("component", "row")
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +77,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     host = F.lower(F.try_parse_url("url", F.lit("HOST")))
     pages = pages.select("page_id", "url", F.regexp_replace("html", _TAGS, " ").alias("text"), said.alias("said"), host.alias("host"))
     both = docs.select("doc_id", "text", F.col("source").alias("host")).unionByName(pages, allowMissingColumns=True)
-    out = language_id.identify_fitted(both, docs, host="host", url="url", declared="said")
+    out = language_id.identify_fitted(both, docs, keep=["doc_id", "page_id"], host="host", url="url", declared="said")
     return out.select("doc_id", "page_id", "lang_id", "lang_posterior", "lang_accepted")
 
 

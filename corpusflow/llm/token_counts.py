@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.llm.shared import worker_state
+from corpusflow.llm.shared import keeping, worker_state
 
 MAX_STATES = 100_000
 CHUNK = 256
@@ -315,6 +315,7 @@ def with_token_counts(docs: DataFrame, tokenizer: str, text: str = "text", out:
     at = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.LongType())])
 
+    @keeping(f"token counter {tokenizer}")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = worker_state(f"token counter {tokenizer}", lambda: TokenCounter(tokenizer))
         for batch in batches:

@@ -99,7 +99,7 @@ def corpus(seed=3, n=120):
 @pytest.mark.parametrize("bucket", [1, 50])
 def test_near_duplicates(spark, bucket, monkeypatch):
     monkeypatch.setattr(minhash, "BUCKET", bucket)
-    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 700)
+    monkeypatch.setattr(minhash, "CELL", 3)
     texts = corpus()
     docs = spark.createDataFrame([(i, t, "e", 1) for i, t in enumerate(texts)], DOCS).repartition(4)
     got = {r.doc_id: (r.component_id, r.n_shingles, r.kept) for r in minhash.near_duplicates(docs, words=4, percent=80).collect()}
@@ -279,3 +279,45 @@ def test_license_of_wrapped_notices(spark):
     assert [out[i][:2] for i in range(4)] == [(l, "header") for l in ("GPL-2.0", "LGPL-3.0", "BSD-3-Clause", "MIT")] and min(out[i][2] for i in range(4)) > 0.8
     assert out[4][:2] == ("AGPL-3.0", "file") and out[5][:2] == ("AGPL-3.0", "inherited") and out[4][2] > 0.9
     assert out[6] == ("MIT", "header", 1.0) and out[7] == (None, None, None)
+
+
+def test_language_priors_and_posteriors_equal_brute_force(spark):
+    """Host, domain and corpus counts without the row's own class, and the fused posterior, row by row."""
+    rnd = random.Random(6)
+    model = language_id.fit([(t, l) for l, t in SENTENCES.items()])
+    names = [*model.languages, "und"]
+    hosts = ["a.x.org", "b.x.org", "c.y.de", "lone", None]  # and one without letters
+    rows = []
+    for i in range(120):
+        words = SENTENCES[rnd.choice(list(SENTENCES))].split()
+        text = rnd.choice([" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 9))), None, "", "12 - 3", "zq xj"])
+        rows.append((i % 90, text, rnd.choice(hosts[:1] * 4 + hosts), rnd.choice([None, "de", "FR", "xx"]), rnd.choice([None, "http://q.fr/1", "not an address"])))
+    rows.append((200, "1 2", "d.x.org", None, None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string, said string, url string")
+    own = [language_id.likelihood(model, t.encode() if t is not None else None, said, "fr" if url == "http://q.fr/1" else None) for _, t, _, said, url in rows]
+    domain = lambda h: ".".join(h.split(".")[-2:]) if h and "." in h else None
+
+    def share(of, i, above):
+        counts = np.zeros(len(names))
+        for j in of:
+            if j != i and own[j][1] is not None:
+                counts[own[j][1]] += 1
+        return (counts + 1) / (counts.sum() + len(names)) if above is None else (counts + 20 * above) / (counts.sum() + 20)
+
+    want = Counter()
+    for i, r in enumerate(rows):
+        p = share(range(len(rows)), i, None)
+        if domain(r[2]):
+            p = share([j for j, x in enumerate(rows) if domain(x[2]) == domain(r[2])], i, p)
+        p = share([j for j, x in enumerate(rows) if (x[2] or "") == (r[2] or "")], i, p)
+        lang, post, ok = language_id.posterior(model, r[1].encode() if r[1] is not None else None, r[3], "fr" if r[4] == "http://q.fr/1" else None, np.log(p))
+        want[(r[0], lang, round(post, 6), ok)] += 1
+    out = language_id.identify(docs, model, host="host", url="url", declared="said", keep=["doc_id"])
+    assert out.columns == ["doc_id", "lang_id", "lang_posterior", "lang_accepted"]
+    assert Counter((r.doc_id, r.lang_id, r.lang_posterior, r.lang_accepted) for r in out.collect()) == want
+
+
+def test_language_of_one_very_long_text(spark):
+    model = language_id.fit([(t, l) for l, t in SENTENCES.items()])
+    docs = spark.createDataFrame([(1, (SENTENCES["fr"] + " ") * 100_000, 5), (2, SENTENCES["de"], 5), (2, SENTENCES["de"], 5)], "doc_id long, text string, score int")
+    assert sorted((r.doc_id, r.lang_id, r.score) for r in language_id.identify(docs, model).collect()) == [(1, "fr", 5), (2, "de", 5), (2, "de", 5)]
