@@ -2,46 +2,74 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.functions.text import bound, once, stripped
+
 SIZE, OVERLAP = 2048, 320
 # Where a text may be cut, best first.
 SEPARATORS = ["\n## ", "\n### ", "\n#### ", "\n\n", "\n", ". ", "? ", "! ", "。", "؟", " "]
 
 
+class _Marks(NamedTuple):
+    """Where a text may be cut with one separator: a piece may end at ends[i], the next then starts at starts[i]."""
+
+    ends: list[int]
+    starts: list[int]
+
+
+def _marks(text: str, separator: str, compat: bool) -> _Marks:
+    """White space at a cut goes; a heading's mark stays after it and a sentence's end before it, but for compat."""
+    before = after = len(separator)
+    if not compat:
+        heading = separator.lstrip("\n").startswith("#")
+        before = 0 if heading or not separator.strip() else len(separator.rstrip())
+        after = len(separator) - len(separator.lstrip("\n")) if heading else len(separator)
+    else:
+        before = 0
+    found = [m.start() for m in re.finditer(re.escape(separator), text)]
+    return _Marks([i + before for i in found], [i + after for i in found])
+
+
 def pieces(text: str, size: int = SIZE, separators: list[str] | None = None, compat: bool = False) -> list[str]:
-    """Greedy runs of at most `size` characters between the best separators; what cannot be cut stays whole.
+    """Slices of at most `size` characters that end at the best separators; what cannot be cut stays whole.
 
-    A cut keeps a heading's mark with the heading and a sentence's end with the sentence; compat drops the separator.
+    From each place, the slice goes to the last mark in reach of the best separator that has one there. Where a weaker
+    separator had to be used, the next slices do not go beyond the next mark of a better one.
     """
-    levels = SEPARATORS if separators is None else separators
-    if len(text) <= size or not levels:
-        return [text]
-    sep, rest = levels[0], levels[1:]
-    parts = text.split(sep)
-    if not compat and len(parts) > 1:
-        heading = sep.lstrip("\n").startswith("#")
-        parts = [parts[0], *(sep.lstrip("\n") + p for p in parts[1:])] if heading else [*(p + sep.rstrip() for p in parts[:-1]), parts[-1]]
-        sep = "\n" if heading else sep[len(sep.rstrip()) :] if sep.strip() else sep
+    marks = [_marks(text, x, compat) for x in (SEPARATORS if separators is None else separators)]
     out: list[str] = []
-    held: list[str] = []
-    length = 0
-    for part in parts:
-        grown = length + (len(sep) if length else 0) + len(part)
-        if grown <= size:
-            held = [*held, part] if length else [part]
-            length = grown
-            continue
-        if length:
-            out.append(sep.join(held))
-        held, length = ([part], len(part)) if len(part) <= size else ([], 0)
-        if not held:
-            out += pieces(part, size, rest, compat)
-    return [*out, sep.join(held)] if length else out
+    at, level, n = 0, 0, len(text)
+
+    def next_of(levels: range) -> tuple[int, int, int]:
+        """(end, start after it, level) of the first mark after `at`; the text's end without one."""
+        found = (n, n, 0)
+        for k in levels:
+            i = bisect_right(marks[k].ends, at)
+            if i < len(marks[k].ends) and marks[k].ends[i] < found[0]:
+                found = (marks[k].ends[i], marks[k].starts[i], k)
+        return found
+
+    while at < n:
+        end, start, new = next_of(range(level))
+        if end - at > size:
+            best = next_of(range(len(marks)))
+            for k in range(level, len(marks)):
+                i = bisect_right(marks[k].ends, at + size) - 1
+                if i >= 0 and marks[k].ends[i] > at:
+                    best = (marks[k].ends[i], marks[k].starts[i], k)
+                    break
+            end, start, new = best
+        out.append(text[at:end])
+        at, level = start, new
+    return out or [text]
 
 
 def split_markdown(text: Column, size: int = SIZE, compat: bool = False) -> Column:
@@ -52,7 +80,7 @@ def split_markdown(text: Column, size: int = SIZE, compat: bool = False) -> Colu
         for texts in batches:
             yield pd.Series([pieces(t, size, compat=compat) if t and t.strip() else [] for t in texts])
 
-    return cut(text)
+    return once(cut)(text)
 
 
 def overlap_tail(previous: Column, overlap: int = OVERLAP) -> Column:
@@ -67,22 +95,31 @@ def section_of(piece: Column) -> Column:
     return F.when(F.size(lines) > 0, F.trim(F.regexp_replace(F.element_at(lines, -1), "^#+", "")))
 
 
-def chunks(docs: DataFrame, key: str | list[str], pieces_column: str, overlap: int = OVERLAP, size: int = SIZE) -> DataFrame:
+def chunks(docs: DataFrame, pieces_column: str, overlap: int = OVERLAP, size: int = SIZE) -> DataFrame:
     """One row a chunk: the columns of docs without the pieces, chunk_index, text, section_title, chunk_hash.
 
-    Indexes are given before blank chunks go, so they may have gaps. A document's pieces are one window partition.
+    Each chunk begins with the end of the piece before it in its row, and has the last heading so far. Rows are apart,
+    also with equal addresses. Indexes are given before blank chunks go, so they may have gaps.
     """
     if overlap >= size:
         raise ValueError("overlap must be smaller than the chunk size")
-    keys = [key] if isinstance(key, str) else key
     rest = [c for c in docs.columns if c != pieces_column]
-    rows = docs.select(*rest, F.posexplode(pieces_column).alias("chunk_index", "__piece"))
-    order = Window.partitionBy(*keys).orderBy("chunk_index")
-    tail = overlap_tail(F.lag("__piece").over(order), overlap)
-    joined = F.when(F.coalesce(tail, F.lit("")) == "", F.col("__piece")).otherwise(F.concat(tail, F.when(tail.rlike(r"[ \n\t]$"), "").otherwise(" "), F.col("__piece")))
-    text = F.regexp_replace(joined, r"(?U)^\s+|\s+$", "")
-    titled = rows.withColumn("text", text).withColumn("section_title", F.coalesce(F.last(section_of(joined), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit("")))
-    return titled.where("text <> ''").drop("__piece").withColumn("chunk_hash", F.sha2("text", 256))
+
+    def joined(all_: Column) -> Column:
+        def one(piece: Column, i: Column) -> Column:
+            tail = F.coalesce(overlap_tail(F.get(all_, i - 1), overlap), F.lit(""))
+            return bound(tail, lambda t: F.when(t == "", piece).otherwise(F.concat(t, F.when(t.rlike(r"[ \n\t]$"), "").otherwise(" "), piece)))
+
+        return F.transform(all_, one)
+
+    def titled(texts: Column) -> Column:
+        heads = F.filter(F.transform(texts, lambda t, i: F.struct(i.alias("i"), section_of(t).alias("title"))), lambda h: h.title.isNotNull())
+        last = lambda known, i: F.element_at(F.concat(F.array(F.lit("")), F.transform(F.filter(known, lambda h: h.i <= i), lambda h: h.title)), -1)
+        return bound(heads, lambda known: F.transform(texts, lambda t, i: F.struct(i.alias("chunk_index"), stripped(t).alias("text"), last(known, i).alias("section_title"))))
+
+    made = bound(F.col(pieces_column), lambda all_: bound(joined(all_), titled))
+    rows = docs.select(*rest, F.explode(made).alias("__c")).select(*rest, "__c.*")
+    return rows.where("text <> ''").withColumn("chunk_hash", F.sha2("text", 256))
 
 
 def word_windows(text: Column, size: int = 512, overlap: int = 64, url_words: int = 10) -> Column:

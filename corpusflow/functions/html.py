@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusflow.functions.text import bound, once
+
 _SKIP = {"script", "style", "nav", "footer", "noscript", "template", "title"}
 _BREAKS = {"p", "div", "section", "article", "ul", "ol", "table", "tr", "blockquote", "pre"}
 
@@ -72,7 +74,7 @@ def _markdown(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def markdown(html: Column) -> Column:
-    return _markdown(html)
+    return once(_markdown)(html)
 
 
 def title(html: Column) -> Column:
@@ -85,17 +87,40 @@ def links(html: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda h: ~F.regexp_like(h, F.lit("^(#|javascript:|mailto:|tel:|data:)"))))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path from its root on, without . and .. segments."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).when(x == ".", done).otherwise(F.concat(done, F.array(x))),
+    )
+    ends_in_folder = F.element_at(parts, -1).isin(".", "..")
+    return bound(F.array_join(kept, "/"), lambda p: F.concat(F.when(F.startswith(p, F.lit("/")), p).otherwise(F.concat(F.lit("/"), p)), F.when(ends_in_folder & ~F.endswith(p, F.lit("/")) & (p != ""), "/").otherwise("")))
+
+
 def absolute(url: Column, href: Column) -> Column:
-    """href against the address of its page; fragments go."""
-    origin = F.concat(F.parse_url(url, F.lit("PROTOCOL")), F.lit("://"), F.parse_url(url, F.lit("AUTHORITY")))
-    folder = F.regexp_replace(F.coalesce(F.parse_url(url, F.lit("PATH")), F.lit("/")), "[^/]*$", "")
-    full = (
-        F.when(href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(F.parse_url(url, F.lit("PROTOCOL")), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(origin, href))
-        .otherwise(F.concat(origin, folder, href))
+    """href against the address of its page, as RFC 3986 resolves references; fragments go."""
+    reference = F.regexp_replace(href, "(?s)#.*$", "")
+    scheme, authority = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1), F.regexp_extract(url, r"^[^/?#]*//([^/?#]*)", 1)
+    origin = F.concat(scheme, F.lit("://"), authority)
+    base_path = F.regexp_extract(url, r"^[^/?#]*//[^/?#]*([^?#]*)", 1)
+    page = F.regexp_replace(url, "(?s)#.*$", "")
+    path, query = F.regexp_extract(reference, r"^([^?]*)", 1), F.regexp_extract(reference, r"(?s)(\?.*)$", 1)
+    folder = F.when(base_path == "", "/").otherwise(F.regexp_replace(base_path, "[^/]*$", ""))
+    whole = F.regexp_extract(reference, r"^([A-Za-z][A-Za-z0-9+.-]*:(?://[^/?]*)?)", 1)
+    elsewhere = F.regexp_extract(reference, r"^(//[^/?]*)", 1)
+    tail = lambda head: F.regexp_extract(F.substr(reference, F.length(head) + 1), r"^([^?]*)", 1)
+    rooted = lambda p: F.when(p == "", "").otherwise(_without_dots(p))
+    return (
+        F.when(whole.endswith(":"), reference)  # mailto: and the like have no path to shorten
+        .when(whole != "", F.concat(whole, rooted(tail(whole)), query))
+        .when(elsewhere != "", F.concat(scheme, F.lit(":"), elsewhere, rooted(tail(elsewhere)), query))
+        .when(reference == "", page)
+        .when(path == "", F.concat(origin, base_path, query))
+        .when(F.startswith(path, F.lit("/")), F.concat(origin, _without_dots(path), query))
+        .otherwise(F.concat(origin, _without_dots(F.concat(folder, path)), query))
     )
-    return F.regexp_replace(full, "#.*$", "")
 
 
 def site(url: Column) -> Column:

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusflow.functions.text import once
+
 DIMENSIONS = 256
 _TOKEN = re.compile(r"\w+")
 INJECTION_WORDS = {"ignore": 0.35, "previous": 0.2, "instructions": 0.35, "system": 0.15, "prompt": 0.2, "jailbreak": 0.9, "abaikan": 0.35, "instruksi": 0.35, "sebelumnya": 0.2, "override": 0.25, "disregard": 0.4}
@@ -18,12 +20,24 @@ TOXIC_WORDS = {"idiot": 0.9, "moron": 0.9, "disgusting": 0.8, "clown": 0.75, "st
 LABELS = ["toxicity", "severe_toxicity", "obscene", "threat", "insult", "identity_attack"]
 
 
+class _Slots(dict):
+    """Place and sign of each word met, made once."""
+
+    def __missing__(self, word: str) -> tuple[int, int]:
+        h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        found = (h, 1 if h >> 63 else -1)
+        if len(word) <= 64 and len(self) < 200_000:
+            self[word] = found
+        return found
+
+
+_SLOTS = _Slots()
+
+
 def embed_text(text: str | None, dimensions: int = DIMENSIONS) -> list[float]:
     """Hashed bag of words of unit length; zero without words."""
-    out = np.zeros(dimensions, np.float32)
-    for w in _TOKEN.findall((text or "").lower()):
-        h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-        out[h % dimensions] += 1 if h >> 63 else -1
+    slots = [_SLOTS[w] for w in _TOKEN.findall((text or "").lower())]
+    out = np.bincount([h % dimensions for h, _ in slots], [sign for _, sign in slots], dimensions).astype(np.float32)
     norm = float(np.linalg.norm(out))
     return (out / norm if norm else out).tolist()
 
@@ -34,7 +48,7 @@ def embedder(score: Callable[[str | None], list[float]] = embed_text) -> Callabl
         for texts in batches:
             yield texts.map(score)
 
-    return embed
+    return once(embed)
 
 
 def overlap(query: str | None, candidate: str | None) -> float:

@@ -1,18 +1,21 @@
 """Personal data by pattern: redaction as expressions, spans as a vectorised function.
 
-Names and places would need a recogniser model, which is not part of this library; only regular types are found.
+Names and places would need a recogniser model, which is not part of this library: spans_with() takes one, and without
+one only regular types are found.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusflow.functions.text import bound
+
 # Types and their patterns, in the order in which they are applied. Group 1 keeps what stands before.
 PATTERNS = {
     "EMAIL_ADDRESS": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
@@ -39,21 +42,44 @@ def shown(kind: str) -> str:
     return kind.removesuffix("_PLAIN")
 
 
+#: Where it matches nowhere, none of PATTERNS does.
+_SCREEN = r"@[A-Za-z0-9.-]|://|\d{13}|\d{4}[ -]\d{4}|\d\.\d|\d-\d{2}-\d|\+\d|[A-Z]{2}\d{2}[A-Z0-9]{11}|bc1[a-z0-9]{25}|[13][a-km-zA-HJ-NP-Z1-9]{25}"
+
+
+def _replaced(text: Column, types: list[str] | None, allowed: Column | None, form: str) -> Column:
+    def steps(t: Column) -> Column:
+        for kind, pattern in PATTERNS.items():
+            if kind in (types or SITE_TYPES):
+                # an allowed type gets a pattern that matches nowhere; so the text occurs once in each step
+                used = F.lit(pattern) if allowed is None else F.when(F.array_contains(allowed, shown(kind)), "(?!)").otherwise(pattern)
+                t = F.regexp_replace(t, used, F.lit(form.format(shown(kind))))
+        return t
+
+    return bound(text, lambda t: F.when(F.regexp_like(t, F.lit(_SCREEN)), steps(t)).otherwise(t))
+
+
 def redacted(text: Column, types: list[str] | None = None, allowed: Column | None = None, form: str = "<{}>") -> Column:
     """text with each match replaced by its type; types in the array `allowed` stay."""
-    out = text
-    for kind, pattern in PATTERNS.items():
-        if kind in (types or SITE_TYPES):
-            # an allowed type gets a pattern that matches nowhere; so the text occurs once in each step
-            used = F.lit(pattern) if allowed is None else F.when(F.array_contains(allowed, shown(kind)), "(?!)").otherwise(pattern)
-            out = F.regexp_replace(out, used, F.lit(form.format(shown(kind))))
-    return out
+    return _replaced(text, types, allowed, form)
+
+
+def marked(text: Column, types: list[str] | None = None, allowed: Column | None = None) -> Column:
+    """text with each match as a mark, from which types_of() and unmarked() are read: one pass for both."""
+    return _replaced(text, types, allowed, "\x01{}\x02")
+
+
+def types_of(marks: Column) -> Column:
+    """The sorted types in a marked text."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(marks, F.lit("\x01([A-Z_]+)\x02"), F.lit(1))))
+
+
+def unmarked(marks: Column, form: str = "<$1>") -> Column:
+    return F.regexp_replace(marks, "\x01([A-Z_]+)\x02", form)
 
 
 def types_in(text: Column, types: list[str] | None = None, allowed: Column | None = None) -> Column:
     """The sorted types that redacted() replaces."""
-    marked = redacted(text, types, allowed, form="\x01{}\x02")
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(marked, F.lit("\x01([A-Z_]+)\x02"), F.lit(1))))
+    return types_of(marked(text, types, allowed))
 
 
 def spans_of(text: str, types: list[str]) -> list[tuple]:
@@ -78,6 +104,24 @@ def spans(text: Column) -> Column:
     return _spans(text)
 
 
+def spans_with(recognise: Callable[[str], list[tuple[str, int, int, float]]] | None = None, types: list[str] | None = None) -> Callable[[Column], Column]:
+    """Like spans(), with what a recogniser finds (type, start, end, score) where no pattern does; default off."""
+
+    @F.pandas_udf(SPANS)
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out = []
+            for t in texts:
+                rows = spans_of(t, types or ITEM_TYPES) if t else []
+                for kind, start, end, score in (recognise(t) if t and recognise else []):
+                    if all(end <= r[1] or start >= r[2] for r in rows):
+                        rows.append((kind, start, end, score, t[start:end]))
+                out.append(sorted(rows, key=lambda r: r[1]))
+            yield pd.Series(out)
+
+    return found
+
+
 def redact_items(body: Column, enabled: bool = True) -> Column:
     """Work items: `[REDACTED:TYPE]`; switched off, the body as it is."""
     return redacted(body, ITEM_TYPES, form="[REDACTED:{}]") if enabled else body

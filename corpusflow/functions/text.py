@@ -38,10 +38,24 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def once(udf: Callable[..., Column]) -> Callable[..., Column]:
+    """A Python function that the optimizer must not put in two places, as a filter and a result would have it."""
+    return udf.asNondeterministic()
+
+
+def _between_blanks(c: Column) -> Column:
+    """array<string> of what stands between blanks. Of equal neighbours each second one goes, as they share a blank."""
+    single = F.regexp_replace(c, r"(?<= )([^ ]+) \1(?= )", "$1")
+    return bound(F.split(single, " "), lambda t: F.slice(t, F.lit(2), F.greatest(F.size(t) - 2, F.lit(0))))
+
+
+def _how_many(tokens: Column, words: list[str]) -> Column:
+    return F.size(F.filter(tokens, lambda t: t.isin(*words)))
+
+
 def marker_count(c: Column, words: list[str]) -> Column:
     """How often the words occur between blanks, each counted without overlaps."""
-    marks = F.array(*[F.lit(f" {w} ") for w in words])
-    return F.aggregate(marks, F.lit(0), lambda n, m: n + ((F.length(c) - F.length(F.replace(c, m, F.lit("")))) / F.length(m)).cast("int"))
+    return _how_many(_between_blanks(c), words)
 
 
 def _opens(start: Column, openers: list[str]) -> Column:
@@ -53,7 +67,7 @@ def site_language(text: Column) -> Column:
 
     def decide(sample: Column) -> Column:
         start = F.ltrim(sample)
-        more_english = marker_count(sample, EN_MARKERS) > marker_count(sample, ID_MARKERS)
+        more_english = bound(_between_blanks(sample), lambda t: _how_many(t, EN_MARKERS) > _how_many(t, ID_MARKERS))
         return F.when(_opens(start, ID_OPENERS), "id").when(_opens(start, EN_OPENERS) | more_english, "en").otherwise("id")
 
     sample = F.concat(F.lit(" "), stripped(F.lower(F.substring(text, 1, 2000))), F.lit(" "))
@@ -69,7 +83,7 @@ def item_language(text: Column, default: str = "en") -> Column:
 
 def refusal_language(answer: Column) -> Column:
     sample = F.lower(F.substring(answer, 1, 300))
-    return bound(sample, lambda s: F.when(marker_count(s, REFUSAL_ID_MARKERS) > marker_count(s, REFUSAL_EN_MARKERS), "id").otherwise("en"))
+    return bound(_between_blanks(sample), lambda t: F.when(_how_many(t, REFUSAL_ID_MARKERS) > _how_many(t, REFUSAL_EN_MARKERS), "id").otherwise("en"))
 
 
 def refusal_for(answer: Column) -> Column:
@@ -79,11 +93,16 @@ def refusal_for(answer: Column) -> Column:
 def normalized(markdown: Column) -> Column:
     """Lines without trailing white space; lines without a word character blank; at most one blank line in a row; one
     newline at the end. Applying it twice changes nothing."""
-    lines = F.transform(F.split(markdown, LINE_ENDS), lambda x: F.regexp_replace(x, r"(?U)\s+$", ""))
-    shown = F.transform(lines, lambda x: F.when(F.regexp_like(x, F.lit(r"(?U)\w")), x).otherwise(""))
-    joined = F.regexp_replace(F.array_join(shown, "\n"), r"([ \t]*\n){3,}", "\n\n")
-    body = F.regexp_replace(joined, r"^\n+|\n+$", "")
-    return F.when(stripped(body) == "", "").otherwise(F.concat(body, F.lit("\n")))
+
+    def shaped(t: Column, unicode: str) -> Column:
+        lines = F.regexp_replace(F.regexp_replace(t, LINE_ENDS, "\n"), unicode + r"[\s&&[^\n]]++(?=\n|\z)", "")
+        shown = F.regexp_replace(lines, unicode + r"(?m)^[^\w\n]++$", "")
+        joined = F.regexp_replace(shown, r"([ \t]*\n){3,}", "\n\n")
+        body = F.regexp_replace(joined, r"^\n+|\n+$", "")
+        return bound(body, lambda b: F.when(F.regexp_replace(b, unicode + r"^\s+|\s+$", "") == "", "").otherwise(F.concat(b, F.lit("\n"))))
+
+    # Unicode's classes are slow, and ASCII does not need them
+    return bound(markdown, lambda t: F.when(F.octet_length(t) == F.length(t), shaped(t, "")).otherwise(shaped(t, "(?U)")))
 
 
 def sentences(text: Column) -> Column:
@@ -134,6 +153,19 @@ def initials_spell(full_name: Column, acronym: Column) -> Column:
     return (initials != "") & (F.substring(initials, 1, 1) == F.substring(acro, 1, 1)) & (F.startswith(initials, acro) | near)
 
 
+def content_text(content: Column) -> Column:
+    """A chat reply's content as text: a JSON list of strings and blocks gives their texts in a row, all else itself."""
+    listed = F.from_json(F.concat(F.lit('{"blocks":'), content, F.lit("}")), "blocks array<string>")
+    text_of = lambda b: F.when(F.startswith(F.trim(b), F.lit("{")), F.get_json_object(b, "$.text")).otherwise(b)
+    is_list = F.regexp_like(content, F.lit(r"(?s)^\s*\[.*\]\s*$"))
+    return F.when(is_list & F.try_parse_json(content).isNotNull(), F.array_join(F.transform(listed.blocks, text_of), "")).otherwise(content)
+
+
+def with_json_schema(prompt: Column, schema: Column) -> Column:
+    """A judge's prompt with the order to answer in JSON of that schema."""
+    return F.concat(prompt, F.lit("\n\nReply with ONLY valid JSON that matches this schema. No prose, no markdown fences, no commentary:\n```json\n"), schema, F.lit("\n```"))
+
+
 def file_safe(name: Column) -> Column:
     return F.regexp_replace(name, r"[^\p{L}\p{N}._-]", "_")
 

@@ -9,6 +9,7 @@ from corpusflow.functions import pii, text
 from corpusflow.functions.disguise import undisguise
 from corpusflow.functions.models import lexicon_risk
 from corpusflow.functions.scalars import dot
+from corpusflow.operators.retrieval import small
 
 MAX_PAGE_BYTES = 2 << 20
 HIGH, MED, SCOPE, FAITHFUL, TOXIC = 0.9, 0.5, 0.20, 0.55, 0.7
@@ -37,7 +38,7 @@ def guard_pages(pages: DataFrame, risk: Column | None = None, allowed: Column |
     clean, links = without_offsite_links(F.col("markdown"), F.col("site_id"))
     rows = pages.withColumn("__clean", clean).withColumn("__links", links)
     rows = rows.withColumn("__risk", F.when(F.col("language").isin(languages), lexicon_risk(F.col("__clean")) if risk is None else risk))
-    rows = rows.withColumn("__types", pii.types_in(F.col("__clean"), allowed=allowed))
+    rows = rows.withColumn("__marked", pii.marked(F.col("__clean"), allowed=allowed)).withColumn("__types", pii.types_of(F.col("__marked")))
     big = F.octet_length("markdown") > MAX_PAGE_BYTES
     bad = F.coalesce(F.col("__risk") >= HIGH, F.lit(False))
     links_said = F.when(F.col("__links") > 0, F.concat(F.lit("offsite_links_stripped:"), F.col("__links")))
@@ -45,12 +46,12 @@ def guard_pages(pages: DataFrame, risk: Column | None = None, allowed: Column |
     pii_said = F.when(F.size("__types") > 0, F.concat(F.lit("pii_redacted:"), F.array_join("__types", ",")))
     reasons = F.when(big, F.array(F.lit("size_exceeded"))).when(bad, _reasons(links_said, risk_said)).otherwise(_reasons(links_said, risk_said, pii_said))
     severity = F.when(big | bad, "high").when(F.size(reasons) > 0, "med").otherwise("low")
-    return rows.withColumn("passed", ~(big | bad)).withColumn("severity", severity).withColumn("reasons", reasons).withColumn("text", pii.redacted(F.col("__clean"), allowed=allowed)).drop("__clean", "__links", "__risk", "__types")
+    return rows.withColumn("passed", ~(big | bad)).withColumn("severity", severity).withColumn("reasons", reasons).withColumn("text", pii.unmarked(F.col("__marked"))).drop("__clean", "__links", "__risk", "__types", "__marked")
 
 
 def topic_similarity(queries: DataFrame, centroids: DataFrame, site: str = "site_id") -> DataFrame:
     """queries with similarity to their site's centroid; null for a site without one."""
-    return queries.join(F.broadcast(centroids), site, "left").withColumn("similarity", F.round(dot(F.col("query_vector"), F.col("centroid")), 6)).drop("centroid")
+    return queries.join(small(centroids), site, "left").withColumn("similarity", F.round(dot(F.col("query_vector"), F.col("centroid")), 6)).drop("centroid")
 
 
 def guard_queries(queries: DataFrame, similarity: Column | None = None, allowed: Column | None = None) -> DataFrame:
@@ -63,7 +64,7 @@ def guard_queries(queries: DataFrame, similarity: Column | None = None, allowed:
     undecoded = signal("base64_undecodable") + signal("hex_undecodable")
     kinds = sum((F.when(signal(k) > 0, 1).otherwise(0) for k in CATEGORIES), F.lit(0))
     rows = rows.withColumn("language", text.site_language(F.col("canonical")))
-    rows = rows.withColumn("__risk", F.when(F.col("language").isin(LANGUAGES), lexicon_risk(F.col("canonical")))).withColumn("__types", pii.types_in(F.col("canonical"), allowed=allowed))
+    rows = rows.withColumn("__risk", F.when(F.col("language").isin(LANGUAGES), lexicon_risk(F.col("canonical")))).withColumn("__marked", pii.marked(F.col("canonical"), allowed=allowed)).withColumn("__types", pii.types_of(F.col("__marked")))
     off = F.lit(False) if similarity is None else F.coalesce(similarity < SCOPE, F.lit(False))
     refused = (
         F.when(signal("zero_width_or_bidi") > 0, F.concat(F.lit("obfuscation:zero_width_or_bidi:"), signal("zero_width_or_bidi")))
@@ -79,7 +80,7 @@ def guard_queries(queries: DataFrame, similarity: Column | None = None, allowed:
     private = F.when(F.size("__types") > 0, F.concat(F.lit("pii_redacted:"), F.array_join("__types", ",")))
     reasons = F.when(refused.isNotNull() & ~off, _reasons(told, refused)).otherwise(_reasons(told, warned, risky, private, refused))
     severity = F.when(refused.startswith("scope_drift"), "med").when(refused.isNotNull(), "high").when(F.size(reasons) > 0, "med").otherwise("low")
-    return rows.withColumn("passed", refused.isNull()).withColumn("severity", severity).withColumn("reasons", reasons).withColumn("redacted_text", pii.redacted(F.col("canonical"), allowed=allowed)).drop("__u", "__risk", "__types")
+    return rows.withColumn("passed", refused.isNull()).withColumn("severity", severity).withColumn("reasons", reasons).withColumn("redacted_text", pii.unmarked(F.col("__marked"))).drop("__u", "__risk", "__types", "__marked")
 
 
 def valid_citations(citations: DataFrame, hits: DataFrame) -> DataFrame:
@@ -88,13 +89,19 @@ def valid_citations(citations: DataFrame, hits: DataFrame) -> DataFrame:
     return citations.where(F.coalesce("snippet", F.lit("")) != "").join(known, ["answer_id", "url"]).withColumn("snippet_found", F.exists("__texts", lambda t: F.contains(t, F.col("snippet")))).drop("__texts")
 
 
+def best_chunk(sentences: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(answer_id, seq, sentence, best): the highest cosine of a sentence to its answer's chunks, 0 without any."""
+    pairs = sentences.join(chunks.select("answer_id", F.col("vector").alias("__v")), "answer_id", "left")
+    return pairs.groupBy("answer_id", "seq", "sentence").agg(F.max(F.coalesce(dot(F.col("vector"), F.col("__v")), F.lit(0.0))).alias("best"))
+
+
 def faithful(sentences: DataFrame, chunks: DataFrame, threshold: float = FAITHFUL) -> DataFrame:
     """Answers with the sentences (answer_id, seq, sentence, vector) close enough to a chunk (answer_id, vector).
+    best_chunk() has each sentence's closest.
 
     More than half stripped, or none kept, is a refusal in the answer's language.
     """
-    pairs = sentences.join(chunks.select("answer_id", F.col("vector").alias("__v")), "answer_id", "left")
-    best = pairs.groupBy("answer_id", "seq", "sentence").agg(F.max(F.coalesce(dot(F.col("vector"), F.col("__v")), F.lit(0.0))).alias("best"))
+    best = best_chunk(sentences, chunks)
     ok = F.col("best") >= threshold
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "sentence"))), lambda x: x.sentence), " ")
     kept = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(ok, F.struct("seq", "sentence")))), lambda x: x.sentence), " ")
@@ -106,11 +113,11 @@ def faithful(sentences: DataFrame, chunks: DataFrame, threshold: float = FAITHFU
 def guard_answers(answers: DataFrame, toxicity: Column, allowed: Column | None = None) -> DataFrame:
     """answers (answer, stripped, dropped_citations) with the last checks: toxicity, then personal data."""
     toxic = F.array_sort(F.map_keys(F.map_filter(toxicity, lambda k, v: v >= TOXIC)))
-    rows = answers.withColumn("__toxic", toxic).withColumn("__types", pii.types_in(F.col("answer"), allowed=allowed))
+    rows = answers.withColumn("__toxic", toxic).withColumn("__marked", pii.marked(F.col("answer"), allowed=allowed)).withColumn("__types", pii.types_of(F.col("__marked")))
     bad = F.size("__toxic") > 0
     said = [F.when(F.col("dropped_citations") > 0, F.concat(F.lit("hallucinated_citations_dropped:"), F.col("dropped_citations"))), F.when(F.col("stripped") > 0, F.concat(F.lit("faithfulness_strip:"), F.col("stripped"), F.lit("_sentences")))]
     private = F.when(F.size("__types") > 0, F.concat(F.lit("pii_redacted_in_response:"), F.array_join("__types", ",")))
     reasons = F.when(bad, _reasons(*said, F.concat(F.lit("toxic:"), F.array_join("__toxic", ",")))).otherwise(_reasons(*said, private))
-    final = F.when(bad, text.refusal_for(F.col("answer"))).otherwise(pii.redacted(F.col("answer"), allowed=allowed))
+    final = F.when(bad, text.refusal_for(F.col("answer"))).otherwise(pii.unmarked(F.col("__marked")))
     severity = F.when(bad, "high").when(F.size(reasons) > 0, "med").otherwise("low")
-    return rows.withColumn("passed", ~bad).withColumn("severity", severity).withColumn("reasons", reasons).withColumn("answer", final).drop("__toxic", "__types")
+    return rows.withColumn("passed", ~bad).withColumn("severity", severity).withColumn("reasons", reasons).withColumn("answer", final).drop("__toxic", "__types", "__marked")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions import chunking, pii, text
 from corpusflow.functions.models import lexicon_risk
+from corpusflow.operators.retrieval import small
 
 # Lengths of stored fields and defaults.
 TITLE, URLS, TYPES = 500, 1000, 200
@@ -58,7 +59,7 @@ def allowlist(policy: Column) -> Column:
 def with_allowlist(rows: DataFrame, sites: DataFrame, site: str = "site_id") -> DataFrame:
     """rows with their site's allowed types; a site without a row allows none."""
     known = sites.select(site, allowlist(F.col("pii_allowlist")).alias("allowed"))
-    return rows.join(F.broadcast(known), site, "left").withColumn("allowed", F.coalesce("allowed", F.array().cast("array<string>")))
+    return rows.join(small(known), site, "left").withColumn("allowed", F.coalesce("allowed", F.array().cast("array<string>")))
 
 
 def window_risk(docs: DataFrame, key: str, body: str = "text", score: Callable[[Column], Column] = lexicon_risk) -> DataFrame:
@@ -78,7 +79,7 @@ def judge_spec(spec: Column) -> Column:
 def glossary(table: DataFrame, glosses: DataFrame, cap: int = 50) -> DataFrame:
     """The site's acronyms with glosses, the first `cap` in order: what a prompt shows."""
     known = glosses.where(~F.startswith("acronym", F.lit("_")))
-    return table.join(F.broadcast(known), "acronym", "left").orderBy("acronym").limit(cap)
+    return table.join(small(known), "acronym", "left").orderBy("acronym").limit(cap)
 
 
 def system_prompt(base: str, lines: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@ overwritten while it is read."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.operators.retrieval import small
+
 
 def file_delta(before: DataFrame, now: DataFrame, key: str = "path", compare: tuple[str, ...] = ("mtime_ns", "size_bytes"), label: str | None = None) -> DataFrame:
     """(key, change): NEW, MODIFIED, UNCHANGED or DELETED. With a label, only its part of the state counts."""
@@ -19,14 +21,26 @@ def file_delta(before: DataFrame, now: DataFrame, key: str = "path", compare: tu
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The last row of each key in that order."""
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy(*[c.desc() for c in order]))
-    return rows.withColumn("__n", at).where("__n = 1").drop("__n")
+    """The last row of each key in that order, which must tell a key's rows apart. Rows meet after a partial maximum, so
+    a key may have any share of them."""
+    rest = [c for c in rows.columns if c not in keys]
+    place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), place).alias("__r")) if rest else rows.select(*keys).distinct()
+    return best.select(*[F.col(f"`{c}`") if c in keys else F.col(f"__r.`{c}`").alias(c) for c in rows.columns])
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
-    """old with the rows of new in place of those with the same keys; the last of repeated new rows wins."""
-    last = latest(new, keys, order) if order else new.dropDuplicates(keys)
+    """old with the rows of new in place of those with the same keys; of repeated new rows the last in `order` wins.
+
+    Without an order nothing tells which is last: equal rows are one, and a key with different rows is an error.
+    """
+    if order:
+        last = latest(new, keys, order)
+    else:
+        rest = F.struct(*[F.col(f"`{c}`") for c in new.columns])
+        counted = new.distinct().groupBy(*keys).agg(F.first(rest).alias("__r"), F.count(F.lit(1)).alias("__n"))
+        checked = F.when(F.col("__n") > 1, F.raise_error(F.lit(f"repeated {keys} need an order")).cast(new.schema)).otherwise(F.col("__r"))
+        last = counted.select(checked.alias("__r")).select("__r.*")
     return old.join(last.select(*keys), keys, "left_anti").unionByName(last, allowMissingColumns=True)
 
 
@@ -51,19 +65,25 @@ def first_wins(tables: list[DataFrame], keys: list[str], value: str, order: str)
 
 
 def merged_offsets(offsets: DataFrame, advanced: DataFrame) -> DataFrame:
-    """(source, value): advanced values replace those of the same source; other sources keep theirs."""
-    return upsert(offsets, advanced, ["source"])
+    """(source, value): the highest advanced value replaces that of the same source; other sources keep theirs."""
+    return upsert(offsets, advanced, ["source"], [F.col("value")])
+
+
+def seeded_offsets(offsets: DataFrame, sources: DataFrame) -> DataFrame:
+    """offsets (source, value) with a row for each registered source (source, first) that has none yet."""
+    new = sources.join(offsets.select("source"), "source", "left_anti").select("source", F.col("first").alias("value"))
+    return offsets.unionByName(new)
 
 
 def after_offset(items: DataFrame, offsets: DataFrame, source: str = "source", ts: str = "ts") -> DataFrame:
     """Items later than their source's offset; a source without one gives all."""
     o = offsets.select(F.col("source").alias("__s"), F.col("value").alias("__v"))
-    return items.join(F.broadcast(o), F.col(source) == F.col("__s"), "left").where(F.col("__v").isNull() | (F.col(ts) > F.col("__v"))).drop("__s", "__v")
+    return items.join(small(o), F.col(source) == F.col("__s"), "left").where(F.col("__v").isNull() | (F.col(ts) > F.col("__v"))).drop("__s", "__v")
 
 
 def preserved(state: DataFrame, rescanned: DataFrame, labels: DataFrame, label: str = "label") -> DataFrame:
     """Entries of labels that were not scanned, and all that the scan of `labels` found."""
-    return state.join(F.broadcast(labels.select(label).distinct()), label, "left_anti").unionByName(rescanned)
+    return state.join(small(labels.select(label).distinct()), label, "left_anti").unionByName(rescanned)
 
 
 def reverted(delta: DataFrame, failed: DataFrame, key: str = "path") -> DataFrame:

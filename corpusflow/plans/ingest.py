@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from corpusflow.functions import chunking, html, text
 from corpusflow.functions.models import embedder
 from corpusflow.operators.guards import guard_pages
+from corpusflow.operators.retrieval import small
 from corpusflow.operators.state import first_wins
+from corpusflow.session import written
 
+# A name of two to nine words, and an acronym.
 _NAME = r"[A-Z][A-Za-z'À-ſ]{1,30}(?:\s+[\w'À-ſ-]+){1,8}"
 _ACRONYM = r"[A-Z][A-Z0-9]{1,7}"
 
@@ -44,7 +47,7 @@ def acronyms(docs: DataFrame, site: str = "site_id", body: str = "text", order:
 
 def glossary_chunks(table: DataFrame, glosses: DataFrame | None = None) -> DataFrame:
     """One chunk a site under the address /_glossary: its acronyms in order."""
-    rows = table.withColumn("gloss", F.lit(None).cast("string")) if glosses is None else table.join(F.broadcast(glosses), "acronym", "left")
+    rows = table.withColumn("gloss", F.lit(None).cast("string")) if glosses is None else table.join(small(glosses), "acronym", "left")
     lines = rows.select("site_id", "acronym", text.glossary_line(F.col("acronym"), F.col("full_name"), F.col("gloss")).alias("line"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("acronym", "line"))), lambda x: x.line), "\n")
     return lines.groupBy("site_id").agg(body.alias("text")).select("site_id", F.concat(F.lit("https://"), "site_id", F.lit("/_glossary")).alias("source_url"), F.lit("multi").alias("language"), F.lit("Glossary").alias("section_title"), F.lit(0).alias("chunk_index"), "text", F.sha2(F.concat("site_id", F.lit("::glossary::"), "text"), 256).alias("chunk_hash"))
@@ -55,10 +58,11 @@ def ingest(pages: DataFrame, batch: str, now: Column, known: DataFrame | None =
     found = pages_to_markdown(pages).where(F.trim("markdown") != "")
     if known is not None:
         found = found.join(known.select("source_url", "content_hash"), ["source_url", "content_hash"], "left_anti")
-    guarded = guard_pages(found)
+    # made once for chunks, acronyms and progress
+    guarded = written(guard_pages(found), "guarded-pages")
     clean = guarded.where("passed").withColumn("text", text.normalized(F.col("text")))
     cut = clean.select("page_id", "source_url", "site_id", "page_title", "language", chunking.split_markdown(F.col("text"), size).alias("pieces"))
-    chunks = chunking.chunks(cut, "source_url", "pieces", overlap, size).withColumn("ingestion_batch_id", F.lit(batch)).withColumn("last_updated", now)
+    chunks = chunking.chunks(cut, "pieces", overlap, size).withColumn("ingestion_batch_id", F.lit(batch)).withColumn("last_updated", now)
     chunks = chunks.withColumn("embedding", (embed or embedder())(F.col("text")))
     progress = guarded.agg(F.count(F.lit(1)).alias("pages"), F.count_if("passed").alias("ingested"), F.count_if(~F.col("passed")).alias("dropped"), *[F.count_if(F.col("severity") == s).alias(s) for s in ("low", "med", "high")])
     return Ingested(guarded, chunks, acronyms(clean), progress)

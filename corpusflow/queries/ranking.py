@@ -31,9 +31,9 @@ def _questions(spark):
     return spark.createDataFrame(QUESTIONS, "query_id int, query string")
 
 
-def _vector_queries(spark, sf_dir, n=5):
-    """The vectors of the first ids, a stated set of questions."""
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+def _vector_queries(spark, sf_dir):
+    """Every fiftieth vector as a question."""
+    return table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
 @query(f"with {_BM25.format(where='')} select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from sparse")
@@ -47,18 +47,18 @@ def flt05_bm25_one_site(spark, sf_dir):
 
 
 @query(f"""select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from
-(select q.vec_id as query_id, v.vec_id as doc_id, round({_DOT}, 6) as score from embeddings v, embeddings q where q.vec_id < 5) qualify rank <= 10""")
+(select q.vec_id as query_id, v.vec_id as doc_id, round({_DOT}, 6) as score from embeddings v, embeddings q where q.vec_id % 50 = 0) qualify rank <= 10""")
 def jn04_cosine_top10(spark, sf_dir):
     return retrieval.nearest(table(spark, sf_dir, "embeddings"), _vector_queries(spark, sf_dir))
 
 
-@query(f"""with e as (select event_id, ts from events where ts >= timestamp '{NOW}' - interval 15 day)
+@query(f"""with e as (select distinct event_id % 997 as vec_id from events where ts >= timestamp '{NOW}' - interval 15 day and event_type = 'error')
 select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from
-(select q.vec_id as query_id, v.vec_id as doc_id, round({_DOT}, 6) as score from embeddings v join e on e.event_id = v.vec_id, embeddings q where q.vec_id < 5) qualify rank <= 10""")
+(select q.vec_id as query_id, v.vec_id as doc_id, round({_DOT}, 6) as score from embeddings v join e using (vec_id), embeddings q where q.vec_id % 50 = 0) qualify rank <= 10""")
 def flt04_since_then_top10(spark, sf_dir):
     from corpusflow.functions.scalars import since_cutoff
 
-    recent = table(spark, sf_dir, "events").where(F.col("ts") >= since_cutoff(F.lit("15d"), F.lit(NOW).cast("timestamp"))).select(F.col("event_id").alias("vec_id"))
+    recent = table(spark, sf_dir, "events").where((F.col("ts") >= since_cutoff(F.lit("15d"), F.lit(NOW).cast("timestamp"))) & (F.col("event_type") == "error")).select((F.col("event_id") % 997).alias("vec_id"))
     return retrieval.nearest(table(spark, sf_dir, "embeddings").join(recent, "vec_id", "left_semi"), _vector_queries(spark, sf_dir))
 
 
@@ -68,7 +68,7 @@ lists as (select query_id, doc_id, rank, 0 as list from dense union all select q
 f as (select query_id, doc_id, round(sum(1.0::double / (60 + rank)), 9) as score, min({{'list': list, 'rank': rank}}) as first from lists group by all)
 select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, first, doc_id) as rank from f qualify rank <= 10""")
 def ret01_hybrid_rrf(spark, sf_dir):
-    vectors = _vector_queries(spark, sf_dir, 3).withColumn("query_id", (F.col("query_id") + 1).cast("int"))
+    vectors = table(spark, sf_dir, "embeddings").select((F.col("vec_id") + 1).cast("int").alias("query_id"), F.col("embedding").alias("query_vector"))
     questions = _questions(spark).join(vectors, "query_id")
     return retrieval.hybrid(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"), questions)
 
@@ -89,40 +89,58 @@ def grd03_topic_similarity(spark, sf_dir):
     return topic_similarity(vectors.withColumnRenamed("embedding", "query_vector"), retrieval.centroids(vectors), "label").select("vec_id", "similarity")
 
 
-@query(f"select v.vec_id, round(max({_DOT}), 6) as best from embeddings v, embeddings q where q.vec_id < 20 and q.vec_id <> v.vec_id group by 1")
+@query(f"""select v.vec_id, round(coalesce(max({_DOT}), 0.0), 6) as best from embeddings v left join (select * from embeddings where vec_id % 50 = 0) q on v.label = q.label group by 1""")
 def jn06_best_cosine(spark, sf_dir):
+    """Each vector as a sentence, every fiftieth as a chunk of its label's answer."""
+    from corpusflow.operators.guards import best_chunk
+
     vectors = table(spark, sf_dir, "embeddings")
-    chunks = vectors.where("vec_id < 20").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("chunk"))
-    return vectors.crossJoin(F.broadcast(chunks)).where("vec_id <> chunk_id").groupBy("vec_id").agg(F.round(F.max(dot(F.col("embedding"), F.col("chunk"))), 6).alias("best"))
+    said = vectors.select(F.col("label").alias("answer_id"), F.col("vec_id").alias("seq"), F.lit("").alias("sentence"), F.col("embedding").alias("vector"))
+    chunks = vectors.where("vec_id % 50 = 0").select(F.col("label").alias("answer_id"), F.col("embedding").alias("vector"))
+    return best_chunk(said, chunks).select(F.col("seq").alias("vec_id"), F.round("best", 6).alias("best"))
 
 
-@query(f"""with h as (select q.vec_id as search, v.vec_id as base_id, round({_DOT}, 4) as score from embeddings v, embeddings q where q.vec_id < 4 qualify row_number() over (partition by q.vec_id order by round({_DOT}, 6) desc, v.vec_id) <= 20)
+@query(f"""with h as (select q.vec_id as search, v.vec_id as base_id, round(round({_DOT}, 6), 4) as score from embeddings v, embeddings q where q.vec_id % 50 = 0 qualify row_number() over (partition by q.vec_id order by round({_DOT}, 6) desc, v.vec_id) <= 20)
 select base_id, score, search from h qualify row_number() over (partition by base_id order by score desc, search) = 1""")
 def jn15_best_of_searches(spark, sf_dir):
-    hits = retrieval.nearest(table(spark, sf_dir, "embeddings"), _vector_queries(spark, sf_dir, 4), k=20)
+    hits = retrieval.nearest(table(spark, sf_dir, "embeddings"), _vector_queries(spark, sf_dir), k=20)
     return intel.best_of_searches(hits.select(F.col("query_id").alias("search"), F.col("doc_id").alias("base_id"), F.round("score", 4).alias("score"))).select("base_id", "score", "search")
 
 
-@query("select * from (values (1, 0, 'what is BGN'), (1, 1, 'what is Badan Gizi Nasional'), (2, 0, 'the united nations and MBG'), (2, 1, 'the united nations and Makan Bergizi'), (2, 2, 'the UN and MBG'), (3, 0, 'BGNX')) t(query_id, variant_no, query)")
+_CODES = "(select n_nationkey, n_name, 'N' || lpad(n_nationkey::varchar, 2, '0') as code from nation)"
+
+
+def _codes(spark, sf_dir):
+    code = F.concat(F.lit("N"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", "n_name", code.alias("code"))
+
+
+@query(f"""select n_nationkey as query_id, 0 as variant_no, 'who is ' || code || '?' as query from {_CODES} where n_nationkey % 2 = 0 union all select n_nationkey, 1, 'who is ' || n_name || '?' from {_CODES} where n_nationkey % 2 = 0
+union all select n_nationkey, 0, 'is ' || lower(n_name) || ' near' from {_CODES} where n_nationkey % 2 = 1 union all select n_nationkey, 1, 'is ' || code || ' near' from {_CODES} where n_nationkey % 2 = 1""")
 def jn03_query_variants(spark, sf_dir):
-    questions = spark.createDataFrame([(1, "what is BGN"), (2, "the united nations and MBG"), (3, "BGNX")], "query_id int, query string")
-    names = spark.createDataFrame([("BGN", "Badan Gizi Nasional"), ("MBG", "Makan Bergizi"), ("UN", "United Nations")], "acronym string, full_name string")
-    return retrieval.variants(questions, names)
+    names = _codes(spark, sf_dir)
+    asked = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("who is "), "code", F.lit("?"))).otherwise(F.concat(F.lit("is "), F.lower("n_name"), F.lit(" near")))
+    out = retrieval.variants(names.select(F.col("n_nationkey").alias("query_id"), asked.alias("query")), names.select(F.col("code").alias("acronym"), F.col("n_name").alias("full_name")))
+    return out.select("query_id", F.col("variant_no").cast("int").alias("variant_no"), "query")
 
 
-@query("select * from (values (1, 0, 0, 'h0'), (1, 3, 1, 'h1')) t(answer_id, seq, citation_no, text)")
+@query("select doc_id as answer_id, 0 as seq, 0 as citation_no, md5(text) as text_md5 from documents union all select doc_id, 3, 1, md5(source) from documents")
 def jn07_citations(spark, sf_dir):
-    given = spark.createDataFrame([(1, 0, 0, "alpha", 10, 15), (1, 1, 0, "alpha", 10, 15), (1, 2, 99, "ghost", 0, 5), (1, 3, 1, "beta", 20, 25)], "answer_id int, seq int, document_index int, cited_text string, start_char int, end_char int")
-    hits = spark.createDataFrame([(1, 0, "h0"), (1, 1, "h1")], "answer_id int, position int, text string")
-    return retrieval.cited(given, hits).select("answer_id", "seq", "citation_no", "text")
+    """Of four citations of each answer one repeats and one points nowhere."""
+    docs = table(spark, sf_dir, "documents")
+    given = [(0, 0, 10, 15), (1, 0, 10, 15), (2, 99, 0, 5), (3, 1, 20, 25)]
+    rows = F.array(*[F.struct(F.lit(a).alias("seq"), F.lit(b).alias("document_index"), F.lit(c).alias("start_char"), F.lit(d).alias("end_char")) for a, b, c, d in given])
+    citations = docs.select(F.col("doc_id").alias("answer_id"), F.explode(rows).alias("c")).select("answer_id", "c.*", F.lit("x").alias("cited_text"))
+    hits = docs.select(F.col("doc_id").alias("answer_id"), F.posexplode(F.array("text", "source")).alias("position", "text"))
+    return retrieval.cited(citations, hits).select("answer_id", "seq", "citation_no", F.md5("text").alias("text_md5"))
 
 
-@query("select '- ' || acronym || ' = ' || full_name || coalesce(' (' || gloss || ')', '') as line from (values ('BGN', 'Badan Gizi Nasional', 'National Nutrition Agency'), ('MBG', 'Makan Bergizi', null)) t(acronym, full_name, gloss)")
+@query(f"select n_nationkey, '- ' || code || ' = ' || n_name || case when n_nationkey % 2 = 0 then ' (' || lower(n_name) || ')' else '' end as line from {_CODES}")
 def str23_glossary_lines(spark, sf_dir):
     from corpusflow.functions.text import glossary_line
 
-    rows = spark.createDataFrame([("BGN", "Badan Gizi Nasional", "National Nutrition Agency"), ("MBG", "Makan Bergizi", None)], "acronym string, full_name string, gloss string")
-    return rows.select(glossary_line(F.col("acronym"), F.col("full_name"), F.col("gloss")).alias("line"))
+    gloss = F.when(F.col("n_nationkey") % 2 == 0, F.lower("n_name"))
+    return _codes(spark, sf_dir).select("n_nationkey", glossary_line(F.col("code"), F.col("n_name"), gloss).alias("line"))
 
 
 @query()

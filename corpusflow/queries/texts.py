@@ -89,10 +89,9 @@ def str11_lookalikes_folded(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.latin_for_lookalikes(F.col("text"))).alias("folded_md5"))
 
 
-@query(f"select item, translate(item, '{text.ENCLOSED}', '{text.OPENED}') as opened from (values ('{chr(0x1F1E6)}{chr(0x1F1E7)} ⓐⓑ'), ('ⒸⒹ plain'), ('{chr(0x1F130)}z')) t(item)")
+@query(f"select doc_id, md5(translate(text || ' {text.ENCLOSED}', '{text.ENCLOSED}', '{text.OPENED}')) as opened_md5 from documents")
 def str12_enclosed_letters(spark, sf_dir):
-    rows = spark.createDataFrame([(f"{chr(0x1F1E6)}{chr(0x1F1E7)} ⓐⓑ",), ("ⒸⒹ plain",), (f"{chr(0x1F130)}z",)], "item string")
-    return rows.withColumn("opened", text.opened_letters(F.col("item")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.opened_letters(F.concat("text", F.lit(" " + text.ENCLOSED)))).alias("opened_md5"))
 
 
 @query("select doc_id, md5(translate(text, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'nopqrstuvwxyzabcdefghijklmNOPQRSTUVWXYZABCDEFGHIJKLM')) as rotated_md5 from documents")
@@ -120,18 +119,59 @@ def str30_file_safe(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.file_safe(F.col("url")).alias("file_name"))
 
 
-_PAIRS = [("Badan Gizi Nasional", "BGN", True), ("Food and Drug Admin", "FDA", True), ("United Nations", "UN", True), ("Misi Badan Gizi", "BGN", False), ("See Figure", "XF", False), ("Makan Bergizi Gratis", "MBG", True), ("United States Agency for Development", "USAD", True)]
+_SPELLS = "select n_nationkey, case n_nationkey % 4 when 0 then 'U' || n_name[1:1] || 'O' when 1 then 'U' || n_name[1:1] || 'X' when 2 then 'UO' else 'XQ' || n_nationkey end as acronym, n_nationkey % 4 < 3 as spells from nation"
 
 
-@query("select * from (values " + ", ".join(f"('{a}', '{b}', {str(c).lower()})" for a, b, c in _PAIRS) + ") t(full_name, acronym, spells)")
+@query(_SPELLS)
 def str05_initials(spark, sf_dir):
-    rows = spark.createDataFrame([p[:2] for p in _PAIRS], "full_name string, acronym string")
-    return rows.withColumn("spells", text.initials_spell(F.col("full_name"), F.col("acronym")))
+    """Initials that agree, that are one edit away, and that do not agree."""
+    first, way = F.substring("n_name", 1, 1), F.col("n_nationkey") % 4
+    rows = table(spark, sf_dir, "nation").withColumn("acronym", F.when(way == 0, F.concat(F.lit("U"), first, F.lit("O"))).when(way == 1, F.concat(F.lit("U"), first, F.lit("X"))).when(way == 2, "UO").otherwise(F.concat(F.lit("XQ"), "n_nationkey")))
+    name = F.concat(F.lit("United and "), F.initcap(F.replace("n_name", F.lit(" "), F.lit(""))), F.lit(" Office"))
+    return rows.select("n_nationkey", "acronym", text.initials_spell(name, F.col("acronym")).alias("spells"))
 
 
-@query("select unnest(list_filter(list_transform(string_split(' id, en ,,x', ','), lambda x: trim(x)), lambda x: x <> '')) as value")
+@query("select doc_id, unnest(list_filter([lang, trim(source), doc_id::varchar], lambda x: x <> '')) as value from documents")
 def flt17_csv_set(spark, sf_dir):
-    return spark.range(1).select(F.explode(text.csv_set(F.lit(" id, en ,,x"))).alias("value"))
+    setting = F.concat(F.lit(" "), F.coalesce("lang", F.lit("")), F.lit(" , ,"), F.coalesce("source", F.lit("")), F.lit(",,"), "doc_id", F.lit(" "))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(text.csv_set(setting)).alias("value"))
+
+
+@query(r"""with t as (select doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') as t from documents where not contains(text, chr(10) || chr(10)))
+select doc_id, 1 + len(regexp_extract_all(t, '[.!?]\s+[A-ZÄÖÜ]')) as sentences from t where t <> ''""")
+def str09_sentences(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("\n\n")) & F.regexp_like("text", F.lit(r"\S")))
+    return docs.select("doc_id", F.size(text.sentences(F.col("text"))).cast("long").alias("sentences"))
+
+
+@query("""select n_regionkey::varchar as site_id, acronym, min_by(full_name, n_nationkey) as full_name from
+(select n_regionkey, n_nationkey, 'U' || n_name[1:1] || 'O' as acronym, 'United ' || replace(n_name, ' ', '') || ' Office' as full_name from nation) group by 1, 2""")
+def str04_acronyms(spark, sf_dir):
+    from corpusflow.plans.ingest import acronyms
+
+    first, name = F.substring("n_name", 1, 1), F.concat(F.lit("United "), F.replace("n_name", F.lit(" "), F.lit("")), F.lit(" Office"))
+    short = F.concat(F.lit("U"), first, F.lit("O"))
+    said = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("we met: "), name, F.lit(" ("), short, F.lit(") there"))).otherwise(F.concat(F.lit("so "), short, F.lit(" ("), name, F.lit(") came")))
+    docs = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("string").alias("site_id"), F.col("n_nationkey").alias("page_id"), F.concat(said, F.lit("; not Some Other Thing (ZZZ)")).alias("text"))
+    return acronyms(docs)
+
+
+@query("""select conv_id, turn, case when conv_id % 2 = 0 then role || turn when text is null then null else text end as content from conversations""")
+def str31_content_text(spark, sf_dir):
+    blocks = F.concat(F.lit('["'), "role", F.lit('", {"type": "text", "text": "'), "turn", F.lit('"}, {"type": "image"}]'))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.content_text(F.when(F.col("conv_id") % 2 == 0, blocks).otherwise(F.col("text"))).alias("content"))
+
+
+@query("""select conv_id, turn, md5(text || chr(10) || chr(10) || 'Reply with ONLY valid JSON that matches this schema. No prose, no markdown fences, no commentary:' || chr(10) || '```json' || chr(10) || '{"type": "' || role || '"}' || chr(10) || '```') as prompt_md5 from conversations""")
+def str32_schema_prompt(spark, sf_dir):
+    schema = F.concat(F.lit('{"type": "'), "role", F.lit('"}'))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(text.with_json_schema(F.col("text"), schema)).alias("prompt_md5"))
+
+
+@query("select doc_id, case when doc_id % 2 = 0 then '{\"id\": ' || doc_id || '}' else '{}' end as json from documents")
+def str28_salvaged_json(spark, sf_dir):
+    fenced = F.concat(F.lit('Sure:\n```json\n{"id": '), "doc_id", F.lit("}\n``` done"))
+    return table(spark, sf_dir, "documents").select("doc_id", scalars.salvaged_json(F.when(F.col("doc_id") % 2 == 0, fenced).otherwise(F.concat(F.lit("{broken "), F.col("doc_id")))).alias("json"))
 
 
 @query(r"""with w as (select doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') as words from documents where not contains(text, '://')),
@@ -159,13 +199,25 @@ last_value(case when regexp_matches(joined, '^#{2,4} ') then trim(regexp_replace
 select doc_id, chunk_index, coalesce(title, '') as section_title, sha256(text) as chunk_hash from s where text <> ''""")
 def win02_chunk_overlap(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("pieces"))
-    return chunking.chunks(docs, "doc_id", "pieces", overlap=40, size=2048).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "section_title", "chunk_hash")
+    return chunking.chunks(docs, "pieces", overlap=40, size=2048).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "section_title", "chunk_hash")
+
+
+@query("""with p as (select page_id, url, string_split(html, '><') as pieces from pages), u as (select page_id, unnest(pieces) as piece, generate_subscripts(pieces, 1) - 1 as chunk_index from p),
+l as (select *, coalesce(lag(piece) over (partition by page_id order by chunk_index), '') as before from u),
+w as (select *, case when length(before) > 20 then before[length(before) - 19:] else before end as tail from l),
+t as (select *, case when regexp_matches(tail, '\\s') then regexp_replace(tail, '^\\S*\\s', '') else '' end as snapped from w),
+j as (select page_id, chunk_index, regexp_replace(case when snapped = '' then piece when regexp_matches(snapped, '[ \\n\\t]$') then snapped || piece else snapped || ' ' || piece end, '^\\s+|\\s+$', '', 'g') as text from t)
+select page_id, 'one address' as source_url, chunk_index, sha256(text) as chunk_hash from j where text <> ''""")
+def win02_chunks_of_one_address(spark, sf_dir):
+    """All pages under one address: their chunks stay apart."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.lit("one address").alias("source_url"), F.split("html", "><").alias("pieces"))
+    return chunking.chunks(pages, "pieces", overlap=20, size=2048).select("page_id", "source_url", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_hash")
 
 
 @query()
 def str02_recursive_split(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", chunking.split_markdown(F.col("text")).alias("pieces"))
-    return chunking.chunks(docs, "doc_id", "pieces").select("doc_id", "chunk_index", "section_title", "chunk_hash")
+    return chunking.chunks(docs, "pieces").select("doc_id", "chunk_index", "section_title", "chunk_hash")
 
 
 @query()

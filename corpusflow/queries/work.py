@@ -174,16 +174,20 @@ def flt03_since_cutoff(spark, sf_dir):
     return rows.withColumn("cutoff", scalars.since_cutoff(F.col("since"), _now()))
 
 
-@query("select * from (values ('10/60s', 10, 60), ('5/m', 5, 60), ('3/2h', 3, 7200)) t(spec, n, seconds)")
+@query("select event_id, event_id % 9 + 1 as n, case when event_id % 2 = 0 then event_id % 5 + 1 else 1 end * case event_id % 3 when 0 then 1 when 1 then 60 else 3600 end as seconds from events")
 def src06_rate_limit(spark, sf_dir):
-    rows = spark.createDataFrame([("10/60s",), ("5/m",), ("3/2h",)], "spec string")
-    return rows.withColumn("r", scalars.rate_limit(F.col("spec"))).select("spec", "r.n", "r.seconds")
+    i = F.col("event_id")
+    unit = F.when(i % 3 == 0, "s").when(i % 3 == 1, "m").otherwise("h")
+    spec = F.concat((i % 9 + 1).cast("string"), F.lit("/"), F.when(i % 2 == 0, (i % 5 + 1).cast("string")).otherwise(""), unit)
+    rows = table(spark, sf_dir, "events").select("event_id", scalars.rate_limit(spec).alias("r"))
+    return rows.select("event_id", F.col("r.n").cast("long").alias("n"), F.col("r.seconds").cast("long").alias("seconds"))
 
 
-@query("select * from (values ('BENIGN', 0.9, 0.1), ('INJECTION', 0.8, 0.8), ('JAILBREAK', 1.2, 1.0), ('OTHER', 0.3, 0.5)) t(label, confidence, risk)".replace("select *", "select label, confidence::double as confidence, risk::double as risk"))
+@query("select doc_id, round(case doc_id % 3 when 0 then greatest(0, 1 - c) when 1 then least(1, c) else 0.5 end::double, 6) as risk from (select doc_id, (doc_id % 130) / 100.0 as c from labels)")
 def sca05_injection_risk(spark, sf_dir):
-    rows = spark.createDataFrame([("BENIGN", 0.9), ("INJECTION", 0.8), ("JAILBREAK", 1.2), ("OTHER", 0.3)], "label string, confidence double")
-    return rows.withColumn("risk", F.round(scalars.injection_risk(F.col("label"), F.col("confidence")), 6))
+    i = F.col("doc_id")
+    label = F.when(i % 3 == 0, "BENIGN").when(i % 3 == 1, F.when(i % 2 == 0, "JAILBREAK").otherwise("Injection")).otherwise("OTHER")
+    return table(spark, sf_dir, "labels").select("doc_id", F.round(scalars.injection_risk(label, (i % 130) / 100.0), 6).alias("risk"))
 
 
 @query("select doc_id, toxic >= 0.7 as is_toxic from labels")
@@ -192,16 +196,20 @@ def sca06_any_toxic(spark, sf_dir):
     return table(spark, sf_dir, "labels").select("doc_id", scalars.any_toxic(scores).alias("is_toxic"))
 
 
-@query("select * from (values ('a', 'new-model'), ('b', 'old-model'), ('c', null)) t(name, model)")
+@query("select doc_id, case doc_id % 3 when 0 then lang when 1 then source end as model from documents")
 def sca12_judge_setting(spark, sf_dir):
-    rows = spark.createDataFrame([("a", '{"judge":{"model":"new-model"},"ragas":{"model":"old-model"}}'), ("b", '{"ragas":{"model":"old-model"}}'), ("c", "{}")], "name string, config string")
-    return rows.select("name", scalars.judge_setting(F.col("config"), "model").alias("model"))
+    i, old = F.col("doc_id"), F.concat(F.lit('"ragas":{"model":"'), "source", F.lit('"}'))
+    config = F.when(i % 3 == 0, F.concat(F.lit('{"judge":{"model":"'), "lang", F.lit('"},'), old, F.lit("}"))).when(i % 3 == 1, F.concat(F.lit("{"), old, F.lit("}"))).otherwise("{}")
+    return table(spark, sf_dir, "documents").select("doc_id", scalars.judge_setting(config, "model").alias("model"))
 
 
-@query("select * from (values ('go/pkg/mod/cache', 'safe-cache'), ('src/app/node_modules', 'project-rebuild'), ('Library/Developer/Xcode/DerivedData', 'system-app'), ('Library/Group Containers/net.whatsapp.WhatsApp', 'app-manual'), ('Documents/a', 'user-data')) t(path, class)")
+_FOLDERS = ["go/pkg/mod/cache", "src/app/node_modules", "Library/Developer/Xcode/DerivedData", "Library/Group Containers/net.whatsapp.WhatsApp", "Documents/a"]
+
+
+@query(f"select page_id, list_value('safe-cache', 'project-rebuild', 'system-app', 'app-manual', 'user-data')[page_id % {len(_FOLDERS)} + 1] as class from pages")
 def sca10_reversibility(spark, sf_dir):
-    rows = spark.createDataFrame([("go/pkg/mod/cache",), ("src/app/node_modules",), ("Library/Developer/Xcode/DerivedData",), ("Library/Group Containers/net.whatsapp.WhatsApp",), ("Documents/a",)], "path string")
-    return rows.withColumn("class", scalars.reversibility(F.col("path")))
+    folder = F.element_at(F.array(*[F.lit(x) for x in _FOLDERS]), (F.col("page_id") % len(_FOLDERS) + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", scalars.reversibility(F.concat(folder, F.lit("/"), "page_id")).alias("class"))
 
 
 def _redacting_sql(column: str, form: str, kinds: list[str]) -> str:
@@ -330,10 +338,11 @@ def jn14_site_allowlists(spark, sf_dir):
     return rows.select("doc_id", F.array_contains("allowed", "EMAIL_ADDRESS").cast("int").alias("allowed"))
 
 
-@query("select * from (values ('custom-openai:http://h:11434/v1:llama', 'custom-openai', 'http://h:11434/v1', 'llama'), ('haiku', 'named', null, 'haiku')) t(spec, provider, url, model)")
+@query("select s_suppkey, case when s_suppkey % 2 = 0 then 'custom-openai' else 'named' end as provider, case when s_suppkey % 2 = 0 then 'http://h:' || s_suppkey || '/v1' end as url, 'm' || s_nationkey as model from supplier")
 def str27_judge_specs(spark, sf_dir):
-    rows = spark.createDataFrame([("custom-openai:http://h:11434/v1:llama",), ("haiku",)], "spec string")
-    return rows.withColumn("j", items.judge_spec(F.col("spec"))).select("spec", "j.*")
+    model = F.concat(F.lit("m"), "s_nationkey")
+    spec = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("custom-openai:http://h:"), "s_suppkey", F.lit("/v1:"), model)).otherwise(model)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", items.judge_spec(spec).alias("j")).select("s_suppkey", "j.*")
 
 
 @query("select acronym, gloss from (select substr(s_name, 1, 20) as acronym, case when s_suppkey % 2 = 0 then 'even' end as gloss, s_suppkey from supplier) order by acronym limit 50")
@@ -343,9 +352,13 @@ def jn02_glossary_join(spark, sf_dir):
     return items.glossary(names, glosses).select("acronym", "gloss")
 
 
-@query("select label, round(max(score), 6) as best from (select conv_id % 3 as label, length(text) / 1000.0 as score from conversations) group by 1")
+@query("select query_id, turn, row_number() over (partition by query_id order by round(length(text) / 1000.0, 6) desc, turn) as rank from (select conv_id as query_id, turn, coalesce(text, '') as text from conversations) qualify rank <= 3")
 def top02_best_scores(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy((F.col("conv_id") % 3).alias("label")).agg(F.round(F.max(F.length("text") / 1000), 6).alias("best"))
+    """Turns of each conversation, ranked again by their length."""
+    from corpusflow.operators.retrieval import reranked
+
+    hits = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), "turn", F.col("turn").alias("rank"), F.coalesce("text", F.lit("")).alias("text"))
+    return reranked(hits, F.round(F.length("text") / 1000.0, 6), 3).select("query_id", "turn", F.col("rank").cast("long").alias("rank"))
 
 
 @query()

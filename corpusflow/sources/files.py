@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
+import email
+import email.policy
+import io
 import json
 import os
+import re
 import tempfile
+import zipfile
+from collections.abc import Iterator
 from pathlib import Path
+from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusflow.functions.text import once
+from corpusflow.session import written
+
 MAX_FILES, MAX_BYTES = 10_000, 50 << 20
 TEXT_KINDS = ["txt", "md", "csv", "html", "htm", "json", "log"]
+# Kinds of attachments.
+KINDS = ["pdf", "docx", "doc", "xlsx", "xls", "pptx", "ppt", "md", "txt", "eml", "msg", "html", "htm", "csv", "png", "jpg", "jpeg", "tiff", "bmp"]
 ITEM = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "source", "type", "title", "body", "url", "owner", "priority", "status", "timestamp")] + [T.StructField("metadata", T.MapType(T.StringType(), T.StringType()))])
 
 
@@ -45,15 +58,73 @@ def folder(spark: SparkSession, path: str, extensions: list[str], recursive: boo
     return found.where(shown & kind & (F.col("length") <= MAX_BYTES)).select(*columns).orderBy("path").limit(max_files)
 
 
-def extracted(files: DataFrame) -> DataFrame:
-    """files (path, content) with text, content_hash and error: text kinds are decoded, others are an error row."""
-    from corpusflow.functions.html import markdown
+def _xml_text(data: bytes, block: str) -> list[str]:
+    """The text of each element `block`, whatever its namespace."""
+    root = ElementTree.fromstring(data)
+    return ["".join(x.itertext()) for x in root.iter() if x.tag.rsplit("}", 1)[-1] == block]
+
+
+def _office(data: bytes, kind: str) -> str:
+    """Paragraphs of a document, lines of slides, rows of sheets: all are XML in a ZIP."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        if kind == "docx":
+            return "\n".join(_xml_text(z.read("word/document.xml"), "p"))
+        number = lambda n: int("".join(filter(str.isdigit, n)) or 0)
+        if kind == "pptx":
+            slides = sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=number)
+            return "\n".join(x for n in slides for x in _xml_text(z.read(n), "p"))
+        shared = _xml_text(z.read("xl/sharedStrings.xml"), "si") if "xl/sharedStrings.xml" in z.namelist() else []
+        lines = []
+        for n in sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=number):
+            for row in (x for x in ElementTree.fromstring(z.read(n)).iter() if x.tag.endswith("}row")):
+                cells = [(c.get("t"), "".join(v.text or "" for v in c.iter() if v.tag.rsplit("}", 1)[-1] in ("v", "t"))) for c in row]
+                lines.append("\t".join(shared[int(v)] if t == "s" and v else v for t, v in cells))
+        return "\n".join(lines)
+
+
+def _mail(data: bytes) -> str:
+    """Subject, then the plain parts, or the HTML parts where there are none."""
+    from corpusflow.functions.html import to_markdown
+
+    message = email.message_from_bytes(data, policy=email.policy.default)
+    parts = [p for p in message.walk() if p.get_content_maintype() == "text" and not p.get_filename()]
+    plain = [p.get_content() for p in parts if p.get_content_subtype() == "plain"]
+    return "\n".join([message.get("subject", ""), *(plain or [to_markdown(p.get_content()) for p in parts])]).strip()
+
+
+def text_of_file(name: str, data: bytes) -> tuple[str | None, str | None]:
+    """(text, error) by the name's ending."""
+    from corpusflow.functions.html import to_markdown
 
-    kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    raw = F.decode("content", "UTF-8")
-    known = kind.isin(TEXT_KINDS)
-    text = F.when(kind.isin("html", "htm"), markdown(raw)).when(known, raw)
-    return files.withColumn("text", text).withColumn("content_hash", F.when(known, F.substring(F.sha2(raw, 256), 1, 12))).withColumn("error", F.when(~known, F.concat(F.lit("unsupported type: "), kind))).drop("content")
+    kind = name.rsplit(".", 1)[-1].lower() if "." in name.rsplit("/", 1)[-1] else ""
+    try:
+        if kind in ("docx", "pptx", "xlsx"):
+            return _office(data, kind), None
+        if kind == "eml":
+            return _mail(data), None
+        if kind in ("html", "htm"):
+            return to_markdown(data.decode("utf-8", "replace")), None
+        if kind in TEXT_KINDS:
+            return data.decode("utf-8", "replace"), None
+    except Exception as e:  # noqa: BLE001  a broken attachment is a row with its error
+        return None, f"{type(e).__name__}: {e}"
+    return None, f"no reader for {kind}" if kind in KINDS else f"Unsupported file type: .{kind}"
+
+
+_EXTRACTED = T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
+
+
+@F.pandas_udf(_EXTRACTED)
+def _extract(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for names, contents in batches:
+        yield pd.DataFrame([text_of_file(n, bytes(c)) for n, c in zip(names, contents, strict=True)], columns=["text", "error"])
+
+
+def extracted(files: DataFrame) -> DataFrame:
+    """files (path, content) with text, content_hash and error. Text, HTML, mail and Office's XML files are read; binary
+    Office files, PDF and images need libraries that are not here, and are error rows, as unknown and broken files are."""
+    rows = files.withColumn("__x", once(_extract)(F.col("path"), F.col("content")))
+    return rows.select(*[c for c in files.columns if c != "content"], F.col("__x.text").alias("text"), F.substring(F.sha2("__x.text", 256), 1, 12).alias("content_hash"), F.col("__x.error").alias("error"))
 
 
 def json_state(path: str) -> dict:
@@ -77,9 +148,9 @@ def write_json_state(path: str, state: dict) -> None:
     os.replace(f.name, target)
 
 
-def items(spark: SparkSession, path: str) -> DataFrame:
-    """Work items of a JSON array or object."""
-    return spark.read.schema(ITEM).option("multiLine", True).json(path)
+def items(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Work items of files that hold a JSON array or object each, or one object a line, which are read in splits."""
+    return spark.read.schema(ITEM).option("multiLine", not lines).json(path)
 
 
 def json_lines_tail(lines: DataFrame, schema: str, n: int, line_no: str = "line_no", value: str = "value", strict: bool = False) -> DataFrame:
@@ -92,8 +163,13 @@ def json_lines_tail(lines: DataFrame, schema: str, n: int, line_no: str = "line_
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value) of a text file in order."""
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
+    """(line_no, value) of a text file in order, read in splits: a line's number is its place in its task plus the lines
+    of the tasks before, of which there are as many as splits."""
+    lines = written(spark.read.text(path).select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"), "value"), "lines")
+    counts = lines.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("part", "first", before.alias("before"))
+    return lines.join(F.broadcast(starts), "part").select((F.col("at") - F.col("first") + F.col("before")).alias("line_no"), "value")
 
 
 def recent(files: DataFrame, n: int) -> DataFrame:

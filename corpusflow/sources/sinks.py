@@ -5,19 +5,29 @@ from __future__ import annotations
 import hashlib
 import json
 import tarfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Sections of an audit, in order.
+SECTIONS = ["quality", "capability", "redteam", "locale_probes"]
 
 _SECRET = r"(?i)(^|/)(_raw|\.env|secrets?|credentials?|tokens?)(/|\.|$)|\.(pem|key|p12)$"
 
 
 class VersionedTable:
-    """A table as numbered folders and a pointer; readers never see a half-written version."""
+    """A table as data folders and numbered manifests, each of which lists the folders of one version.
+
+    A manifest is written under another name and renamed, after its data; readers take the one with the highest number,
+    so they never see a half-written version. Rows lie in folders by the hash of their keys, and merge() writes only the
+    folders that its rows fall into again: a small batch costs its own buckets.
+    """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
@@ -30,34 +40,79 @@ class VersionedTable:
         if not fs.exists(root):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(root)]
-        done = [n for n in names if n.startswith("v") and n[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        return sorted(int(n[1:]) for n in done)
+        return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json") and n[1:-5].isdigit())
 
-    def read(self) -> DataFrame | None:
+    def _manifest(self) -> dict:
         found = self.versions()
-        return self.spark.read.parquet(f"{self.path}/v{found[-1]}") if found else None
+        if not found:
+            return {"folders": {}, "keys": [], "schema": None}
+        return json.loads(self.spark.read.text(f"{self.path}/v{found[-1]}.json", wholetext=True).first()[0])
 
-    def write(self, df: DataFrame, partition_by: list[str] | None = None) -> int:
+    def _publish(self, manifest: dict) -> int:
+        jvm, fs = self._fs()
         version = (self.versions() or [0])[-1] + 1
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.path}/v{version}")
+        path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        hidden = path(f"_v{version}-{uuid.uuid4().hex}")
+        out = fs.create(hidden, True)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        if fs.exists(path(f"v{version}.json")) or not fs.rename(hidden, path(f"v{version}.json")):
+            raise RuntimeError(f"another writer made version {version} of {self.path}")
         return version
 
+    def _read(self, folders: list[str], schema: str | None) -> DataFrame | None:
+        if schema is None:
+            return None
+        kind = T.StructType.fromJson(json.loads(schema))
+        if not folders:
+            return self.spark.createDataFrame([], kind)
+        return self.spark.read.schema(kind).parquet(*[f"{self.path}/{f}" for f in folders])
+
+    def read(self) -> DataFrame | None:
+        manifest = self._manifest()
+        return self._read(sorted(manifest["folders"].values()), manifest["schema"])
+
+    def _write(self, df: DataFrame, keys: list[str]) -> dict[str, str]:
+        """Folders by bucket, new ones."""
+        folder = f"data-{uuid.uuid4().hex}"
+        bucket = F.pmod(F.hash(*keys), F.lit(self.buckets)) if keys else F.lit(0)
+        df.withColumn("__bucket", bucket).write.partitionBy("__bucket").parquet(f"{self.path}/{folder}")
+        jvm, fs = self._fs()
+        names = [s.getPath().getName() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}"))]
+        return {n.split("=")[1]: f"{folder}/{n}" for n in names if n.startswith("__bucket=")}
+
+    def write(self, df: DataFrame, keys: list[str] | None = None) -> int:
+        """All of df as the next version."""
+        return self._publish({"folders": self._write(df, keys or []), "keys": keys or [], "schema": df.schema.json()})
+
+    def merge(self, new: DataFrame, keys: list[str], order: list[Column] | None = None) -> int:
+        """The last version with new's rows in place of those with the same keys, as the next version. See upsert()."""
+        from corpusflow.operators.state import upsert
+
+        manifest = self._manifest()
+        if manifest["schema"] is None or manifest["keys"] != keys:
+            old = self.read()
+            empty = new.limit(0) if old is None else old
+            return self.write(upsert(empty, new, keys, order), keys)
+        touched = {str(r.b) for r in new.select(F.pmod(F.hash(*keys), F.lit(self.buckets)).alias("b")).distinct().collect()}
+        old = self._read([f for b, f in manifest["folders"].items() if b in touched], manifest["schema"])
+        folders = {b: f for b, f in manifest["folders"].items() if b not in touched}
+        return self._publish(manifest | {"folders": folders | self._write(upsert(old, new, keys, order), keys)})
+
     def create(self, schema: str) -> None:
         """An empty first version, unless there is one."""
         if not self.versions():
-            self.write(self.spark.createDataFrame([], schema))
+            self._publish({"folders": {}, "keys": [], "schema": self.spark.createDataFrame([], schema).schema.json()})
 
 
 def append_feedback(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def event_rows(steps: DataFrame, order: Column) -> DataFrame:
-    """(seq, type, payload) of (type, payload): what a server would stream."""
-    from pyspark.sql import Window
-
-    return steps.select((F.row_number().over(Window.orderBy(order)) - 1).alias("seq"), "type", "payload")
+def event_rows(steps: DataFrame, by: str, order: Column) -> DataFrame:
+    """(by, seq, type, payload) of steps (by, type, payload): what a server would stream to each request."""
+    seq = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
+    return steps.select(by, seq.alias("seq"), "type", "payload")
 
 
 def report_json(summary: DataFrame) -> DataFrame:
@@ -65,6 +120,26 @@ def report_json(summary: DataFrame) -> DataFrame:
     return summary.select(F.to_json(F.struct(*summary.columns)).alias("report"))
 
 
+def condensed(sections: DataFrame) -> DataFrame:
+    """sections (section, summary) of an audit that a short answer names, in its order."""
+    at = F.array_position(F.array(*[F.lit(x) for x in SECTIONS]), F.col("section"))
+    return sections.where(at > 0).select("section", "summary", at.alias("place"))
+
+
+def audit_markdown(sections: DataFrame, title: str, facts: dict[str, str]) -> DataFrame:
+    """(report): one page of Markdown over sections (section, summary), a row each, which are few."""
+    head = "\n".join([f"# {title}", "", *(f"- {k}: `{v}`" for k, v in facts.items()), "", ""])
+    part = F.concat(F.lit("## "), "section", F.lit("\n\n```json\n"), "summary", F.lit("\n```\n"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("section", part.alias("p")))), lambda x: x.p)
+    return sections.agg(F.concat(F.lit(head), F.array_join(parts, "\n")).alias("report"))
+
+
+def as_html(report: Column, title: str) -> Column:
+    """A Markdown page shown as text in HTML."""
+    safe = F.replace(F.replace(F.replace(report, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return F.concat(F.lit(f'<!doctype html>\n<html lang="en"><head><meta charset="utf-8"><title>{title}</title></head>\n<body><pre>'), safe, F.lit("</pre></body></html>\n"))
+
+
 def markdown_report(title: str, tally: DataFrame, breaches: DataFrame, top: int = 10) -> str:
     """A page of Markdown over tables that are small: one row a guard, and the first breaches."""
     lines = [f"# {title}", "", "| " + " | ".join(tally.columns) + " |", "|" + "---|" * len(tally.columns)]

@@ -15,16 +15,42 @@ from corpusflow.operators.state import reachable
 MAX_PAGE_BYTES = 2 << 20
 
 
-def sitemap_urls(xml: Column) -> Column:
-    """array<struct<url,lastmod>> of a urlset, whatever its namespace; an index or broken XML gives none."""
-    plain = F.regexp_replace(F.regexp_replace(xml, r"\sxmlns(:\w+)?=\"[^\"]*\"", ""), r"<(/?)\w+:", "<$1")
-    entries = F.regexp_extract_all(plain, F.lit(r"(?s)<url>(.*?)</url>"), F.lit(1))
-    one = lambda e, tag: F.trim(F.regexp_extract(e, rf"(?s)<{tag}>(.*?)</{tag}>", 1))
-    rows = F.transform(entries, lambda e: F.struct(one(e, "loc").alias("url"), F.nullif(one(e, "lastmod"), F.lit("")).alias("lastmod")))
-    whole = F.regexp_like(plain, F.lit(r"(?s)<urlset.*</urlset>"))
+def _plain(xml: Column) -> Column:
+    """Text of an element: CDATA opened, entities read."""
+    out = F.regexp_replace(xml, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
+    for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(sign))
+    return F.trim(F.regexp_replace(out, r"^\s+|\s+$", ""))
+
+
+def sitemap_urls(xml: Column, base: Column | None = None) -> Column:
+    """array<struct<url,lastmod>> of a urlset, whatever its namespace; an index or broken XML gives none. Addresses are
+    resolved against `base`, the sitemap's own."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(xml, r"(?s)<!--.*?-->", ""), r"\sxmlns(:\w+)?=(\"[^\"]*\"|'[^']*')", ""), r"<(/?)\w+:", "<$1")
+    entries = F.regexp_extract_all(bare, F.lit(r"(?s)<url>(.*?)</url>"), F.lit(1))
+    one = lambda e, tag: _plain(F.regexp_extract(e, rf"(?s)<{tag}>(.*?)</{tag}>", 1))
+    where = (lambda loc: loc) if base is None else (lambda loc: F.when(loc != "", html.absolute(base, loc)).otherwise(""))
+    rows = F.transform(entries, lambda e: F.struct(where(one(e, "loc")).alias("url"), F.nullif(one(e, "lastmod"), F.lit("")).alias("lastmod")))
+    whole = F.regexp_like(bare, F.lit(r"(?s)<urlset\b.*</urlset>\s*$")) & (F.regexp_count(bare, F.lit("<url>")) == F.regexp_count(bare, F.lit("</url>")))
     return F.when(whole, F.filter(rows, lambda r: r.url != "")).otherwise(F.array().cast("array<struct<url:string,lastmod:string>>"))
 
 
+# Where a site's sitemap may be, in the order in which it is looked for.
+SITEMAPS = ["/sitemap.xml", "/sitemap_index.xml"]
+
+
+def discovered(fetched: DataFrame) -> DataFrame:
+    """(site_id, url, lastmod) of the first of SITEMAPS that was fetched and is not empty.
+
+    fetched has (site_id, path, status, xml); a status other than 200 counts as not fetched.
+    """
+    place = F.array_position(F.array(*[F.lit(x) for x in SITEMAPS]), F.col("path"))
+    base = F.concat(F.lit("https://"), "site_id", "path")
+    found = fetched.where((place > 0) & (F.col("status") == 200)).select("site_id", place.alias("place"), sitemap_urls(F.col("xml"), base).alias("urls")).where(F.size("urls") > 0)
+    first = found.groupBy("site_id").agg(F.min_by("urls", "place").alias("urls"))
+    return first.select("site_id", F.explode("urls").alias("u")).select("site_id", "u.url", "u.lastmod")
+
+
 def accepted(pages: DataFrame, max_depth: int = 2) -> DataFrame:
     """pages (depth, allowed, content_type, status, html, markdown) that a crawl keeps."""
     kind = F.coalesce(F.lower(F.col("content_type")), F.lit(""))

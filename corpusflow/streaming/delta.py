@@ -9,7 +9,6 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.operators.state import upsert
 from corpusflow.sources.sinks import VersionedTable
 
 
@@ -24,17 +23,16 @@ def only_one(path: str) -> Iterator[None]:
         yield
 
 
-def ingest(spark: SparkSession, source: str, schema: str, target: VersionedTable, checkpoint: str, keys: list[str], prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
+def ingest(spark: SparkSession, source: str, schema: str, target: VersionedTable, checkpoint: str, keys: list[str], prepare: Callable[[DataFrame], DataFrame] = lambda df: df, order: list[str] | None = None) -> None:
     """All new files of `source`, merged by key into `target`, then an end. A rerun without new files does nothing.
 
     A batch is merged into a new version before the stream's offset moves on, so a failure repeats the batch; merging
-    twice is merging once.
+    twice is merging once. Of a key's rows in one batch the last by the columns `order` wins; without an order they must
+    be equal.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
-        old = target.read()
-        new = prepare(batch).dropDuplicates(keys)
-        target.write(new if old is None else upsert(old, new, keys))
+        target.merge(prepare(batch), keys, [F.col(c) for c in order] if order else None)
 
     stream = spark.readStream.schema(schema).parquet(source)
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

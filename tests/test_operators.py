@@ -56,10 +56,10 @@ def test_pieces():
 
 def test_chunks_overlap_and_sections(spark):
     docs = spark.createDataFrame([("u", ["## Top\nhello world foo", "next part", "  ", "last"])], "u string, p array<string>")
-    got = [tuple(r) for r in chunking.chunks(docs, "u", "p", overlap=9, size=100).orderBy("chunk_index").select("chunk_index", "text", "section_title").collect()]
+    got = [tuple(r) for r in chunking.chunks(docs, "p", overlap=9, size=100).orderBy("chunk_index").select("chunk_index", "text", "section_title").collect()]
     assert got == [(0, "## Top\nhello world foo", "Top"), (1, "foo next part", "Top"), (2, "part", "Top"), (3, "last", "Top")]
     with pytest.raises(ValueError):
-        chunking.chunks(docs, "u", "p", overlap=5, size=5)
+        chunking.chunks(docs, "p", overlap=5, size=5)
 
 
 def test_word_windows(spark):
