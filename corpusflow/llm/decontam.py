@@ -95,5 +95,6 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", d
 def without_items(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """docs without those that hold an item; rows with a null id stay."""
     doc_id = options.get("doc_id", "doc_id")
-    hit = contained_items(docs, items, **options).select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(hit, doc_id, "left_anti")
+    rows = options.get("broadcast_rows", BROADCAST_ROWS)
+    hit = Scratch(docs.sparkSession, "decontam").table(contained_items(docs, items, **options).select(F.col("doc_id").alias(doc_id)).distinct(), "hit")
+    return docs.join(F.broadcast(hit) if hit.limit(rows + 1).count() <= rows else hit, doc_id, "left_anti")

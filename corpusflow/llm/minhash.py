@@ -278,27 +278,28 @@ def _more(members: DataFrame, links: _Links, percent: int) -> None:
 
     apart = off_hub(members)
     links.merge(apart.where(_near("n", "hub_n", percent)).select(F.col("uid").alias("a"), F.col("hub").alias("b")).distinct())
-    mixed = s.table(off_hub(apart).select("band").distinct(), "mixed")
-    few = mixed.limit(BROADCAST + 1).count() <= BROADCAST
-    rest = s.table(members.join(F.broadcast(mixed) if few else mixed, "band", "left_semi").select("band", "uid", "n", "size"), "rest")
-    rest = _mixed(rest, links)
+
+    def in_large(apart: DataFrame) -> DataFrame:
+        """(uid, n, band, label) of nodes in large buckets of several components; band is the first of those buckets."""
+        mixed = s.table(apart.where(F.col("size") > BUCKET).select("band").distinct().withColumn("mixed", F.lit(True)), "mixed")
+        few = mixed.limit(BROADCAST + 1).count() <= BROADCAST
+        marked = members.join(F.broadcast(mixed) if few else mixed, "band", "left")
+        nodes = marked.groupBy("uid", "n").agg(F.min(F.when(F.col("mixed"), F.col("band"))).alias("band")).where("band is not null")
+        return s.table(links.label(nodes, "uid", "label"), "in-large")
+
+    apart = off_hub(apart)
+    large = in_large(apart)
     for turn in range(ROUNDS):
-        big = rest.where(F.col("size") > BUCKET)
-        drawn = big.groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "uid").alias("draw"), F.col("uid").alias("b"), F.col("n").alias("m"), F.col("label").alias("y"))).alias("d")).select("band", "d.b", "d.m", "d.y")
-        if not links.merge(big.join(s.table(drawn, "drawn"), "band").where(F.col("label") != F.col("y")).where(_near("n", "m", percent)).select(F.col("uid").alias("a"), "b").distinct()):
+        drawn = large.groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "uid").alias("draw"), F.col("uid").alias("b"), F.col("n").alias("m"), F.col("label").alias("y"))).alias("d")).select("band", "d.b", "d.m", "d.y")
+        if not links.merge(large.join(s.table(drawn, "drawn"), "band").where(F.col("label") != F.col("y")).where(_near("n", "m", percent)).select(F.col("uid").alias("a"), "b").distinct()):
             break
-        rest = _mixed(rest.drop("label"), links)
-    left, right = (rest.where(F.col("size") <= BUCKET).select("band", F.col("uid").alias(u), F.col("n").alias(n), F.col("label").alias(x)) for u, n, x in (("a", "n", "x"), ("b", "m", "y")))
+        apart = off_hub(apart)
+        large = in_large(apart)
+    narrow = apart.where(F.col("size") <= BUCKET).select("band").distinct()
+    rest = s.table(links.label(members.where(F.col("size") <= BUCKET).join(narrow, "band", "left_semi").select("band", "uid", "n"), "uid", "label"), "rest")
+    left, right = (rest.select("band", F.col("uid").alias(u), F.col("n").alias(n), F.col("label").alias(x)) for u, n, x in (("a", "n", "x"), ("b", "m", "y")))
     small = left.join(right, "band").where("a < b and x <> y").where(_near("n", "m", percent)).select("a", "b").distinct()
-    big = s.table(rest.where(F.col("size") > BUCKET).select("uid", "n", "label").distinct(), "big")
-    links.merge(small.unionByName(_by_rarest(big, links.sets, s, percent)).distinct())
-
-
-def _mixed(rows: DataFrame, links: _Links) -> DataFrame:
-    """Of members (band, uid, n, size) those in buckets that hold several components, with their label."""
-    at = links.scratch.table(links.label(rows, "uid", "label"), "labelled")
-    mixed = at.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("band")
-    return links.scratch.table(at.join(links.scratch.table(mixed, "mixed"), "band", "left_semi"), "rest")
+    links.merge(small.unionByName(_by_rarest(large.select("uid", "n", "label"), links.sets, s, percent)).distinct())
 
 
 def _slots(nodes: DataFrame) -> np.ndarray:

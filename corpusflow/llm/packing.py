@@ -36,7 +36,7 @@ WINDOW = 4096
 END_ID = 2
 PARTITION_TOKENS = 1_000_000
 #: Entries of each worker's caches of words and pieces.
-CACHE = 400_000
+CACHE = 250_000
 
 _ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SPACE = re.compile(r"[ \t\n\r]+")

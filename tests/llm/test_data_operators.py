@@ -255,3 +255,129 @@ def test_texts_as_audio(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:]))
     assert out[8].feature == out[9].feature and out[8].media_sha256 == out[9].media_sha256
     assert audio.texts_as_audio(spark.createDataFrame([], DOCS)).count() == 0
+
+
+# --- edges: nulls, repeated rows, skew, long texts ---
+
+
+def test_packages_of_null_and_repeated_ids(spark):
+    """One response a payload, also where ids repeat; null ids stay; addresses come back."""
+    big = "z" * 3_000_000
+    rows = [(1, "http://a", "x", 0), (1, "http://a", "x", 0), (2, None, "x", 0), (None, "http://n", "x", 0), (None, "http://m\r\nb", "only null", 0), (None, None, "only null", 0), (7, "", None, 0), (8, "u", "", 0), (9, "u", big, 0), (9, "v", big, 0)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, start int").repartition(3)
+    got = warc_zip.read_packages(warc_zip.write_packages(df, package_bytes=10_000), index_bytes=150).collect()
+    kinds = Counter((r.record_id, r.record_type, r.refers_to, r.payload_bytes) for r in got)
+    assert kinds == Counter({(1, "response", None, 1): 1, (1, "revisit", 1, 1): 1, (2, "revisit", 1, 1): 1, (None, "revisit", 1, 1): 1, (None, "response", None, 9): 2, (7, "response", None, 0): 1, (8, "revisit", 7, 0): 1, (9, "response", None, 3_000_000): 1, (9, "revisit", 9, 3_000_000): 1})
+    assert Counter(r.url for r in got) == Counter(None if u is None else u.replace("\r", "%0D").replace("\n", "%0A") for _, u, _, _ in rows)
+
+
+@pytest.mark.parametrize("index_bytes", [1, 97, 1 << 20])
+def test_packages_are_read_in_parts(spark, index_bytes):
+    df = spark.createDataFrame([(i, f"http://h/{i}", f"page {i}") for i in range(60)], "page_id long, url string, html string").repartition(2)
+    out = warc_zip.read_packages(warc_zip.write_packages(df), index_bytes=index_bytes).collect()
+    assert sorted((r.record_id, r.url, bytes(r.payload)) for r in out) == sorted((i, f"http://h/{i}", b"page %d" % i) for i in range(60))
+
+
+def test_damaged_packages(tmp_path):
+    path = tmp_path / "a.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("näme", b"value" * 100)
+        z.writestr("k", b"value" * 100)
+    data = bytearray(path.read_bytes())
+    at = data.rfind(b"value", 0, data.find(b"PK\1\2"))
+    data[at] ^= 1
+    path.write_bytes(bytes(data))
+    with pa.memory_map(str(path)) as f:
+        d = warc_zip.ZipDirectory(f)
+        assert set(d.members) == {"näme", "k"} and d.read("näme") == b"value" * 100
+        with pytest.raises(ValueError, match="CRC"):
+            d.read("k")
+
+
+def test_buckets_of_a_hot_shard(spark, monkeypatch):
+    """Three quarters of the rows share a key: its shard gets more buckets, not larger ones."""
+    from corpusflow.llm.shared import Scratch
+
+    seen = []
+    table = Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, *a, **b: seen.append(table(self, df, *a, **b)) or seen[-1])
+    rows = [(None if i % 4 else i, "x" * 500, "s", 1) for i in range(2000)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(5)
+    out = sharding.shuffle_into_shards(docs, "doc_id", "text", shards=5, bucket_bytes=50_000)
+    sizes = [r.b for r in seen[0].groupBy("__bucket").agg(F.sum(F.length("text")).alias("b")).collect()]
+    assert max(sizes) < 2 * 50_000 and len(sizes) > 20
+    hot = {r.shard for r in out.where("doc_id is null").select("shard").distinct().collect()}
+    slots = defaultdict(list)
+    for r in out.select("shard", "slot").collect():
+        slots[r.shard].append(r.slot)
+    assert len(hot) == 1 and all(sorted(x) == list(range(len(x))) for x in slots.values()) and sum(map(len, slots.values())) == 2000
+
+
+def test_shards_of_thousands(spark):
+    ids = spark.range(5000).select(sharding.consistent_shard(F.col("id"), 10_000).alias("a"), sharding.consistent_shard(F.col("id"), 10_001).alias("b"))
+    rows = ids.collect()
+    assert all(r.a == r.b or r.b == 10_000 for r in rows) and len({r.a for r in rows}) > 3500 and max(r.a for r in rows) < 10_000
+
+
+def test_resample_equals_direct_convolution():
+    x = np.random.default_rng(2).normal(size=400)
+    up, down, half = 3, 4, 8
+    n = np.arange(-half * 4, half * 4 + 1)
+    taps = up / 4 * np.sinc(n / 4) * np.hanning(len(n) + 2)[1:-1]
+    dense = np.zeros(len(x) * up)
+    dense[::up] = x
+    want = np.convolve(dense, taps)[half * 4 :][::down][: -(-len(x) * up // down)]
+    got = audio.resample(x, 12000, 16000)
+    assert np.allclose(got, want)
+    assert np.allclose(np.concatenate([audio.resample_range(x, 12000, 16000, a, min(a + 37, 300)) for a in range(0, 300, 37)]), got)
+
+
+def test_log_mel_equals_slow_transform():
+    x = np.random.default_rng(3).normal(size=1000)
+    mel, energy = audio.log_mel(x, 12000)
+    k = np.arange(audio.FRAME)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * k / audio.FRAME)
+    hz = lambda m: 700 * (10 ** (m / 2595) - 1)
+    edges = [hz(m) for m in np.linspace(0, 2595 * np.log10(1 + 6000 / 700), audio.MELS + 2)]
+    padded = np.concatenate([x, np.zeros(5000)])
+    for f in range(len(mel)):
+        part = padded[f * audio.HOP : f * audio.HOP + audio.FRAME] * window
+        power = [abs(np.sum(part * np.exp(-2j * np.pi * b * k / audio.FRAME))) ** 2 for b in range(audio.FRAME // 2 + 1)]
+        for m in range(audio.MELS):
+            total = 0.0
+            for b, p in enumerate(power):
+                at = b * 12000 / audio.FRAME
+                total += p * max(0.0, min((at - edges[m]) / (edges[m + 1] - edges[m]), (edges[m + 2] - at) / (edges[m + 2] - edges[m + 1])))
+            assert abs(mel[f, m] - np.log(total + audio.FLOOR)) < 1e-6
+        assert abs(energy[f] - np.sum(part**2)) < 1e-9
+
+
+def test_stored_tensors_of_a_long_clip():
+    """Blocks give the same tensors as the whole signal at once, read back from their Arrow stream."""
+    data = np.random.default_rng(4).integers(0, 256, 2_500_000, dtype=np.uint8).tobytes()
+    stream, frames, spans = audio.store_tensors(audio.to_wav(data))
+    mel, energy = audio.log_mel(audio.resample((np.frombuffer(data, np.uint8) - 127.5) / 127.5, 12000, 16000), 12000)
+    batches = list(audio.stored_batches(stream))
+    assert batches[0].column(0).type.shape == [audio.FRAMES, audio.MELS] and len(batches) > 1
+    stored = np.concatenate([b.column(0).to_numpy_ndarray().reshape(-1, audio.MELS) for b in batches])[:frames]
+    assert frames == len(mel) and np.allclose(stored, mel, atol=1e-4) and spans == [(a * 16, b * 16) for a, b in audio.segments(energy)]
+    ends = [x for b in batches for x in b.column(2).to_pylist()]
+    assert ends[-1] == frames * 16 and audio.feature_string(stream, spans).startswith(f"{frames}:{len(spans)}:")
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", 5)], "doc_id long, text string, source string, n long")
+    odd = docs.withColumns({"ids": F.lit(1), "offset": F.lit(2), "sequence_id": F.lit(3), "uid": F.lit(4), "h": F.lit(5), "key": F.lit(6), "band": F.lit(7), "row": F.lit(8), "media": F.lit(9)})
+    assert packing.pack(odd, WORD).count() == 1 and token_counts.counted(odd, BYTE, 1).first().n_tokens == 2
+    assert audio.texts_as_audio(odd).first().n_bytes == 3
+    pages = odd.withColumnRenamed("doc_id", "page_id").withColumnRenamed("text", "html").withColumn("url", F.lit("u"))
+    assert warc_zip.read_packages(warc_zip.write_packages(pages)).count() == 1
+
+
+def test_null_ids_and_repeated_rows(spark):
+    rows = [(None, "a b", None, 1), (None, "a b", None, 1), (3, None, None, 1), (3, None, None, 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert sorted(str(r.doc_id) for r in audio.texts_as_audio(docs).collect()) == ["3", "3", "None", "None"]
+    assert sorted((str(r.doc_id), r.n_tokens) for r in token_counts.counted(docs, BYTE, 1).collect()) == [("3", 0), ("3", 0), ("None", 2), ("None", 2)]
+    assert sum(r.length for r in packing.pack(docs, WORD).collect()) == sum(r.doc_tokens for r in packing.pack(docs, WORD).collect())
+    assert sharding.shuffle_into_shards(docs, "doc_id", "text", shards=2).count() == 4

@@ -91,3 +91,18 @@ def test_language_on_held_out_documents(spark):
     model = language_id.fit_on(docs.where("doc_id % 2 = 0"), per_language=40)
     out = language_id.identify(docs.where("doc_id % 2 = 1"), model, host="source").collect()
     assert np.mean([r.lang == r.lang_id for r in out]) > 0.98 and np.mean([r.lang_accepted for r in out]) > 0.99
+
+
+def test_near_copies_keep_one_of_repeated_rows(spark, tmp_path):
+    """Repeated rows, one id with two texts, and groups without ids: one row of each group stays."""
+    a, b, c = "one two three four five six", "seven eight nine ten eleven twelve", "red blue green grey black white"
+    rows = [(1, a), (1, a), (2, a), (3, b), (3, b + " "), (None, b), (None, c), (None, c), (5, "short"), (5, "short"), (6, None), (6, None), (7, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0, 1) for d, t in rows], SCHEMA)
+    kept = Counter((r.doc_id, (r.text or "").strip()) for r in dict(corpus_pipeline.STAGES)["near_copies"](spark, docs, str(tmp_path)).collect())
+    assert kept == Counter({(1, a): 1, (3, b): 1, (None, c): 1, (5, "short"): 1, (6, ""): 2, (7, ""): 1})
+
+
+def test_all_stages_take_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -321,3 +321,95 @@ def test_language_of_one_very_long_text(spark):
     model = language_id.fit([(t, l) for l, t in SENTENCES.items()])
     docs = spark.createDataFrame([(1, (SENTENCES["fr"] + " ") * 100_000, 5), (2, SENTENCES["de"], 5), (2, SENTENCES["de"], 5)], "doc_id long, text string, score int")
     assert sorted((r.doc_id, r.lang_id, r.score) for r in language_id.identify(docs, model).collect()) == [(1, "fr", 5), (2, "de", 5), (2, "de", 5)]
+
+
+# --- licence scan, brute force ---
+
+
+def slow_license(texts, threshold=0.6):
+    """(licence, score) a text: every template over every place where a pair with a trigger meets, in plain Python."""
+    words = lambda t: "".join(c if c.isascii() and c.isalnum() else " " for c in (t or "").lower()).split()
+    terms = lambda ws: Counter(ws) + Counter(zip(ws, ws[1:], strict=False))
+    templates = [(l, [w.decode() for w in ws]) for l, ws, _ in license_scan.LIST]
+    known = {t for _, ws in templates for t in terms(ws)}
+    texts = [words(t) for t in texts]
+    df = Counter(t for ws in texts for t in set(terms(ws)) & known)
+    idf = lambda t: np.log((1 + len(texts)) / (1 + (df[t] if t in known else min(1, len(texts))))) + 1
+    out = []
+    for ws in texts:
+        best = (None, 0.0)
+        for l, ts in templates:
+            target = {t: n * idf(t) for t, n in terms(ts).items()}
+            size = np.sqrt(sum(x * x for x in target.values()))
+            for i in range(len(ws) - 1):
+                for o in range(len(ts) - 1):
+                    if ws[i : i + 2] == ts[o : o + 2] and license_scan.TRIGGERS & set(ts[o : o + 2]):
+                        part = terms(ws[max(0, i - o) : max(0, i - o + len(ts))])
+                        dot = sum(n * idf(t) * target.get(t, 0) for t, n in part.items())
+                        # a term outside the templates is one of its own each time
+                        norm = np.sqrt(sum((n * idf(t)) ** 2 if t in known else n * idf(t) ** 2 for t, n in part.items()))
+                        cos = round(dot / norm / size, 6)
+                        if cos > best[1] + 1e-7:
+                            best = (l, cos)
+        out.append(best if best[1] >= threshold else (None, None))
+    return out
+
+
+def test_license_scan_equals_brute_force(spark):
+    rnd = random.Random(9)
+    texts = [None, "", "the public licensed the work under version control", "license", "a driving license"]
+    for _ in range(45):
+        l, ws, _ = rnd.choice(license_scan.LIST)
+        ws = [w.decode() for w in ws]
+        for _ in range(rnd.choice([0, 0, 1, 3])):
+            ws[rnd.randrange(len(ws))] = rnd.choice(["foo", "the", "license", "bar"])
+        noise = lambda: " ".join(rnd.choice(["code", "value", "the", "software", "x1"]) for _ in range(rnd.randint(0, 30)))
+        texts.append(textwrap.fill(f"{noise()} {' '.join(ws)} {noise()}", rnd.choice([30, 70, 1000])))
+    files = spark.createDataFrame([(i, f"d{i}/f.py", t) for i, t in enumerate(texts)], "doc_id long, path string, text string")
+    got = {r.doc_id: (r.license, r.score) for r in license_scan.scan(files.repartition(3)).collect()}
+    want = slow_license(texts)
+    for i, (l, score) in enumerate(want):
+        assert got[i][0] == l and (l is None or abs(got[i][1] - score) < 2e-6), (i, got[i], want[i], texts[i])
+    assert got[2] == (None, None) and got[3] == (None, None)
+
+
+def test_license_ties_long_texts_and_whole_licences(spark):
+    mit = "MIT License\n\nCopyright (c) 2020 Some Body\n\n" + textwrap.fill(license_scan.TEMPLATES["MIT"][0], 70)
+    mpl = textwrap.fill(license_scan.TEMPLATES["MPL-2.0"][0], 60)
+    long_ = "word " * 400_000 + "released under the ISC License " + "word " * 1000
+    files = [(1, "a/terms", mit), (2, "a/x/y.c", "int main;"), (3, "b/terms", mpl), (4, "b/c/d/e.c", None), (5, "c/big.c", long_), (6, "e/LICENCE.md", "Released under the MIT License"), (7, "e/LICENSE", "Released under the ISC License"), (8, "e/f.c", "x"), (8, "e/f.c", "x")]
+    out = Counter((r.doc_id, r.license, r.basis) for r in license_scan.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect())
+    assert {(1, "MIT", "file"), (2, "MIT", "inherited"), (3, "MPL-2.0", "file"), (4, "MPL-2.0", "inherited"), (5, "ISC", "header"), (6, "MIT", "file"), (7, "ISC", "file")} <= set(out)
+    assert out[(8, "ISC", "inherited")] == 2
+
+
+# --- near dedup in large buckets ---
+
+
+def test_near_duplicates_in_large_buckets(spark):
+    """Hundreds of texts share a long passage, so they share buckets without being copies; near copies are among them."""
+    rnd = random.Random(12)
+    vocab = [f"t{i}" for i in range(5000)]
+    passage = [rnd.choice(vocab) for _ in range(70)]
+    texts = []
+    for i in range(450):
+        own = [rnd.choice(vocab) for _ in range(rnd.choice([4, 8, 12, 20]))]
+        t = passage + own if i % 2 else own + passage
+        texts.append(" ".join(t))
+        if i % 9 == 0:
+            t[rnd.randrange(len(t))] = "other"
+            texts.append(" ".join(t))
+    docs = spark.createDataFrame([(i, t, "e", 1) for i, t in enumerate(texts)], DOCS).repartition(4)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, words=4, percent=80).collect()}
+    parent, _ = brute_components(texts, 4, 80)
+    assert got == dict(enumerate(parent))
+
+
+def test_contained_items_of_one_page_with_all(spark):
+    """A page that lists hundreds of items, one very long text, and repeated rows."""
+    items = [(i, f"item number {i} asks what {i} and {i + 1} make together", 0) for i in range(300)]
+    page = "\n".join(t for _, t, _ in items)
+    docs = [(1, page, "e", 1), (1, page, "e", 1), (2, "word " * 300_000 + items[7][1], "e", 1), (3, None, "e", 1)]
+    got = decontam.contained_items(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string, q int"))
+    pairs = Counter((r.doc_id, r.item_id) for r in got.collect())
+    assert pairs == Counter([(1, i) for i in range(300)] + [(2, 7)])
