@@ -11,7 +11,7 @@ Scale:
   go on: to the hubs of all their bands, then for some rounds to hubs drawn anew. All of this is one pair a member.
 - What is left in buckets of at most BUCKET members meets pair by pair. Nodes of larger ones go to an inverted index of
   their rarest shingles: two sets that are similar enough share one of the rarest (1 - t) n + 1 of each, and the place
-  where they first meet bounds what they can share after it. Only pairs that pass this bound come out. The entries of a
+  where they first meet, and how many of the first they share, bound what they can share in all. Only pairs that pass this bound come out. The entries of a
   frequent shingle are dealt into cells of CELL, so none is a task of its own. Sizes are compared before sets are read.
 - Components are found by label propagation with pointer jumping on written tables; nothing of it comes to the driver.
 
@@ -36,14 +36,16 @@ from corpusflow.llm.shared import Scratch, slices, tidy
 
 WORDS, PERCENT = 5, 80
 PERMUTATIONS, PER_BAND = 64, 2
-#: Nodes of larger buckets find their remaining links through the index, after at most so many rounds of new hubs.
-BUCKET, ROUNDS = 50, 3
+#: Nodes of larger buckets find their remaining links through the index, after at most so many rounds of so many new hubs.
+BUCKET, ROUNDS, HUBS = 50, 3, 8
 #: Entries of one shingle in the index that meet in one cell.
 CELL = 256
+#: So many first shingles stand with each entry, to be counted against those of others; sets with more go without.
+SHOWN = 64
 #: Places of the table that the index takes its order from, and the parts that it is added up in.
 SLOTS, PARTS = 1 << 18, 16
 #: Rows of two longs that may be broadcast.
-BROADCAST = 200_000
+BROADCAST = 100_000
 _MASK = (1 << 64) - 1
 _K = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xD6E8FEB86659FD93)
@@ -279,22 +281,23 @@ def _more(members: DataFrame, links: _Links, percent: int) -> None:
     apart = off_hub(members)
     links.merge(apart.where(_near("n", "hub_n", percent)).select(F.col("uid").alias("a"), F.col("hub").alias("b")).distinct())
 
-    def in_large(apart: DataFrame) -> DataFrame:
-        """(uid, n, band, label) of nodes in large buckets of several components; band is the first of those buckets."""
+    def in_large(apart: DataFrame, turn: int) -> DataFrame:
+        """(uid, n, band, label) of nodes in large buckets of several components; band is one of those, drawn by turn."""
         mixed = s.table(apart.where(F.col("size") > BUCKET).select("band").distinct().withColumn("mixed", F.lit(True)), "mixed")
         few = mixed.limit(BROADCAST + 1).count() <= BROADCAST
         marked = members.join(F.broadcast(mixed) if few else mixed, "band", "left")
-        nodes = marked.groupBy("uid", "n").agg(F.min(F.when(F.col("mixed"), F.col("band"))).alias("band")).where("band is not null")
+        nodes = marked.groupBy("uid", "n").agg(F.min(F.when(F.col("mixed"), F.struct(F.xxhash64(F.lit(turn), "band").alias("draw"), "band"))).band.alias("band")).where("band is not null")
         return s.table(links.label(nodes, "uid", "label"), "in-large")
 
     apart = off_hub(apart)
-    large = in_large(apart)
+    large = in_large(apart, 0)
     for turn in range(ROUNDS):
-        drawn = large.groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "uid").alias("draw"), F.col("uid").alias("b"), F.col("n").alias("m"), F.col("label").alias("y"))).alias("d")).select("band", "d.b", "d.m", "d.y")
+        draw = lambda k: F.min(F.struct(F.xxhash64(F.lit(turn * HUBS + k), "uid").alias("draw"), F.col("uid").alias("b"), F.col("n").alias("m"), F.col("label").alias("y")))  # noqa: E731, B023
+        drawn = large.groupBy("band").agg(F.array(*[draw(k) for k in range(HUBS)]).alias("d")).select("band", F.explode("d").alias("d")).select("band", "d.b", "d.m", "d.y").distinct()
         if not links.merge(large.join(s.table(drawn, "drawn"), "band").where(F.col("label") != F.col("y")).where(_near("n", "m", percent)).select(F.col("uid").alias("a"), "b").distinct()):
             break
         apart = off_hub(apart)
-        large = in_large(apart)
+        large = in_large(apart, turn + 1)
     narrow = apart.where(F.col("size") <= BUCKET).select("band").distinct()
     rest = s.table(links.label(members.where(F.col("size") <= BUCKET).join(narrow, "band", "left_semi").select("band", "uid", "n"), "uid", "label"), "rest")
     left, right = (rest.select("band", F.col("uid").alias(u), F.col("n").alias(n), F.col("label").alias(x)) for u, n, x in (("a", "n", "x"), ("b", "m", "y")))
@@ -351,13 +354,19 @@ def _by_rarest(nodes: DataFrame, sets: DataFrame, scratch: Scratch, percent: int
                 place = np.flatnonzero(seen[first] > 1)  # a place that one shingle has is one set's alone
                 k = len(place)
                 if k:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, uid)), pa.array(np.full(k, n)), pa.array(np.full(k, label)), pa.array(own[first[place]]), pa.array(place + 1)], ["uid", "n", "label", "s", "i"])
+                    found = own[first[place]]
+                    whole = pa.array([found.tolist() if k <= SHOWN else None] * k, pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, uid)), pa.array(np.full(k, n)), pa.array(np.full(k, label)), pa.array(found), pa.array(place + 1), whole], ["uid", "n", "label", "s", "i", "first"])
 
-    first = scratch.table(held.mapInArrow(rarest, "uid long, n long, label long, s long, i long"), "rarest")
+    first = scratch.table(held.mapInArrow(rarest, "uid long, n long, label long, s long, i long, first array<long>"), "rarest")
     cells = first.groupBy("s").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
     entries = scratch.table(first.join(cells, "s"), "entries")
-    left = entries.select("s", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.col("uid").alias("a"), "n", F.col("label").alias("x"), "i")
-    right = entries.select("s", F.pmod(F.xxhash64("uid"), F.col("cells")).cast("int").alias("cell"), F.col("uid").alias("b"), F.col("n").alias("m"), F.col("label").alias("y"), F.col("i").alias("j"))
-    most = 1 + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
-    met = left.join(right, ["s", "cell"]).where("a < b and x <> y").where(_near("n", "m", percent) & ((100 + percent) * most >= percent * (F.col("n") + F.col("m"))))
+    left = entries.select("s", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.col("uid").alias("a"), "n", F.col("label").alias("x"), "i", F.col("first").alias("p"))
+    right = entries.select("s", F.pmod(F.xxhash64("uid"), F.col("cells")).cast("int").alias("cell"), F.col("uid").alias("b"), F.col("n").alias("m"), F.col("label").alias("y"), F.col("i").alias("j"), F.col("first").alias("q"))
+    enough = lambda most: (100 + percent) * most >= percent * (F.col("n") + F.col("m"))
+    # what both have among their first is known where these are few; all else that they share lies behind the first of one
+    rest = lambda n: F.ceil(n * percent / 100) - 1
+    known = F.size(F.array_intersect("p", "q")) + F.greatest(rest(F.col("n")), rest(F.col("m")))
+    few = F.col("p").isNull() | F.col("q").isNull() | enough(known)
+    met = left.join(right, ["s", "cell"]).where("a < b and x <> y").where(_near("n", "m", percent) & enough(1 + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))) & few)
     return met.select("a", "b").distinct()

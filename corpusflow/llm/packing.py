@@ -36,7 +36,7 @@ WINDOW = 4096
 END_ID = 2
 PARTITION_TOKENS = 1_000_000
 #: Entries of each worker's caches of words and pieces.
-CACHE = 250_000
+CACHE = 400_000
 
 _ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SPACE = re.compile(r"[ \t\n\r]+")
@@ -46,7 +46,11 @@ def id_kind(path: str) -> str:
     """array type code of the ids: 16 bits where all fit, else 32."""
     from tokenizers import Tokenizer
 
-    return "H" if Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
+    return _kind_of(Tokenizer.from_file(path))
+
+
+def _kind_of(library) -> str:
+    return "H" if library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
 
 
 class WordTokens:
@@ -66,10 +70,10 @@ class WordTokens:
 
         self.library = Tokenizer.from_file(path)
         self.model, self.letter = self.library.model, byte_letters()
-        self.kind = id_kind(path)
-        spec = json.load(open(path, encoding="utf-8"))  # noqa: SIM115
-        kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
-        split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        self.kind = _kind_of(self.library)
+        part = lambda x: json.loads(x.__getstate__()) if x is not None else {}
+        kinds = [n["type"] for n in part(self.library.normalizer).get("normalizers", [])]
+        split = part(self.library.pre_tokenizer).get("pretokenizers", [{}])[0]
         self.pattern = None
         if kinds == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split.get("invert"):
             self.pattern = regex.compile(split["pattern"]["Regex"])

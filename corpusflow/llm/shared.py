@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: At most so many rows go to the driver to be broadcast; beyond, each operator joins instead.
 BROADCAST_ROWS = 200_000
-#: Bytes of one Arrow batch that goes to a Python worker for a written table, and of text that it works on at once.
-BATCH_BYTES, SLICE_BYTES = 8 << 20, 2 << 20
+#: Bytes of one Arrow batch that goes to a Python worker, and of text that it works on at once.
+BATCH_BYTES = SLICE_BYTES = 2 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -34,6 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by BATCH_BYTES, unless they are smaller: both sides hold a batch several times,
+    and the executor keeps the buffers."""
+    if int(spark.conf.get(_BATCH).removesuffix("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 _held: dict[str, Any] = {}
 
 
@@ -95,6 +102,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/corpusflow/{name}-{uuid.uuid4().hex}"
         self.made = 0
+        small_batches(spark)
         atexit.register(_delete, spark, self.root)
 
     def path(self, name: str) -> str:
@@ -105,12 +113,7 @@ class Scratch:
         """df, written and read again with the same schema."""
         path = self.path(name)
         writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-        before = self.spark.conf.get(_BATCH)
-        self.spark.conf.set(_BATCH, str(BATCH_BYTES))
-        try:
-            writer.parquet(path, compression=compression)
-        finally:
-            self.spark.conf.set(_BATCH, before)
+        writer.parquet(path, compression=compression)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out

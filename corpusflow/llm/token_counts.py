@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.llm.shared import keeping, worker_state
+from corpusflow.llm.shared import keeping, small_batches, worker_state
 
 MAX_STATES = 100_000
 CHUNK = 256
@@ -312,6 +312,7 @@ def with_token_counts(docs: DataFrame, tokenizer: str, text: str = "text", out:
     """docs with the number of tokens of `text` (long) as the last column, which must be a new name."""
     if out in docs.columns:
         raise ValueError(f"docs already has a column {out}")
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.LongType())])
 
