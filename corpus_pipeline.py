@@ -7,14 +7,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.llm import decontam, language_id, line_dedup, minhash, packing
-from corpusflow.llm.shared import Scratch
+from corpusflow.llm.shared import BROADCAST_ROWS, Scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has few rows; else Spark shuffles both sides."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language stay."""
-    return language_id.identify_fitted(docs.select(*COLUMNS), docs, host="source").where("lang_accepted").select(*COLUMNS)
+    """Documents whose text has a language stay. A row is decided by its text and source, so equal rows go together."""
+    keyed = docs.select(*COLUMNS, minhash.text_key("text").alias("__row"))
+    given = keyed.select("text", "source", F.col("__row").alias("row"))
+    found = language_id.identify_fitted(given, docs, keep=["row", "source"], host="source")
+    gone = _small(Scratch(spark, "language-gone").table(found.where("not lang_accepted").select(F.col("row").alias("__of"), F.col("source").alias("__source")).distinct(), "gone"))
+    return keyed.join(gone, (F.col("__row") == F.col("__of")) & F.col("source").eqNullSafe(F.col("__source")), "left_anti").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,11 +33,21 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id."""
-    groups = minhash.near_duplicates(docs, words=5, percent=80)
-    gone = Scratch(spark, "near-copies").table(groups.where("not kept").select(F.col("row").alias("__row")), "gone").distinct()
-    keyed = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("__row"))
-    return keyed.join(gone, "__row", "left_anti").select(*COLUMNS)
+    """One document of each group of near copies stays: that with the smallest id, then the smallest text key. Null ids
+    come last, and of repeated rows one stays."""
+    scratch = Scratch(spark, "near-copies")
+    rows = scratch.table(minhash.near_duplicates(docs, words=5, percent=80).select("component", "doc_id", "row", "n_shingles"), "groups")
+    grouped = rows.where("n_shingles > 0").groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")).where("n > 1")
+    mark = ((F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("row") == F.col("first.row"))).alias("is_first")
+    marked = rows.join(scratch.table(grouped, "first"), "component").select("doc_id", "row", mark).groupBy("doc_id", "row", "is_first").agg(F.count(F.lit(1)).alias("n"))
+    # of each id and text: all rows go, or one of several stays
+    marked = scratch.table(marked.where("not is_first or n > 1").select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "is_first"), "marked")
+    keyed = docs.select(*COLUMNS, minhash.text_key("text").alias("__row"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id"))
+    one = _small(marked.select("__id", F.col("__row").alias("__of"), "is_first"))
+    left = keyed.join(one, (F.col("__row") == F.col("__of")) & same, "left")
+    repeated = left.where("is_first").dropDuplicates(["doc_id", "__row"])
+    return left.where("is_first is null").unionByName(repeated).select(*COLUMNS)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
