@@ -281,12 +281,32 @@ def _more(members: DataFrame, links: _Links, percent: int) -> None:
     apart = off_hub(members)
     links.merge(apart.where(_near("n", "hub_n", percent)).select(F.col("uid").alias("a"), F.col("hub").alias("b")).distinct())
 
+    by_node = s.table(members.groupBy("uid", "n").agg(F.collect_list(F.when(F.col("size") > BUCKET, F.col("band"))).alias("bands")).where(F.size("bands") > 0), "by-node")
+
     def in_large(apart: DataFrame, turn: int) -> DataFrame:
         """(uid, n, band, label) of nodes in large buckets of several components; band is one of those, drawn by turn."""
-        mixed = s.table(apart.where(F.col("size") > BUCKET).select("band").distinct().withColumn("mixed", F.lit(True)), "mixed")
-        few = mixed.limit(BROADCAST + 1).count() <= BROADCAST
-        marked = members.join(F.broadcast(mixed) if few else mixed, "band", "left")
-        nodes = marked.groupBy("uid", "n").agg(F.min(F.when(F.col("mixed"), F.struct(F.xxhash64(F.lit(turn), "band").alias("draw"), "band"))).band.alias("band")).where("band is not null")
+        mixed = s.table(apart.where(F.col("size") > BUCKET).select("band").distinct(), "mixed")
+        drawn = F.struct(F.xxhash64(F.lit(turn), "band").alias("draw"), "band")
+        few = [r.band for r in mixed.limit(BROADCAST + 1).collect()]
+        if len(few) <= BROADCAST:
+            known = by_node.sparkSession.sparkContext.broadcast(np.sort(np.array(few, np.int64)))
+            key = np.uint64(2 * turn + 1) * _K
+
+            @tidy
+            def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    keep, chosen = [], []
+                    for i, bands in enumerate(batch.column(2)):
+                        own = np.intersect1d(bands.values.to_numpy(), known.value)
+                        if len(own):
+                            keep.append(i)
+                            chosen.append(int(own[np.argmin(_mix(own.view(np.uint64) * key))]))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64())), pa.array(chosen, pa.int64())], ["uid", "n", "band"])
+
+            nodes = by_node.mapInArrow(choose, "uid long, n long, band long")
+        else:
+            each = by_node.select("uid", "n", F.explode("bands").alias("band")).join(mixed, "band", "left_semi")
+            nodes = each.groupBy("uid", "n").agg(F.min(drawn).band.alias("band"))
         return s.table(links.label(nodes, "uid", "label"), "in-large")
 
     apart = off_hub(apart)
