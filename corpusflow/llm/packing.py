@@ -36,7 +36,7 @@ WINDOW = 4096
 END_ID = 2
 PARTITION_TOKENS = 1_000_000
 #: Entries of each worker's caches of words and pieces.
-CACHE = 400_000
+WORDS, PIECES = 200_000, 250_000
 
 _ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SPACE = re.compile(r"[ \t\n\r]+")
@@ -86,7 +86,7 @@ class WordTokens:
         if found is None:
             shown = piece if piece.isascii() else "".join(map(self.letter.__getitem__, piece.encode()))  # ASCII stands for itself
             found = array(self.kind, [t.id for t in self.model.tokenize(shown)]).tobytes()
-            if len(self.pieces) < CACHE and len(piece) <= 64:
+            if len(self.pieces) < PIECES and len(piece) <= 64:
                 self.pieces[piece] = found
         return found
 
@@ -95,7 +95,7 @@ class WordTokens:
             out = array(self.kind, self.library.encode(word, add_special_tokens=False).ids).tobytes()
         else:
             out = b"".join(map(self._piece, self.pattern.findall(word.lower())))
-        if len(self.words) < CACHE and len(word) <= 64:
+        if len(self.words) < WORDS and len(word) <= 64:
             self.words[word] = out
         return out
 
