@@ -8,8 +8,8 @@ a level holds `fan_out` runs, they are merged (counts added) into one run of the
 once a level. Joining, merging and counting runs is bucket by bucket, without a shuffle. A key's count is the sum over
 the runs.
 
-There are BATCHES batches, or more where one would have over BATCH_DOCS documents. A store has as many buckets as
-spark.sql.shuffle.partitions says when it is made.
+There are BATCHES batches, or more where one would have over BATCH_DOCS documents. A store has a bucket for each
+BUCKET_ROWS hashes, at least four and at most spark.sql.shuffle.partitions.
 
 Rules, the same for any size of input:
 - A text is split at \\n. A null or empty text is one empty line.
@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from corpusflow.llm.shared import BROADCAST_ROWS, Scratch, tidy
 
 MIN_DOCS = 10
-BATCHES, BATCH_DOCS = 4, 500_000_000
+BATCHES, BATCH_DOCS, BUCKET_ROWS = 4, 500_000_000, 2_000_000
 FAN_OUT = 2
 _SPACE = b" \t\n\x0b\x0c\r"
 
@@ -59,10 +59,10 @@ def _texts(column: pa.Array) -> list[bytes | None]:
 class LineRuns:
     """Levelled sorted runs of (h, n): in n documents so far."""
 
-    def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fan_out: int = FAN_OUT):
+    def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fan_out: int = FAN_OUT, buckets: int = 4):
         self.spark, self.min_docs, self.fan_out = spark, min_docs, fan_out
         self.scratch = Scratch(spark, "line-runs")
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets
         self.levels: list[list[DataFrame]] = []
         self.known: DataFrame | None = None  # the frequent keys so far, a run of their own
 
@@ -85,7 +85,7 @@ class LineRuns:
 
     def add(self, hashes: DataFrame) -> None:
         """One batch: hashes has one row for each document and key."""
-        run = self._run(hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "batch")
+        run = self._run(hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).repartition(self.buckets, "h"), "batch")
         if self.known is not None:  # what is known as frequent needs no more counting
             batch, run = run, self._run(run.join(self.known.hint("merge"), "h", "left_anti"), "run")
             self.scratch.drop(batch, self.known)
@@ -141,8 +141,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, m
         raise ValueError("docs already has a column n_lines or n_dropped")
     if batches is None:
         batches = max(BATCHES, -(-docs.count() // BATCH_DOCS))
-    store = LineRuns(spark, min_docs, fan_out)
-    hashed = store.scratch.table(_in_batches(docs, text, min_chars, batches), "hashes", "batch")
+    scratch = Scratch(spark, "lines")
+    hashed = scratch.table(_in_batches(docs, text, min_chars, batches), "hashes", "batch")
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    store = LineRuns(spark, min_docs, fan_out, max(4, min(most, -(-hashed.count() // BUCKET_ROWS))))
     for b in range(batches):
         store.add(hashed.where(F.col("batch") == b).select("h"))
     frequent = store.known
