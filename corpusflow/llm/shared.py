@@ -34,6 +34,12 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with a number, so that df has no such column in any case."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (name, *(f"{name}_{i}" for i in range(len(taken) + 1))) if n.lower() not in taken)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the session's Arrow batches by BATCH_BYTES, unless they are smaller: both sides hold a batch several times,
     and the executor keeps the buffers."""

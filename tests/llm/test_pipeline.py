@@ -83,6 +83,11 @@ def test_same_as_sql(spark, name):
     assert difference(spark, connect(SF), name, QUERIES[name], ORACLE_SQL[name], SF) == ""
 
 
+def test_line_dedup_as_sql_on_a_larger_table(spark):
+    sf, name = "/root/testdata/sf0.01", "op2_line_dedup"
+    assert difference(spark, connect(sf), name, QUERIES[name], ORACLE_SQL[name], sf) == ""
+
+
 def test_language_on_held_out_documents(spark):
     """Over 98 % of labelled documents that the model was not fitted on."""
     from corpusflow.llm import language_id

@@ -52,11 +52,48 @@ def test_line_dedup_edges(spark):
 
 
 def test_line_runs_levels(spark):
-    runs = line_dedup.LineRuns(spark, min_docs=3, fan_out=2)
+    runs = line_dedup.LineRuns(spark, min_docs=99, fan_out=2)
     for _ in range(5):
         runs.add(spark.createDataFrame([(b"a",), (b"b",)], "h binary"))
-    assert [len(level) for level in runs.levels] == [1, 0, 1]
-    assert {bytes(r.h) for r in runs.frequent().collect()} == {b"a", b"b"}
+    assert [len(level) for level in runs.seen.levels] == [1, 0, 1]
+    assert sorted((bytes(r.h), r.n) for r in runs.counts().collect()) == [(b"a", 5), (b"b", 5)]
+    assert runs.frequent().count() == 0
+
+
+def test_line_runs_frequent_over_batches(spark):
+    """No hash stands twice in a run, whatever the number of merges, and a key of several batches is found."""
+    runs = line_dedup.LineRuns(spark, min_docs=4, fan_out=2, buckets=2)
+    rnd, total = random.Random(1), Counter()
+    for _ in range(4):
+        batch = [rnd.randrange(400).to_bytes(2, "big") for _ in range(300)]
+        total.update(batch)
+        runs.add(spark.createDataFrame([(h,) for h in batch], "h binary"))
+    found = [bytes(r.h) for r in runs.frequent().collect()]
+    assert len(found) == len(set(found)) and set(found) == {h for h, n in total.items() if n >= 4}
+    counted = [bytes(r.h) for r in runs.counts().collect()]
+    assert len(counted) == len(set(counted)) and set(counted) == set(total)
+
+
+def test_line_runs_merge_without_shuffle(spark):
+    runs = line_dedup.LineRuns(spark, min_docs=99, fan_out=9)
+    for i in range(2):
+        runs.add(spark.createDataFrame([(bytes([j, i]),) for j in range(200)], "h binary"))
+    with line_dedup.sorted_runs(spark):
+        merged = line_dedup.merge_of(*runs.seen.runs)
+        merged.collect()
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan, plan
+
+
+@pytest.mark.parametrize("broadcast_rows", [1000, 0])
+def test_line_dedup_over_batches(spark, broadcast_rows):
+    """40 lines that 10 of 400 documents each hold, one copy a batch or more: all 400 go; a very long text stays whole."""
+    texts = [f"shared {i % 40}\nown {i}" for i in range(400)] + ["long " * 400_000 + "\nshared 3", "shared 41\nshared 41"]
+    docs = spark.createDataFrame([(i, t, "x", b"y") for i, t in enumerate(texts)], "doc_id long, text string, text_hash string, Own_Lines binary").repartition(3)
+    out = line_dedup.dedup_lines(docs, min_docs=10, broadcast_rows=broadcast_rows)
+    assert out.columns == ["doc_id", "text", "text_hash", "Own_Lines", "n_lines", "n_dropped"]
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in out.collect()}
+    assert got == dict(enumerate(brute_lines(texts, 10))) and sum(x[1] for x in got.values()) == 401
 
 
 # --- near dedup ---
