@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from corpusflow.llm import audio, decontam, language_id, license_scan, line_dedup, minhash, packing, sharding, token_counts, warc_zip
+from corpusflow.llm import audio, decontam, language_id, license_scan, line_dedup, minhash, packing, piece_bpe, sharding, token_counts, warc_zip
 from corpusflow.llm.shared import Scratch
 
 
@@ -81,6 +81,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "page_id", "lang_id", "lang_posterior", "lang_accepted")
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ids = piece_bpe.encoded(docs, model).select("doc_id", "ids")
+    out = piece_bpe.decoded(ids, model)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -98,6 +106,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_media_columns": op9_media_columns,
     "op10_decontamination": op10_decontamination,
+    "op11_sentencepiece": op11_sentencepiece,
     "pipeline": pipeline,
 }
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
