@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from corpusflow.llm import audio, decontam, language_id, license_scan, line_dedup, minhash, packing, piece_bpe, sharding, token_counts, warc_zip
+from corpusflow.llm import audio, decontam, importance, language_id, license_scan, line_dedup, minhash, packing, piece_bpe, sharding, token_counts, warc_zip
 from corpusflow.llm.shared import Scratch
 
 
@@ -89,6 +89,11 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=5, min_words=20)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -107,6 +112,7 @@ QUERIES = {
     "op9_media_columns": op9_media_columns,
     "op10_decontamination": op10_decontamination,
     "op11_sentencepiece": op11_sentencepiece,
+    "op13_importance": op13_importance,
     "pipeline": pipeline,
 }
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
