@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from corpusflow.llm import audio, decontam, importance, language_id, license_scan, line_dedup, minhash, packing, piece_bpe, sharding, token_counts, warc_zip
+from corpusflow.llm import audio, decontam, hard_negatives, importance, language_id, license_scan, line_dedup, minhash, packing, piece_bpe, sharding, token_counts, warc_zip
 from corpusflow.llm.shared import Scratch
 
 
@@ -89,6 +89,12 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", noisy.alias("label"))
+    return hard_negatives.mined(rows, F.col("vec_id") % 50 == 0, positives=5, negatives=3, lowest=50, highest=95, scale=256)
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = importance.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=5, min_words=20)
     return out.select("doc_id", "n_features", "weight", "score", "rank")
@@ -112,6 +118,7 @@ QUERIES = {
     "op9_media_columns": op9_media_columns,
     "op10_decontamination": op10_decontamination,
     "op11_sentencepiece": op11_sentencepiece,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_importance": op13_importance,
     "pipeline": pipeline,
 }
@@ -130,6 +137,13 @@ ORACLE_SQL: dict[str, str] = {
 k as (select *, translate(trim(line, {_WHITE}), {_AZ}) as key from l),
 f as (select key from k where length(key) >= 1 group by key having count(distinct r) >= 10)
 select doc_id, count(*) as n_lines, count(f.key) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where f.key is null), '')) as kept_sha256 from k left join f using (key) group by doc_id, r""",
+    "op12_hard_negatives": """with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as q from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+a as (select vec_id as anchor_id, label, q from v where vec_id % 50 = 0),
+s as (select anchor_id, v.vec_id, a.label = v.label as same, list_dot_product(a.q, v.q)::bigint as score from a join v on v.vec_id <> anchor_id),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+n as (select p.*, vec_id as negative_id, score as negative_score, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::int as rank from p join s using (anchor_id) where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 3""",
     "op10_decontamination": f"""with d as (select doc_id, unnest({_shingle_sql('text')}) as s from documents where doc_id is not null),
 i as (select item_id, {_shingle_sql('text')} as ss from benchmark), j as (select item_id, len(ss) as q, unnest(ss) as s from i)
 select doc_id, item_id, q as item_shingles, count(*) as shared_shingles, round(count(*) / q, 6) as containment from d join j using (s) group by doc_id, item_id, q having count(*) >= ceil(q * 0.8 - 1e-9)""",
