@@ -8,14 +8,15 @@ from corpusflow.functions.models import embedder
 from corpusflow.functions.scalars import dot
 from corpusflow.operators import intel, retrieval
 from corpusflow.queries.registry import NOW, query
-from corpusflow.session import table
+from corpusflow.operators.text_index import TextIndex
+from corpusflow.operators.vector_index import VectorIndex
+from corpusflow.session import scratch_path, table
 
-QUESTIONS = [(1, "clown disgusting the"), (2, "que les licensed"), (3, "nicht sch idiot idiot")]
-_Q = "(values " + ", ".join(f"({i}, '{t}')" for i, t in QUESTIONS) + ") q(query_id, query)"
+_Q = "(select item_id as query_id, text as query from benchmark where item_id % 10 = 0)"
 
 _BM25 = rf"""corpus as (select doc_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') as words from documents {{where}}),
 stats as (select count(*) as n, avg(len(words)) as mean_length from corpus),
-terms as (select query_id, term, count(*) as times from (select query_id, unnest(string_split(lower(query), ' ')) as term from {_Q}) group by all),
+terms as (select query_id, term, count(*) as times from (select query_id, unnest(list_filter(string_split_regex(lower(query), '\s+'), lambda x: x <> '')) as term from {_Q}) group by all),
 flat as (select doc_id, len(words) as length, unnest(words) as term from corpus),
 tf as (select doc_id, length, term, count(*) as tf from flat group by all),
 df as (select term, count(*) as df from tf group by term),
@@ -27,8 +28,9 @@ sparse as (select query_id, doc_id, round(coalesce(score, 0), 6) as score from (
 _DOT = "list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda x: x[1]::double * x[2]::double))"
 
 
-def _questions(spark):
-    return spark.createDataFrame(QUESTIONS, "query_id int, query string")
+def _questions(spark, sf_dir):
+    """Every tenth item as a question."""
+    return table(spark, sf_dir, "benchmark").where("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def _vector_queries(spark, sf_dir):
@@ -38,20 +40,42 @@ def _vector_queries(spark, sf_dir):
 
 @query(f"with {_BM25.format(where='')} select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from sparse")
 def agg04_bm25_top10(spark, sf_dir):
-    return retrieval.bm25(table(spark, sf_dir, "documents"), _questions(spark))
+    return retrieval.bm25(table(spark, sf_dir, "documents"), _questions(spark, sf_dir))
+
+
+@query(f"with {_BM25.format(where='')} select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from sparse")
+def jn05_indexed_bm25(spark, sf_dir):
+    """An index in two generations, then the questions of agg04 from their words' postings alone."""
+    docs, index = table(spark, sf_dir, "documents"), TextIndex(spark, scratch_path(spark, "text-index"))
+    for name, rows in (("even", docs.where("doc_id % 2 = 0")), ("odd", docs.where("doc_id % 2 = 1"))):
+        index.add(rows, name)
+    return index.search(_questions(spark, sf_dir))
 
 
 @query(f"""with {_BM25.format(where="where source = 'src1'")} select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from sparse""")
 def flt05_bm25_one_site(spark, sf_dir):
-    return retrieval.bm25(table(spark, sf_dir, "documents").where("source = 'src1'"), _questions(spark))
+    return retrieval.bm25(table(spark, sf_dir, "documents").where("source = 'src1'"), _questions(spark, sf_dir))
+
 
+_TOP10 = f"""select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from
+(select q.vec_id as query_id, v.vec_id as doc_id, round({_DOT}, 6) as score from embeddings v, embeddings q where q.vec_id % 50 = 0) qualify rank <= 10"""
 
-@query(f"""select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from
-(select q.vec_id as query_id, v.vec_id as doc_id, round({_DOT}, 6) as score from embeddings v, embeddings q where q.vec_id % 50 = 0) qualify rank <= 10""")
+
+@query(_TOP10)
 def jn04_cosine_top10(spark, sf_dir):
     return retrieval.nearest(table(spark, sf_dir, "embeddings"), _vector_queries(spark, sf_dir))
 
 
+@query(_TOP10)
+def top03_indexed_top10(spark, sf_dir):
+    """The questions of jn04 over an index: rows that the bounds exclude are not scored, and the result is exact."""
+    index = VectorIndex(spark, scratch_path(spark, "vector-index"))
+    vectors = table(spark, sf_dir, "embeddings")
+    index.build(vectors.where("vec_id % 4 > 0"))
+    index.add(vectors.where("vec_id % 4 = 0"))
+    return index.search(_vector_queries(spark, sf_dir))
+
+
 @query(f"""with e as (select distinct event_id % 997 as vec_id from events where ts >= timestamp '{NOW}' - interval 15 day and event_type = 'error')
 select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from
 (select q.vec_id as query_id, v.vec_id as doc_id, round({_DOT}, 6) as score from embeddings v join e using (vec_id), embeddings q where q.vec_id % 50 = 0) qualify rank <= 10""")
@@ -63,13 +87,13 @@ def flt04_since_then_top10(spark, sf_dir):
 
 
 @query(f"""with {_BM25.format(where='')},
-dense as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as rank from (select q.vec_id + 1 as query_id, v.vec_id as doc_id, round({_DOT}, 6) as score from embeddings v, embeddings q where q.vec_id < 3) qualify rank <= 10),
+dense as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as rank from (select q.vec_id as query_id, v.vec_id as doc_id, round({_DOT}, 6) as score from embeddings v, embeddings q where q.vec_id in (select query_id from {_Q})) qualify rank <= 10),
 lists as (select query_id, doc_id, rank, 0 as list from dense union all select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id), 1 from sparse),
 f as (select query_id, doc_id, round(sum(1.0::double / (60 + rank)), 9) as score, min({{'list': list, 'rank': rank}}) as first from lists group by all)
 select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, first, doc_id) as rank from f qualify rank <= 10""")
 def ret01_hybrid_rrf(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings").select((F.col("vec_id") + 1).cast("int").alias("query_id"), F.col("embedding").alias("query_vector"))
-    questions = _questions(spark).join(vectors, "query_id")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    questions = _questions(spark, sf_dir).join(vectors, "query_id")
     return retrieval.hybrid(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"), questions)
 
 
