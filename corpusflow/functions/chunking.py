@@ -125,17 +125,22 @@ def chunks(docs: DataFrame, pieces_column: str, overlap: int = OVERLAP, size: in
 def word_windows(text: Column, size: int = 512, overlap: int = 64, url_words: int = 10) -> Column:
     """array<string>: windows of words; one that would end with a URL takes more words after it. The last window ends
     with the last word, and a text without words is its own window."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    n = F.size(words)
     step = size - overlap
-    plain = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int")), lambda i: F.array_join(F.slice(words, i * step + 1, F.lit(size)), " "))
+
+    def plain(words: Column) -> Column:  # of words that were split once
+        last = F.greatest(F.lit(0), F.ceil((F.size(words) - size) / step)).cast("int")
+        windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i * step + 1, F.lit(size)), " "))
+        return F.when(F.size(words) == 0, F.array(text)).otherwise(windows)
 
     @F.pandas_udf("array<string>")
     def with_urls(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([_word_windows(t or "", size, overlap, url_words) for t in texts])
 
-    return F.when(n == 0, F.array(text)).when(F.contains(text, F.lit("://")), with_urls(text)).otherwise(plain)
+    linked = F.contains(text, F.lit("://"))
+    words = F.array_remove(F.split(F.translate(text, "\t\n\x0b\x0c\r", " " * 5), " "), "")
+    # the function sees only the texts that it is for
+    return F.when(linked & F.regexp_like(text, F.lit(r"\S")), with_urls(F.when(linked, text))).otherwise(bound(words, plain))
 
 
 def _word_windows(text: str, size: int, overlap: int, url_words: int) -> list[str]:

@@ -64,8 +64,9 @@ def redacted(text: Column, types: list[str] | None = None, allowed: Column | Non
 
 
 def marked(text: Column, types: list[str] | None = None, allowed: Column | None = None) -> Column:
-    """text with each match as a mark, from which types_of() and unmarked() are read: one pass for both."""
-    return _replaced(text, types, allowed, "\x01{}\x02")
+    """text with each match as a mark, from which types_of() and unmarked() are read: one pass for both. What the text
+    itself has of \\x01 becomes an empty mark, so it is never read as one of ours."""
+    return _replaced(F.replace(text, F.lit("\x01"), F.lit("\x01\x02")), types, allowed, "\x01{}\x02")
 
 
 def types_of(marks: Column) -> Column:
@@ -74,7 +75,7 @@ def types_of(marks: Column) -> Column:
 
 
 def unmarked(marks: Column, form: str = "<$1>") -> Column:
-    return F.regexp_replace(marks, "\x01([A-Z_]+)\x02", form)
+    return F.replace(F.regexp_replace(marks, "\x01([A-Z_]+)\x02", form), F.lit("\x01\x02"), F.lit("\x01"))
 
 
 def types_in(text: Column, types: list[str] | None = None, allowed: Column | None = None) -> Column:

@@ -81,6 +81,30 @@ def deadlines(message: Column) -> Column:
     return F.regexp_extract_all(message, F.lit(r"\b(?:by|before) [A-Z]?\w+(?: \d{1,2})?|\bEOD\b|\bEOM\b|\bASAP\b"), F.lit(0))
 
 
+def message_time(message: Column, now: Column) -> Column:
+    """The time in a message's headers: a `Date:` line (RFC 5322 or ISO), or a chat's [DD/MM/YY, HH:MM:SS]; else now.
+    Times without a zone are those of the session. A header that is no time counts as none."""
+    day = F.regexp_extract(message, r"(?m)^Date:\s*(?:[A-Za-z]{3},\s*)?(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2})", 1)
+    zone = F.regexp_extract(message, r"(?m)^Date:.*\d{2}:\d{2}:\d{2} ([+-]\d{4})", 1)
+    iso = F.regexp_extract(message, r"(?m)^Date:\s*(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2})?(?:Z|[+-]\d{2}:\d{2})?)", 1)
+    chat = F.regexp_extract_all(message, F.lit(r"\[(\d{2}/\d{2}/)(?:\d{2})?(\d{2}, \d{2}:\d{2})(?::\d{2})?\]"), F.lit(0))
+    stamp = F.regexp_replace(F.get(chat, F.lit(0)), r"^\[(\d{2})/(\d{2})/(?:\d{2})?(\d{2}), (\d{2}:\d{2})(:\d{2})?\]$", "20$3-$2-$1 $4$5")
+    full = lambda c: F.nullif(c, F.lit(""))
+    return F.coalesce(
+        F.try_to_timestamp(F.concat(full(day), F.lit(" "), full(zone)), F.lit("d MMM yyyy HH:mm:ss xx")),
+        F.try_to_timestamp(full(day), F.lit("d MMM yyyy HH:mm:ss")),
+        F.try_to_timestamp(full(iso)),
+        F.try_to_timestamp(stamp),
+        now,
+    )
+
+
+def parsed_messages(messages: DataFrame, message: str, now: Column) -> DataFrame:
+    """messages with source, priority, action_items, deadlines, tickets and message_ts."""
+    m = F.col(message)
+    return messages.withColumns({"source": message_source(m), "priority": message_priority(m), "action_items": action_items(m), "deadlines": deadlines(m), "tickets": tickets(m), "message_ts": message_time(m, now)})
+
+
 def tickets(message: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(message, F.lit(r"\b[A-Z][A-Z0-9]+-\d+\b"), F.lit(0)))
 

@@ -62,6 +62,26 @@ def directory_sizes(files: DataFrame, depth: int, path: str = "path", size: str
     return files.groupBy(F.substring_index(path, "/", depth).alias("directory")).agg(F.sum(size).alias("bytes")).where(F.col("bytes") > at_least).orderBy(F.desc("bytes"), "directory").limit(top)
 
 
+def sizes_per_root(files: DataFrame, roots: list[str], levels: int | None = 1, at_least: int = 0, top: int = 20, path: str = "path", size: str = "size_bytes") -> DataFrame:
+    """(root, entry, bytes, rank): for each root its largest directories and files, of at most `levels` levels below it
+    (None: of any), with all that is under them; those over at_least bytes, the first `top` of each root.
+
+    One shuffle adds the sizes of all levels. An entry under one that is listed before it, of the same root, is left
+    out. Roots may lie in each other; a path that is under several counts for each.
+    """
+    under = F.filter(F.array(*[F.lit(r.rstrip("/")) for r in roots]), lambda r: F.startswith(F.col(path), F.concat(r, F.lit("/"))))
+    rows = files.select(path, size, F.explode(under).alias("root"))
+    rest = rows.select("root", size, F.split(F.substring(F.col(path), F.length("root") + 2, F.length(path)), "/").alias("parts"))
+    depth = F.size("parts") if levels is None else F.least(F.size("parts"), F.lit(levels))
+    entries = rest.select("root", size, F.explode(F.transform(F.sequence(F.lit(1), depth), lambda n: F.array_join(F.slice("parts", 1, n), "/"))).alias("entry"))
+    sums = entries.groupBy("root", "entry").agg(F.sum(size).alias("bytes")).where(F.col("bytes") > at_least)
+    order = Window.partitionBy("root").orderBy(F.desc("bytes"), "entry")
+    first = sums.withColumn("at", F.row_number().over(order)).where(F.col("at") <= top)
+    listed = F.collect_list("entry").over(Window.partitionBy("root"))  # of `top` rows at most
+    apart = first.withColumn("listed", listed).where(~F.exists("listed", lambda e: F.startswith(F.col("entry"), F.concat(e, F.lit("/")))))
+    return apart.select("root", F.concat("root", F.lit("/"), "entry").alias("entry"), "bytes", F.row_number().over(order).alias("rank"))
+
+
 def reclaimable(sizes: DataFrame, kind: Column, size: str = "bytes") -> DataFrame:
     return sizes.agg(F.coalesce(F.sum(F.when(kind.isin("safe-cache", "project-rebuild", "system-app"), F.col(size))), F.lit(0)).alias("reclaimable"))
 

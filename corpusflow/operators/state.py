@@ -64,9 +64,28 @@ def first_wins(tables: list[DataFrame], keys: list[str], value: str, order: str)
     return one.groupBy(*keys).agg(F.min_by(value, "__at").alias(value))
 
 
+def offset_order(value: Column) -> Column:
+    """What offsets of one kind are compared by: whole numbers by their size, times by their instant; tokens not at all.
+
+    Fields kind ('number', 'time' or 'token'), number and time. Strings are numbers if they are all digits, and times if
+    they are ISO times; columns of other types keep their type's order.
+    """
+    text = value.cast("string")
+    number = F.when(text.rlike(r"^\d{1,38}$"), text.cast("decimal(38,0)"))
+    time = F.when(text.rlike(r"^\d{4}-\d\d-\d\d"), F.try_to_timestamp(text))
+    kind = F.when(number.isNotNull(), "number").when(time.isNotNull(), "time").otherwise("token")
+    return F.struct(kind.alias("kind"), number.alias("number"), time.alias("time"))
+
+
 def merged_offsets(offsets: DataFrame, advanced: DataFrame) -> DataFrame:
-    """(source, value): the highest advanced value replaces that of the same source; other sources keep theirs."""
-    return upsert(offsets, advanced, ["source"], [F.col("value")])
+    """(source, value): the highest advanced value of a source replaces its old one, unless that is of the same kind and
+    higher, so offsets never move back; a token replaces the old one. Other sources keep theirs, and null values count
+    as none."""
+    best = advanced.where("value is not null").groupBy("source").agg(F.max_by("value", F.struct(offset_order(F.col("value")), "value")).alias("new"))
+    both = offsets.select("source", F.col("value").alias("old")).join(best, "source", "full_outer")
+    old, new = offset_order(F.col("old")), offset_order(F.col("new"))
+    higher = (old.kind == new.kind) & (old.kind != "token") & (old > new)
+    return both.select("source", F.when(F.col("new").isNull() | higher, F.col("old")).otherwise(F.col("new")).alias("value"))
 
 
 def seeded_offsets(offsets: DataFrame, sources: DataFrame) -> DataFrame:

@@ -133,6 +133,14 @@ def snk11_merged_offsets(spark, sf_dir):
     return state.merged_offsets(old, new)
 
 
+@query("select event_type as source, case event_type when 'click' then '99999999999999999999' when 'view' then '2999-01-01 00:00:00' when 'error' then max(event_id)::varchar else max(event_id)::varchar end as value from events group by 1 union all select 'mail', 'token-1'")
+def snk11_offsets_never_move_back(spark, sf_dir):
+    """Numbers of different length and times as strings, and a token, against new numbers, times and tokens."""
+    old = spark.createDataFrame([("click", "99999999999999999999"), ("view", "2999-01-01 00:00:00"), ("error", "9"), ("purchase", "INIT_PENDING"), ("mail", "token-1")], "source string, value string")
+    value = F.when(F.col("event_type") == "view", F.col("ts").cast("string")).otherwise(F.col("event_id").cast("string"))
+    return state.merged_offsets(old, table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), value.alias("value")))
+
+
 @query(f"select {_SITE} as site_id, max(page_id) as version, max_by(url, page_id) as start_url from pages group by 1")
 def snk06_site_rows(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").withColumn("site_id", html.site(F.col("url")))

@@ -86,6 +86,22 @@ def agg18_directory_sizes(spark, sf_dir):
     return reports.directory_sizes(files, 1, at_least=1000)
 
 
+_ROOTS = ["web", "web/http:", "web/https:", "none"]
+
+
+@query(f"""with f as (select 'web/' || regexp_replace(url, '[/]+', '/', 'g') as path, strlen(html)::bigint as n from pages), r as (select unnest({_ROOTS}) as root),
+p as (select root, n, string_split(substr(path, length(root) + 2), '/') as parts from f join r on starts_with(path, root || '/')),
+e as (select root, array_to_string(parts[1:k], '/') as entry, sum(n) as bytes from (select *, unnest(range(1, least(len(parts), 3) + 1)) as k from p) group by all having bytes > 2000),
+t as (select *, row_number() over (partition by root order by bytes desc, entry) as place from e qualify place <= 20),
+a as (select root, entry, bytes from t where not exists (select 1 from t o where o.root = t.root and starts_with(t.entry, o.entry || '/')))
+select root, root || '/' || entry as entry, bytes::bigint as bytes, row_number() over (partition by root order by bytes desc, entry)::int as rank from a""")
+def dsk01_sizes_per_root(spark, sf_dir):
+    """Pages as files under their address: the largest entries of several roots that lie in each other."""
+    path = F.concat(F.lit("web/"), F.regexp_replace("url", "[/]+", "/"))
+    pages = table(spark, sf_dir, "pages").select(path.alias("path"), F.octet_length("html").cast("long").alias("size_bytes"))
+    return reports.sizes_per_root(pages, _ROOTS, levels=3, at_least=2000)
+
+
 @query("select conv_id, sum(case when role = 'user' then length(text) else 0 end)::bigint as input_chars, sum(case when role = 'assistant' then length(text) else 0 end)::bigint as answer_chars from conversations group by 1")
 def agg22_usage(spark, sf_dir):
     size = lambda role: F.sum(F.when(F.col("role") == role, F.length("text")).otherwise(0))
@@ -287,6 +303,23 @@ def sca11_messages(spark, sf_dir):
     return rows.select("conv_id", "turn", intel.message_source(F.col("text")).alias("source"), intel.message_priority(F.col("text")).alias("priority"))
 
 
+@query(f"""with m as (select event_id, date_trunc('second', ts) as ts from events) select event_id, case event_id % 5 when 0 then 'email' when 1 then 'whatsapp' when 3 then 'telegram' else 'email' end as source,
+case event_id % 5 when 1 then 'P0' when 2 then 'P1' when 3 then 'P1' else 'P2' end as priority,
+case event_id % 5 when 0 then ['Please fix OPS-' || event_id || ' by Friday'] when 1 then ['- [ ] call ABC-1 and ABC-1 before March 3'] when 2 then ['TODO: EOD'] else [] end as action_items,
+case event_id % 5 when 0 then ['by Friday'] when 1 then ['before March 3'] when 2 then ['EOD'] when 3 then ['ASAP'] else [] end as deadlines,
+case event_id % 5 when 0 then ['OPS-' || event_id] when 1 then ['ABC-1'] else [] end as tickets,
+case event_id % 5 when 0 then ts - interval 7 hour when 1 then ts when 2 then ts else timestamp '{NOW}' end as message_ts from m""")
+def sca11_parsed_messages(spark, sf_dir):
+    """A message of each event, by mail, chat or neither, and all that is read from it."""
+    form = lambda f: F.date_format("ts", f)
+    n, line = F.col("event_id") % 5, F.lit("\n")
+    text = F.when(n == 0, F.concat(F.lit("From: u"), "user_id", line, F.lit("Date: Mon, "), form("d MMM yyyy HH:mm:ss"), F.lit(" +0700\nPlease fix OPS-"), "event_id", F.lit(" by Friday")))
+    text = text.when(n == 1, F.concat(F.lit("["), form("dd/MM/yy, HH:mm:ss"), F.lit("] u: site down\n- [ ] call ABC-1 and ABC-1 before March 3")))
+    text = text.when(n == 2, F.concat(F.lit("Date: "), form("yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("\nTODO: EOD"))).when(n == 3, F.lit("hi @user, ASAP")).otherwise(F.lit("Date: soon"))
+    rows = intel.parsed_messages(table(spark, sf_dir, "events").select("event_id", text.alias("m")), "m", F.lit(NOW).cast("timestamp"))
+    return rows.drop("m")
+
+
 @query("select event_id, try_cast(case when event_id % 2 = 0 then ts::varchar else 'not a time' end as timestamp) as parsed from events")
 def sca02_iso_times(spark, sf_dir):
     shown = F.when(F.col("event_id") % 2 == 0, F.col("ts").cast("string")).otherwise("not a time")

@@ -68,6 +68,8 @@ def test_word_windows(spark):
     assert [w.split()[0] for w in got] == ["w0", "w6", "w12"] and got[-1].endswith("w19")
     linked = " ".join(["a"] * 7 + ["http://x"] + ["b"] * 12)
     assert one(spark, linked, lambda c: chunking.word_windows(c, 8, 2, 3))[0].split()[-1] == "b"
+    many = " ".join(str(i) for i in range(100_001))
+    assert one(spark, many, lambda c: chunking.word_windows(c))[-1].split()[-1] == "100000"
     assert one(spark, "", lambda c: chunking.word_windows(c, 8, 2)) == [""]
 
 
@@ -335,3 +337,19 @@ def test_backup(spark, tmp_path):
     assert [r.path for r in sinks.backup_listing(rows).collect()] == ["a/config.json"]
     (tmp_path / "f").write_text("x")
     assert len(sinks.write_backup(str(tmp_path), ["f"], str(tmp_path / "o.tgz"))) == 64
+
+
+def test_offsets_by_kind(spark):
+    from corpusflow.operators import state
+
+    old = spark.createDataFrame([("a", "12"), ("b", "2024-01-02 00:00:00"), ("c", "tok9"), ("d", "5"), ("e", None), ("f", "7")], "source string, value string")
+    new = spark.createDataFrame([("a", "9"), ("a", "10"), ("b", "2024-01-02 00:00:01"), ("b", "2023-12-31 23:59:59"), ("c", "tok1"), ("d", "INIT"), ("e", "1"), ("f", None), ("g", "3"), ("g", "20")], "source string, value string")
+    assert {r.source: r.value for r in state.merged_offsets(old, new).collect()} == {"a": "12", "b": "2024-01-02 00:00:01", "c": "tok1", "d": "INIT", "e": "1", "f": "7", "g": "20"}
+
+
+def test_marks_of_the_text_itself(spark):
+    from corpusflow.functions import pii
+
+    for text, types, shown in [("\x01EMAIL_ADDRESS\x02", [], "\x01EMAIL_ADDRESS\x02"), ("\x01 a@b.example \x02\x01\x02", ["EMAIL_ADDRESS"], "\x01 <EMAIL_ADDRESS> \x02\x01\x02"), (None, None, None)]:
+        row = spark.createDataFrame([(text,)], "t string").select(pii.marked(F.col("t")).alias("m")).select(pii.types_of(F.col("m")).alias("types"), pii.unmarked(F.col("m")).alias("shown")).first()
+        assert (row.types, row.shown) == (types, shown)
