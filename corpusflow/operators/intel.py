@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusflow.operators import graph
+
 # Whole messages that only acknowledge.
 ACKNOWLEDGEMENTS = ["siap", "siaap", "oke", "oke mas", "ok", "okay", "noted", "haha", "aamiiin", "thanks", "thank you", "makasih", "terima kasih"]
 SEVERITIES = {"error": "critical", "signup": "warning"}
@@ -42,6 +44,26 @@ def clusters(items: DataFrame, key: str) -> DataFrame:
     return items.groupBy(key).agg(F.min("priority").alias("priority"), F.max_by("status", F.struct("ts", "item_id")).alias("status"), n.alias("sources"), F.count(F.lit(1)).alias("items")).withColumn("confidence", confidence(F.col("sources"), F.lit(False)))
 
 
+def linked(items: DataFrame, rare: int = 20) -> DataFrame:
+    """items (item_id, project, thread, tickets, keywords, ...) with cluster_id, the smallest item_id of the cluster.
+
+    Items are linked that name the same ticket, stand in the same thread of a project, or share, within a project, a
+    keyword that at most `rare` items of the project have; clusters are what links connect. Keywords are compared
+    without case. Threads and keywords without a project belong to the project ''. A null or empty thread, ticket or
+    keyword links nothing. Each key links its items as a star around the smallest id, whatever their number.
+    """
+    project = F.coalesce("project", F.lit(""))
+    named = lambda kind, *parts: F.concat_ws("\x1f", F.lit(kind), *parts)
+    threads = items.where(F.coalesce("thread", F.lit("")) != "").select("item_id", named("thread", project, F.col("thread")).alias("key"))
+    tickets = items.select("item_id", F.explode("tickets").alias("t")).where(F.coalesce("t", F.lit("")) != "").select("item_id", named("ticket", F.col("t")).alias("key"))
+    words = items.select("item_id", project.alias("project"), F.explode(F.array_distinct(F.transform("keywords", F.lower))).alias("w")).where(F.coalesce("w", F.lit("")) != "")
+    words = words.select("item_id", named("word", F.col("project"), F.col("w")).alias("key")).distinct()
+    few = words.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, rare)).select("key")
+    keys = threads.unionByName(tickets).unionByName(words.join(few, "key", "left_semi"))
+    found = graph.components(items.select(F.col("item_id").alias("node")), graph.stars(keys, "item_id", "key"))
+    return items.join(found.withColumnsRenamed({"node": "item_id", "component": "cluster_id"}), "item_id")
+
+
 def briefing(items: DataFrame, now: Column, mention: str = "@me") -> DataFrame:
     """Open items that say something, once each, with section and stale title.
 

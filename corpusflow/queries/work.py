@@ -121,6 +121,26 @@ def agg20_clusters(spark, sf_dir):
     return intel.clusters(_items(spark, sf_dir), "user_id")
 
 
+@query(f"""with recursive i as (select *, regexp_extract(props, '[0-9]+') as k, strftime(ts, '%Y-%m-%d') as day from events),
+w as (select event_id, 'w' || user_id || '/' || k as key from i where event_type = 'purchase'),
+keys as (select event_id, 't' || user_id || '/' || day as key from i where event_type <> 'purchase' and event_type <> 'signup' union all select event_id, 'x' || k || '/' || day from i where event_type = 'error'
+  union all select event_id, key from w where key in (select key from w group by key having count(*) <= 3)),
+reach as (select event_id as a, event_id as b from events union select r.a, y.event_id from reach r join keys x on r.b = x.event_id join keys y using (key)),
+c as (select a as item_id, min(b) as cluster_id from reach group by 1)
+select cluster_id, min(priority) as priority, arg_max(status, {{'ts': ts, 'i': item_id}}) as status, count(distinct source) as sources, count(*) as items, case when count(distinct source) >= 3 then 'High' when count(distinct source) = 2 then 'Medium' else 'Low' end as confidence from {_ITEMS} join c using (item_id) group by 1""")
+def brf03_linked_clusters(spark, sf_dir):
+    """Events of a user as a project: a day is a thread, errors name tickets, and purchases have keywords."""
+    k, kind = F.regexp_extract("props", "[0-9]+", 0), F.col("event_type")
+    day = F.date_format("ts", "yyyy-MM-dd")
+    more = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("item_id"), F.col("user_id").cast("string").alias("project"),
+        F.when(~kind.isin("purchase", "signup"), day).alias("thread"),
+        F.when(kind == "error", F.array(F.concat(k, F.lit("/"), day))).otherwise(F.array()).alias("tickets"),
+        F.when(kind == "purchase", F.array(F.concat(F.lit("K"), k))).alias("keywords"))
+    found = intel.linked(more, rare=3).select("item_id", "cluster_id")
+    return intel.clusters(_items(spark, sf_dir).join(found, "item_id"), "cluster_id")
+
+
 @query("select o_orderkey, case when o_orderpriority like '%URGENT%' then 'P0' when o_orderpriority like '%HIGH%' then 'P1' when o_orderpriority like '%MEDIUM%' then 'P2' else 'P3' end as priority from orders")
 def sca08_ticket_priority(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", scalars.ticket_priority(F.col("o_orderpriority")).alias("priority"))
