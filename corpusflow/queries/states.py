@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusflow.functions import html
 from corpusflow.operators import state
 from corpusflow.queries.registry import NOW, query
-from corpusflow.session import table
+from corpusflow.session import scratch_path, table
 
 _SITE = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
 
@@ -154,6 +154,69 @@ def stm07_hourly_windows(spark, sf_dir):
     return counted_by_window(table(spark, sf_dir, "events"))
 
 
+@query("""with e as (select user_id, ts, value, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 30 minute then 0 else 1 end as first from events),
+s as (select *, sum(first) over (partition by user_id order by ts rows unbounded preceding) as no from e)
+select user_id, min(ts) as session_start, max(ts) + interval 30 minute as session_end, count(*) as n, round(sum(value), 4) as total from s group by user_id, no""")
+def stm07_sessions(spark, sf_dir):
+    from corpusflow.streaming.windows import sessions
+
+    return sessions(table(spark, sf_dir, "events"), "user_id")
+
+
+@query("""select event_type, window_start, count(*) as n, round(sum(value), 4) as total from
+(select event_type, value, time_bucket(interval 15 minute, ts) - to_minutes(15 * unnest(range(4))) as window_start from events) group by all""")
+def stm07_sliding_windows(spark, sf_dir):
+    from corpusflow.streaming.windows import sliding
+
+    return sliding(table(spark, sf_dir, "events"), "event_type")
+
+
+@query("select event_id, event_id % 10 = 0 and ts < (select max(ts) from events where event_id % 10 <> 0) - interval 3 day as late from events")
+def stm07_late_rows(spark, sf_dir):
+    """Every tenth event comes with a second batch; what is then older than three days goes to a table of its own."""
+    from corpusflow.streaming.windows import LateRows
+
+    root, events = scratch_path(spark, "late"), table(spark, sf_dir, "events").select("event_id", "ts")
+    split = LateRows(spark, f"{root}/out", "3 days")
+    for part in ("event_id % 10 <> 0", "event_id % 10 = 0"):
+        events.where(part).write.mode("append").parquet(f"{root}/in")
+        split.run(spark.readStream.schema(events.schema).parquet(f"{root}/in"), f"{root}/checkpoint")
+    return split.on_time().select("event_id", F.lit(False).alias("late")).unionByName(split.late().select("event_id", F.lit(True).alias("late")))
+
+
+@query("select event_id, event_type as source, ts from events")
+def src25_connector_items(spark, sf_dir):
+    """Items of a folder for each source, read as a stream in two runs of which the second goes on after the first."""
+    from corpusflow.sources import connector
+
+    connector.register(spark)
+    root, events = scratch_path(spark, "connector"), table(spark, sf_dir, "events").select("event_id", "ts", F.col("event_type").alias("source"))
+    middle = events.agg(F.expr("percentile(event_id, 0.5)").cast("long")).first()[0]
+    for part in (F.col("event_id") <= middle, F.col("event_id") > middle):
+        events.where(part).write.mode("append").partitionBy("source").parquet(f"{root}/in")
+        items = spark.readStream.format(connector.NAME).schema("event_id long, source string, ts timestamp").option("path", f"{root}/in").option("order", "event_id").option("kind", "number").load()
+        sink = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{root}/out/batch={batch}")
+        items.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("event_id", "source", "ts")
+
+
+@query("select label::varchar as label, count(distinct vec_id) as n, pos, round(avg(v), 6) as mean from (select label, vec_id, unnest(embedding)::double as v, generate_subscripts(embedding, 1) - 1 as pos from embeddings) group by all")
+def stm04_running_centroids(spark, sf_dir):
+    """The vectors as a stream, a second apart, in three runs: what stands after the last equals the means of all."""
+    from corpusflow.streaming import centroids
+
+    root = scratch_path(spark, "centroids")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding", F.timestamp_seconds(F.lit(1704067200) + F.col("vec_id")).alias("ts"))
+    last = rows.agg(F.max("vec_id")).first()[0] or 0
+    for part in range(3):
+        rows.where(F.floor(F.col("vec_id") * 3 / (last + 1)) == part).write.mode("append").parquet(f"{root}/in")
+        stream = centroids.running_centroids(spark.readStream.schema(rows.schema).parquet(f"{root}/in"), lifetime=100 * (last + 1))
+        sink = lambda found, batch: found.write.mode("overwrite").parquet(f"{root}/out/batch={batch}")
+        stream.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    found = centroids.latest_centroids(spark.read.parquet(f"{root}/out"))
+    return found.select(F.col("key").alias("label"), "n", F.posexplode("centroid").alias("pos", "v")).select("label", "n", F.col("pos").cast("long").alias("pos"), F.round("v", 6).alias("mean"))
+
+
 @query()
 def ret06_ingest(spark, sf_dir):
     """The ingest plan over all pages: its chunks."""
