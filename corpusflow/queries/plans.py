@@ -91,6 +91,14 @@ def src20_jsonl_tail(spark, sf_dir):
     return files.json_lines_tail(files.numbered_lines(spark, path), "doc_id long, quality int, toxic int", 10).select("doc_id", "quality", "toxic")
 
 
+@query("select doc_id, quality, toxic from labels order by doc_id desc, quality desc, toxic desc limit 10")
+def src21_jsonl_tail(spark, sf_dir):
+    """The same ten, read from the ends of the files alone."""
+    path = scratch_path(spark, "feedback")
+    sinks.append_feedback(table(spark, sf_dir, "labels").repartition(1).sortWithinPartitions("doc_id", "quality", "toxic"), path)
+    return files.json_tail(spark, path, "doc_id long, quality int, toxic int", 10).select("doc_id", "quality", "toxic")
+
+
 @query("select count(*) as lines, sum(line_no) as numbers, max(line_no) as last from (select row_number() over () - 1 as line_no from events)")
 def src20_numbered_lines(spark, sf_dir):
     """Lines of a folder of many files are numbered without gaps."""
@@ -137,6 +145,16 @@ def snk14_backup(spark, sf_dir):
     return sinks.backup_listing(rows).select(F.regexp_extract("path", r"a/(\d+)", 1).cast("long").alias("page_id"), "sha256")
 
 
+@query("select page_id, sha256(html) as sha256, strlen(html)::bigint as size_bytes from pages where page_id % 5 not in (0, 1) and html is not null union all select null, null, 0")
+def snk14_backup_parts(spark, sf_dir):
+    """The manifest of an archive that every task writes a part of."""
+    i = F.col("page_id")
+    path = F.concat(F.when(i % 5 == 0, "a/_raw/").otherwise("a/"), i, F.when(i % 5 == 1, "/.env").otherwise(".json"))
+    rows = table(spark, sf_dir, "pages").select(path.alias("path"), F.encode("html", "UTF-8").alias("content"))
+    manifest = sinks.write_backup(rows, scratch_path(spark, "backup"))
+    return manifest.select(F.regexp_extract("path", r"a/(\d+)", 1).cast("long").alias("page_id"), "sha256", "size_bytes")
+
+
 @query("select conv_id, row_number() over (partition by conv_id order by turn) - 1 as seq, role as type from conversations")
 def snk15_event_rows(spark, sf_dir):
     steps = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("type"), F.col("text").alias("payload"))

@@ -10,7 +10,7 @@ import os
 import re
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 from xml.etree import ElementTree
 
@@ -153,6 +153,10 @@ def items(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     return spark.read.schema(ITEM).option("multiLine", not lines).json(path)
 
 
+#: Bytes that a tail reads first.
+TAIL_BLOCK = 1 << 16
+
+
 def json_lines_tail(lines: DataFrame, schema: str, n: int, line_no: str = "line_no", value: str = "value", strict: bool = False) -> DataFrame:
     """The last n lines that parse; strict raises on one that does not."""
     parsed = lines.where(F.trim(value) != "").withColumn("__j", F.try_parse_json(value))
@@ -162,6 +166,54 @@ def json_lines_tail(lines: DataFrame, schema: str, n: int, line_no: str = "line_
     return kept.select(line_no, F.from_json(value, schema).alias("r")).select(line_no, "r.*").orderBy(line_no)
 
 
+def tail_lines(spark: SparkSession, path: str, n: int, fits: Callable[[str], bool] = lambda line: bool(line.strip()), block: int = TAIL_BLOCK) -> list[str]:
+    """The last n lines that fit, in order, of a file or of a folder's files by time and name. Files are read from their
+    end, a range at a time, until enough lines are there, so the cost does not grow with the file."""
+    jvm, at = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    held = sorted((s.getModificationTime(), s.getPath().getName(), s.getLen(), s.getPath()) for s in fs.listStatus(at) if s.isFile() and not s.getPath().getName().startswith(("_", ".")))
+    out: list[str] = []
+    for _, _, size, file in reversed(held):
+        span, found = block, []
+        while True:
+            start = max(0, size - span)
+            stream = fs.open(file)
+            try:
+                stream.seek(start)
+                data = jvm.org.apache.commons.io.IOUtils.toString(stream, "ISO-8859-1").encode("latin-1")
+            finally:
+                stream.close()
+            lines = data.split(b"\n")
+            whole = lines if start == 0 else lines[1:]  # the first may have begun before
+            found = [t for x in whole if fits(t := x.decode("utf-8", "replace").removesuffix("\r"))]
+            if start == 0 or len(found) + len(out) >= n:
+                break
+            span *= 4
+        out = found + out
+        if len(out) >= n:
+            break
+    return out[-n:] if n > 0 else []
+
+
+def json_tail(spark: SparkSession, path: str, schema: str, n: int, strict: bool = True) -> DataFrame:
+    """The last n records of JSON lines, in order, from the files' ends. strict: a line among them that is no JSON
+    object raises; else such lines do not count. Blank lines never do."""
+
+    def parses(line: str) -> bool:
+        try:
+            return isinstance(json.loads(line), dict)
+        except ValueError:
+            return False
+
+    lines = tail_lines(spark, path, n) if strict else tail_lines(spark, path, n, parses)
+    if bad := [x for x in lines if not parses(x)]:
+        raise ValueError(f"{path}: not a record: {bad[0][:200]!r}")
+    rows = spark.createDataFrame(list(enumerate(lines)), "line_no long, value string")
+    return rows.select("line_no", F.from_json("value", schema).alias("r")).select("line_no", "r.*")
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, value) of a text file in order, read in splits: a line's number is its place in its task plus the lines
     of the tasks before, of which there are as many as splits."""

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import json
 import tarfile
 import uuid
-from pathlib import Path
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusflow.session import written
+
 # Sections of an audit, in order.
 SECTIONS = ["quality", "capability", "redteam", "locale_probes"]
 
@@ -154,9 +160,54 @@ def backup_listing(files: DataFrame) -> DataFrame:
     return files.where(~F.col("path").rlike(_SECRET)).select("path", F.sha2("content", 256).alias("sha256"), F.length("content").alias("size_bytes"))
 
 
-def write_backup(root: str, names: list[str], out: str) -> str:
-    """A tar.gz of the named files under root; its sha256."""
-    with tarfile.open(out, "w:gz") as tar:
-        for n in sorted(names):
-            tar.add(Path(root) / n, arcname=n)
-    return hashlib.sha256(Path(out).read_bytes()).hexdigest()
+def write_backup(files: DataFrame, out: str) -> DataFrame:
+    """Writes files (path, content) that a backup takes as parts under out, and gives back the manifest.
+
+    Each task writes one part, a row of gzip members that hold a tar entry each, under a name of its own; a part counts
+    if the manifest names it, so a task that ran twice leaves nothing twice. The parts in the order of their numbers, and
+    then the end part, are one .tar.gz: no task and not the driver holds more than a file. Manifest (also written, to
+    out/manifest): path, part, part_no, offset and stored (where the member is in its part), start (of the part in the
+    archive), size_bytes, sha256. The end part's row has no path. Paths lose a leading slash; repeated ones are repeated
+    entries, of which readers take the last.
+    """
+    spark = files.sparkSession
+    kept = files.where(~F.col("path").rlike(_SECRET) & F.col("content").isNotNull()).select(F.regexp_replace("path", "^/+", "").alias("path"), "content")
+    schema = "path string, part string, part_no int, offset long, stored long, size_bytes long, sha256 string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no = TaskContext.get().partitionId()
+        name, sink, at = f"part-{no:06d}-{uuid.uuid4().hex}.tar.gz", None, 0
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = content.as_py()
+                if sink is None:
+                    system, root = pafs.FileSystem.from_uri(out if "://" in out else f"file://{out.removeprefix('file:')}")
+                    system.create_dir(root, recursive=True)
+                    sink = system.open_output_stream(f"{root}/{name}", compression=None)
+                entry = tarfile.TarInfo(path)
+                entry.size = len(data)
+                member = gzip.compress(entry.tobuf(tarfile.PAX_FORMAT) + data + bytes(-len(data) % 512), mtime=0)
+                sink.write(member)
+                rows.append((path, name, no, at, len(member), len(data), hashlib.sha256(data).hexdigest()))
+                at += len(member)
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "part", "part_no", "offset", "stored", "size_bytes", "sha256"])
+        if sink is not None:
+            sink.close()
+
+    entries = written(kept.repartitionByRange("path").sortWithinPartitions("path").mapInArrow(run, schema), "backup")
+    starts, total = [], 0
+    for r in sorted(entries.groupBy("part_no").agg(F.sum("stored").alias("n")).collect()):  # one row a task
+        starts.append((r.part_no, total))
+        total += r.n
+    end = gzip.compress(bytes(1024), mtime=0)
+    system, root = pafs.FileSystem.from_uri(out if "://" in out else f"file://{out.removeprefix('file:')}")
+    system.create_dir(root, recursive=True)
+    with system.open_output_stream(f"{root}/end.tar.gz", compression=None) as f:
+        f.write(end)
+    last = spark.createDataFrame([(None, "end.tar.gz", 2**31 - 1, 0, len(end), 0, None, total)], f"{schema}, start long")
+    manifest = entries.join(F.broadcast(spark.createDataFrame(starts, "part_no int, start long")), "part_no").select(*last.columns).unionByName(last)
+    manifest.write.mode("overwrite").parquet(f"{out}/manifest")
+    return spark.read.schema(manifest.schema).parquet(f"{out}/manifest")

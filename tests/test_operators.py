@@ -2,6 +2,8 @@
 
 import datetime as dt
 import json
+import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -335,8 +337,63 @@ def test_rates(spark):
 def test_backup(spark, tmp_path):
     rows = spark.createDataFrame([("a/config.json", b"1"), ("a/_raw/x", b"2"), ("a/.env", b"3"), ("a/k.pem", b"4")], "path string, content binary")
     assert [r.path for r in sinks.backup_listing(rows).collect()] == ["a/config.json"]
-    (tmp_path / "f").write_text("x")
-    assert len(sinks.write_backup(str(tmp_path), ["f"], str(tmp_path / "o.tgz"))) == 64
+
+
+def test_backup_parts_are_one_archive(spark, tmp_path):
+    """Python's tarfile reads the parts one after the other, and each member where the manifest says."""
+    import gzip
+    import hashlib
+    import io
+    import tarfile
+
+    held = {f"a/{i:03d}é.bin": bytes([i]) * (i * 37) for i in range(60)} | {"/x/" + "long" * 60: b"deep", "empty": b""}
+    rows = [*held.items(), ("a/.env", b"no"), ("none", None)]
+    files_ = spark.createDataFrame(rows, "path string, content binary").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = sorted(sinks.write_backup(files_, str(tmp_path / "b")).collect(), key=lambda r: (r.part_no, r.offset))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {k.lstrip("/"): v for k, v in held.items()}
+    assert {r.path: (r.size_bytes, r.sha256) for r in manifest[:-1]} == {k: (len(v), hashlib.sha256(v).hexdigest()) for k, v in want.items()}
+    names = list(dict.fromkeys(r.part for r in manifest))
+    whole = b"".join((tmp_path / "b" / n).read_bytes() for n in names)
+    assert len(names) > 2
+    for r in manifest[:-1]:
+        assert gzip.decompress(whole[r.start + r.offset : r.start + r.offset + r.stored]).endswith(want[r.path] + bytes(-len(want[r.path]) % 512))
+    with tarfile.open(fileobj=io.BytesIO(whole), mode="r:gz") as tar:
+        assert {m.name: tar.extractfile(m).read() for m in tar} == want
+    assert [r.part for r in sinks.write_backup(files_.limit(0), str(tmp_path / "none")).collect()] == ["end.tar.gz"]
+
+
+def test_tail_from_the_end(spark, tmp_path):
+    big = tmp_path / "big.jsonl"
+    with big.open("w") as f:
+        for i in range(300_000):
+            f.write(json.dumps({"a": i, "t": "é" * 5}) + ("\r\n" if i % 2 else "\n"))
+        f.write("\n  \n")
+    got = lambda path, n, **k: [r.a for r in files.json_tail(spark, str(path), "a long", n, **k).orderBy("line_no").collect()]
+    assert got(big, 3) == [299_997, 299_998, 299_999] and got(big, 5000) == list(range(295_000, 300_000))
+    assert got(tmp_path / "absent", 3) == []
+    few = tmp_path / "few"
+    few.mkdir()
+    (few / "a.json").write_text('{"a": 1}\n{"a": 2}\n')
+    (few / "b.json").write_text('{"a": 3}\nbroken\n{"a": 4}')
+    os.utime(few / "a.json", (1, 1))
+    assert got(few, 9, strict=False) == [1, 2, 3, 4] and got(few, 1) == [4] and got(few, 0) == []
+    with pytest.raises(ValueError, match="broken"):
+        got(few, 2)
+    assert files.tail_lines(spark, str(few), 2, block=4) == ["broken", '{"a": 4}']
+
+
+def test_tail_reads_little(spark, tmp_path):
+    """The last ten lines of a file of 200 MB, most of it a hole, in ranges of under 1 MB."""
+    with (tmp_path / "f").open("wb") as f:
+        f.seek(200 << 20)
+        f.write(b"".join(b'\n{"a": %d}' % i for i in range(20)))
+    began = time.time()
+    assert [json.loads(x)["a"] for x in files.tail_lines(spark, str(tmp_path / "f"), 10)] == list(range(10, 20))
+    assert time.time() - began < 2  # a read of all of it takes longer
 
 
 def test_offsets_by_kind(spark):
