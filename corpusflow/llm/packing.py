@@ -168,7 +168,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     """One row a piece: doc_id, start, length, ids (uint32 bytes), doc_tokens, sequence_id, offset, source."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    tokens = scratch.table(tokenized(docs, tokenizer, end_id, doc_id, text, source), "tokens")
+    tokens = scratch.table(tokenized(docs, tokenizer, end_id, doc_id, text, source), "tokens", compression="zstd")
     totals = {r.source: r.n for r in tokens.groupBy("source").agg(F.sum("n").alias("n")).collect()}
     sources = sorted(totals, key=lambda s: (s is None, s or ""))
     total = sum(totals.values())
