@@ -18,6 +18,12 @@ def bounded(top_k: int, top_n: int) -> tuple[int, int]:
     return top_k, min(top_n, top_k)
 
 
+def bounded_columns(top_k: Column, top_n: Column) -> Column:
+    """struct(top_k, top_n) as bounded() has them, for requests in a table; null where a bound or a number is missed."""
+    fits = top_k.between(1, 100) & top_n.between(1, 25)
+    return F.when(fits, F.struct(top_k.alias("top_k"), F.least(top_n, top_k).alias("top_n")))
+
+
 def retrieve(docs: DataFrame, vectors: DataFrame, questions: DataFrame, embed: Callable[[Column], Column], top_k: int = 10, top_n: int = 3, acronyms: DataFrame | None = None, where: Column | None = None, score: Callable[[Column, Column], Column] | None = None, hypothesis: Column | None = None) -> DataFrame:
     """(query_id, rank, doc_id, score, text) for questions (query_id, message) that pass the guard.
 

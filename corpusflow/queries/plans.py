@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions import html
@@ -183,10 +184,12 @@ def snk01_last_write_wins(spark, sf_dir):
 # --- questions and answers ---
 
 
-@query("select k as top_k, n as top_n, least(n, k) as used from (select unnest(range(1, 101)) as k), (select unnest(range(1, 26)) as n)")
+@query("select event_id, case when k <= 100 and n between 1 and 25 then k end as top_k, case when k <= 100 and n between 1 and 25 then least(k, n) end as used from (select event_id, event_id % 120 + 1 as k, event_id % 31 as n from events)")
 def flt06_bounds(spark, sf_dir):
-    rows = [(k, n, retrieve.bounded(k, n)[1]) for k in range(1, 101) for n in range(1, 26)]
-    return spark.createDataFrame(rows, "top_k long, top_n long, used long")
+    """A request of each event, some of them out of bounds."""
+    i = F.col("event_id")
+    asked = table(spark, sf_dir, "events").select("event_id", retrieve.bounded_columns(i % 120 + 1, i % 31).alias("b"))
+    return asked.select("event_id", F.col("b.top_k").alias("top_k"), F.col("b.top_n").alias("used"))
 
 
 _SAMPLE = r"' ' || regexp_replace(lower(answer[1:2000]), '^\s+|\s+$', '', 'g') || ' '"
@@ -278,12 +281,27 @@ def evl01_answer_relevancy(spark, sf_dir):
     return evaluate.judged(samples, {metric: evaluate.quality_metrics()[metric]})
 
 
-@query()
+_SENTENCES = r"""list_filter(list_transform(string_split_regex(regexp_replace({}, '([.!?])\s+([A-ZÄÖÜ])', '\1' || chr(30) || '\2', 'g'), '\x1e|\n\n+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"""
+
+
+@query(f"""with c as (select doc_id % 200 as item_id, text, row_number() over (partition by doc_id % 200 order by text, doc_id) as rank from documents where text is not null qualify rank <= 3),
+i as (select item_id, text as answer from benchmark where item_id in (select item_id from c)),
+s as (select item_id, sentence, {_WORDS.format('sentence')} as w from (select item_id, unnest({_SENTENCES.format('answer')}) as sentence from i)),
+h as (select s.item_id, sentence, rank, case when len(w) = 0 then 1.0 else len(list_intersect(w, {_WORDS.format('c.text')})) / len(w) end >= 0.5 as held from s join c using (item_id)),
+share as (select item_id, avg(held::int) as v from (select item_id, sentence, bool_or(held) as held from (select *, row_number() over (partition by item_id, rank order by sentence) as no from h) group by item_id, sentence, no) group by 1),
+r as (select c.item_id, c.rank, coalesce(bool_or(h.held), false) as relevant from c join i using (item_id) left join h on h.item_id = c.item_id and h.rank = c.rank group by 1, 2),
+p as (select item_id, coalesce(avg(precision) filter (where relevant), 0) as v from (select *, sum(relevant::int) over (partition by item_id order by rank) / rank as precision from r) group by 1),
+a as (select item_id, case when len(q) = 0 then 1.0 else len(list_intersect(q, w)) / len(q) end as v from (select item_id, {_WORDS.format('answer')} as w, {_WORDS.format("'of the ' || c.text[1:200]")} as q from i join c using (item_id) where rank = 1)),
+v as (select 'faithfulness' as metric, v from share union all select 'contextual_recall', v from share union all select 'contextual_precision', v from p union all select 'answer_relevancy', v from a)
+select metric, round(avg(v), 4) as mean, count(*) as n, round(avg((v >= 0.7)::int), 4) as pass_rate from v group by 1""")
 def evl01_quality(spark, sf_dir):
-    """All four metrics of answers that are benchmark items, held against documents of their place in turn."""
+    """All four metrics of answers that are benchmark items, held against three documents of their place in turn."""
     made = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("answer"))
-    docs = table(spark, sf_dir, "documents").groupBy((F.col("doc_id") % 200).alias("item_id")).agg(F.slice(F.array_sort(F.collect_list("text")), F.lit(1), F.lit(3)).alias("contexts"))
-    return evaluate.judged(made.join(docs, "item_id").withColumns({"question": F.col("answer"), "ground_truth": F.col("answer")}), evaluate.quality_metrics())
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy("text", "doc_id"))
+    held = table(spark, sf_dir, "documents").where("text is not null").select((F.col("doc_id") % 200).alias("item_id"), "doc_id", "text").withColumn("place", place).where("place <= 3")
+    docs = held.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x.text).alias("contexts"))
+    asked = F.concat(F.lit("of the "), F.substring(F.get("contexts", F.lit(0)), 1, 200))
+    return evaluate.judged(made.join(docs, "item_id").withColumns({"question": asked, "ground_truth": F.col("answer")}), evaluate.quality_metrics())
 
 
 @query("select a.attack, count(*) as n, count(*) as blocked, 1.0::double as block_rate from benchmark, (select unnest(['prompt_injection', 'rot13', 'base64', 'invisible']) as attack) a group by 1")

@@ -99,9 +99,9 @@ def str16_rot13(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.rot13(F.col("text"))).alias("rotated_md5"))
 
 
-@query(r"select doc_id, unnest(regexp_extract_all(text, 'https?://\S+')) as url from documents")
+@query(r"select page_id, unnest(regexp_extract_all(html || ' ' || url, 'https?://\S+')) as url from pages")
 def str20_urls(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(text.urls_in(F.col("text"))).alias("url"))
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(text.urls_in(F.concat("html", F.lit(" "), "url"))).alias("url"))
 
 
 @query(r"select page_id, trim(trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) || ' ' || url) as body from pages")

@@ -204,10 +204,13 @@ def flt02_where_lists(spark, sf_dir):
     return _items(spark, sf_dir).where(F.col("source").isin("click", "error") & F.col("priority").isin("P0", "P2") & ~F.col("status").isin("resolved", "closed")).select("item_id", "source", "priority")
 
 
-@query(f"select since, case since when '24h' then {_NOW} - interval 24 hour when '7d' then {_NOW} - interval 7 day when '1m' then {_NOW} - interval 30 day else timestamp '2024-01-02 03:04:05' end as cutoff from (values ('24h'), ('7d'), ('1m'), ('2024-01-02T03:04:05')) t(since)")
+@query(f"""select event_id, case event_id % 4 when 0 then {_NOW} - to_hours(event_id % 99) when 1 then {_NOW} - to_days((event_id % 50)::int) when 2 then {_NOW} - to_days((30 * (event_id % 7))::int) else date_trunc('second', ts) end as cutoff from events""")
 def flt03_since_cutoff(spark, sf_dir):
-    rows = spark.createDataFrame([("24h",), ("7d",), ("1m",), ("2024-01-02T03:04:05",)], "since string")
-    return rows.withColumn("cutoff", scalars.since_cutoff(F.col("since"), _now()))
+    """Of each event a value: hours, days or months before now, or its own time."""
+    i = F.col("event_id")
+    before = lambda n, unit: F.concat(i % n, F.lit(unit))
+    since = F.when(i % 4 == 0, before(99, "h")).when(i % 4 == 1, before(50, "d")).when(i % 4 == 2, before(7, "m")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
+    return table(spark, sf_dir, "events").select("event_id", scalars.since_cutoff(since, _now()).alias("cutoff"))
 
 
 @query("select event_id, event_id % 9 + 1 as n, case when event_id % 2 = 0 then event_id % 5 + 1 else 1 end * case event_id % 3 when 0 then 1 when 1 then 60 else 3600 end as seconds from events")
