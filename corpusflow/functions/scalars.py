@@ -11,6 +11,17 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
+def iso_seconds(ts: Column) -> Column:
+    """A UTC time as ISO text with whole seconds; sessions here run in UTC."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def markers(text: Column, words: list[str]) -> Column:
+    """How often the words stand in a text between spaces, all together."""
+    found = F.split(F.lower(F.coalesce(text, F.lit(""))), " ")
+    return F.size(F.filter(found, lambda w: w.isin(words)))
+
+
 def since_cutoff(since: Column, now: Column) -> Column:
     """'24h', '7d' or '1m' (30 days each) before now; any other value is an ISO time."""
     n = F.regexp_extract(since, r"^(\d+)[hdm]$", 1)

@@ -331,3 +331,20 @@ def agg11_probe_summary(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     checks = docs.select(F.col("doc_id").alias("probe_id"), F.lit(True).alias("answered"), F.lit(True).alias("language_ok"), (F.col("doc_id") % 2 == 0).alias("source_ok"))
     return reports.probe_summary(checks)
+
+
+@query("""select '# Guards' || chr(10) || chr(10) || '| event_type | n |' || chr(10) || '|---|---|' || chr(10) || (select string_agg('| ' || event_type || ' | ' || n || ' |', chr(10) order by event_type) from (select event_type, count(*) as n from events group by 1))
+|| chr(10) || chr(10) || '## First 10 breaches' || chr(10) || chr(10) || (select string_agg('- {"event_id":' || event_id || ',"user_id":' || user_id || '}', chr(10) order by event_id) from (select * from events where event_type = 'error' order by event_id limit 10)) || chr(10) as report""")
+def snk13_security_report(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    tally = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return sinks.security_markdown("Guards", tally, events.where("event_type = 'error'").select("event_id", "user_id"), ["event_id"])
+
+
+@query("select event_type as folder, sum(strlen(props) + 1)::bigint as size_bytes from events group by 1")
+def src13_folder_walk(spark, sf_dir):
+    """Text files of a folder for each kind, and their sizes together; marks of finished writes are not among them."""
+    root = scratch_path(spark, "folder").removeprefix("file://")
+    table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), "props").write.partitionBy("kind").text(f"file://{root}")
+    found = files.folder(spark, root, ["TXT"], max_files=1_000_000)
+    return found.groupBy(F.regexp_extract("path", "/kind=([^/]+)/", 1).alias("folder")).agg(F.sum("size_bytes").alias("size_bytes"))

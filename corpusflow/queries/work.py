@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions import html, pii, scalars
 from corpusflow.functions import text as strings
-from corpusflow.functions.models import INJECTION_WORDS
+from corpusflow.functions.models import INJECTION_WORDS, TOXIC_WORDS
 from corpusflow.operators import guards, intel, items, reports
 from corpusflow.queries.registry import NOW, query
 from corpusflow.session import table
@@ -436,3 +436,38 @@ def evl01_metrics(spark, sf_dir):
     from corpusflow.plans.evaluate import judged
 
     return judged(table(spark, sf_dir, "labels"), {"quality": lambda s: s.quality.cast("double"), "harmless": lambda s: (1 - s.toxic).cast("double")})
+
+
+@query("select event_id, round(value / 3, 4) as four, round(value / 7, 2) as two from events")
+def sca03_rounded(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.round(F.col("value") / 3, 4).alias("four"), F.round(F.col("value") / 7, 2).alias("two"))
+
+
+@query("select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') as shown from events")
+def sca04_iso_seconds(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", scalars.iso_seconds(F.col("ts")).alias("shown"))
+
+
+@query("select doc_id, len(list_filter(string_split(lower(coalesce(text, '')), ' '), lambda w: w in ('the', 'und', 'que', 'di')))::int as markers from documents")
+def sca07_markers(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", scalars.markers(F.col("text"), ["the", "und", "que", "di"]).alias("markers"))
+
+
+@query(r"""with w as (select doc_id, list_distinct(regexp_extract_all(lower('the que und ' || source), '[\p{L}\p{N}_]+')) as q, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) as c from documents)
+select doc_id, round(len(list_intersect(q, c)) / len(q), 6) as score from w""")
+def udf02_pair_scores(spark, sf_dir):
+    from corpusflow.functions.models import pair_scorer
+
+    asked = F.concat(F.lit("the que und "), "source")
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(pair_scorer()(asked, F.col("text")), 6).alias("score"))
+
+
+_WORST = "greatest(" + ", ".join(f"case when list_contains(w, '{w}') then {p} else 0 end" for w, p in TOXIC_WORDS.items()) + ")::double"
+
+
+@query(f"select doc_id, {_WORST} as toxicity, {_WORST} as insult, 0.0::double as threat from (select doc_id, string_split_regex(lower(coalesce(text, '')), '[^a-zA-Z0-9_]+') as w from documents)")
+def udf03_toxicity(spark, sf_dir):
+    from corpusflow.functions.models import toxicity
+
+    scores = table(spark, sf_dir, "documents").select("doc_id", toxicity(F.col("text")).alias("t"))
+    return scores.select("doc_id", *[F.col("t")[k].alias(k) for k in ("toxicity", "insult", "threat")])

@@ -146,13 +146,17 @@ def as_html(report: Column, title: str) -> Column:
     return F.concat(F.lit(f'<!doctype html>\n<html lang="en"><head><meta charset="utf-8"><title>{title}</title></head>\n<body><pre>'), safe, F.lit("</pre></body></html>\n"))
 
 
-def markdown_report(title: str, tally: DataFrame, breaches: DataFrame, top: int = 10) -> str:
-    """A page of Markdown over tables that are small: one row a guard, and the first breaches."""
-    lines = [f"# {title}", "", "| " + " | ".join(tally.columns) + " |", "|" + "---|" * len(tally.columns)]
-    lines += ["| " + " | ".join(str(v) for v in r) + " |" for r in tally.orderBy(tally.columns[0]).collect()]
-    lines += ["", f"## First {top} breaches", ""]
-    lines += [f"- {json.dumps(r.asDict(), default=str, ensure_ascii=False)}" for r in breaches.limit(top).collect()]
-    return "\n".join(lines) + "\n"
+def security_markdown(title: str, tally: DataFrame, breaches: DataFrame, order: list[str], top: int = 10) -> DataFrame:
+    """(report): one page of Markdown: a table over tally, a row a guard, which are few, by its first column; then the first
+    `top` breaches in an order, as JSON. Null cells are empty."""
+    cells = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in tally.columns]), F.lit(" |"))
+    lines = tally.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(tally.columns[0]).alias("k"), cells.alias("l")))), lambda x: x.l).alias("rows"))
+    place = F.row_number().over(Window.orderBy(*order))  # of `top` rows
+    first = breaches.orderBy(*order).limit(top).select(place.alias("k"), F.concat(F.lit("- "), F.to_json(F.struct(*breaches.columns))).alias("l"))
+    shown = first.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "l"))), lambda x: x.l).alias("first"))
+    head = "\n".join([f"# {title}", "", "| " + " | ".join(tally.columns) + " |", "|" + "---|" * len(tally.columns), ""])
+    page = F.concat(F.lit(head), F.array_join("rows", "\n"), F.lit(f"\n\n## First {top} breaches\n\n"), F.array_join("first", "\n"), F.lit("\n"))
+    return lines.crossJoin(F.broadcast(shown)).select(page.alias("report"))  # one row each
 
 
 def backup_listing(files: DataFrame) -> DataFrame:
