@@ -241,13 +241,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     full = rows.where("n > 0")
     classes = scratch.table(full.groupBy("key").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "classes")
     nodes = full.join(classes.select("uid"), "uid", "left_semi")
-    banded = nodes.select("uid", "n", "row", F.explode("bands").alias("band"))
+    banded = nodes.select("uid", "n", F.explode("bands").alias("band"))
     hubs = scratch.table(banded.groupBy("band").agg(F.min(F.struct("uid", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").select("band", F.col("hub.uid").alias("hub"), F.col("hub.n").alias("hub_n"), "size"), "hubs")
-    few = hubs.limit(BROADCAST + 1).count() <= BROADCAST
-    members = scratch.table(banded.join(F.broadcast(hubs) if few else hubs, "band"), "members")
+    members = scratch.table(banded.join(hubs, "band"), "members")  # the same way at every size, unless Spark finds hubs small
     labels = None
     if not members.isEmpty():
-        wanted = members.groupBy("uid").agg(F.first("row").alias("row"))
+        wanted = nodes.select("uid", "row").join(members.select("uid").distinct(), "uid", "left_semi")
         sets = scratch.table(_sets(docs, doc_id, text, words, wanted), "sets")
         links = _Links(sets, scratch, percent)
         able = members.where(F.col("uid") != F.col("hub")).where(_near("n", "hub_n", percent))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusflow.functions.text import once
+from corpusflow.operators.retrieval import small
 from corpusflow.session import written
 
 MAX_FILES, MAX_BYTES = 10_000, 50 << 20
@@ -221,7 +222,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     counts = lines.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("part", "first", before.alias("before"))
-    return lines.join(F.broadcast(starts), "part").select((F.col("at") - F.col("first") + F.col("before")).alias("line_no"), "value")
+    return lines.join(small(starts), "part").select((F.col("at") - F.col("first") + F.col("before")).alias("line_no"), "value")
 
 
 def recent(files: DataFrame, n: int) -> DataFrame:
