@@ -12,14 +12,17 @@ rows beyond the least r are read. The result then equals retrieval.nearest over
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusflow.functions.scalars import dot
-from corpusflow.operators.retrieval import small, top_k
+from corpusflow.operators import products
+from corpusflow.operators.retrieval import top_k
 from corpusflow.session import written
 
 #: Rows that the centroids are fitted on, and at most so many bytes of them.
@@ -67,46 +70,88 @@ class VectorIndex:
     def _lists(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/lists")
 
-    def _bounds(self, queries: DataFrame) -> DataFrame:
-        """(query_id, list, query_vector, near, norm, r_max): each question with each list; near is <q, c>."""
-        centres = self.spark.read.parquet(f"{self.root}/centres").join(self.spark.read.parquet(f"{self.root}/sizes"), "list")
-        norm = F.sqrt(dot(F.col("query_vector"), F.col("query_vector")))
-        return queries.withColumn("norm", norm).crossJoin(F.broadcast(centres)).select("query_id", "list", "query_vector", dot(F.col("centre"), F.col("query_vector")).alias("near"), "norm", "r_max")
-
-    def _scored(self, asked: DataFrame) -> DataFrame:
-        """(query_id, doc_id, score) of the rows that asked (query_id, list, query_vector, r_min) names."""
-        needed = {r.list: r.r for r in asked.groupBy("list").agg(F.min("r_min").alias("r")).collect()}  # a row a list
-        rows = self._lists().where(F.col("list").isin(list(needed)))
-        if needed and (least := min(needed.values())) > 0:
-            rows = rows.where(F.col("r") >= least)
-        met = rows.join(small(asked), "list").where(F.col("r") >= F.col("r_min"))
-        return met.select("query_id", F.col("id").alias("doc_id"), F.round(dot(F.col("v"), F.col("query_vector")), 6).alias("score"))
+    def _bounds(self, asked: products.Questions, probes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(near, norm, r_max, first) of questions and lists, a row a list: near is <q, c>, r_max the largest r of the
+        list; first tells the `probes` most promising lists of each question. An empty list has no r_max."""
+        rows = self.spark.read.parquet(f"{self.root}/centres").join(self.spark.read.parquet(f"{self.root}/sizes"), "list", "left").orderBy("list").collect()  # a row a list
+        r_max = np.array([-np.inf if r.r_max is None else r.r_max for r in rows])[:, None]
+        with np.errstate(all="ignore"):
+            centres = np.array([r.centre for r in rows]).reshape(len(rows), -1)
+            same = centres.shape[1] == asked.vectors.shape[1]
+            near = centres @ asked.vectors.T if same else np.full((len(rows), len(asked.ids)), np.nan)
+            norm = np.where(asked.whole, asked.norms, 0.0)
+            hope = np.where(r_max == -np.inf, -np.inf, np.nan_to_num(near + norm * r_max / 2, nan=np.inf))
+        first = np.zeros(near.shape, bool)
+        np.put_along_axis(first, np.argsort(-hope, axis=0, kind="stable")[:probes], True, axis=0)
+        return near, norm, r_max, first & (r_max > -np.inf)
+
+    def _rows(self, reach: np.ndarray) -> DataFrame:
+        """(doc_id, v, list, r) of the rows that reach (a row a list, the least r of each question) names, in the order of `best`."""
+        least = reach.min(1, initial=np.inf)
+        rows = self._lists().where(F.col("list").isin(np.flatnonzero(least < np.inf).tolist()))
+        if (r := float(least.min(initial=np.inf))) > 0:
+            rows = rows.where(F.col("r") >= r)
+        return rows.select(F.col("id").alias("doc_id"), "v", F.col("list").cast("long").alias("list"), "r").sortWithinPartitions("list", "doc_id")
+
+    @staticmethod
+    def _beyond(near: np.ndarray, norm: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """The r from which a row can have a score of `least`. Scores are rounded; a question without k rows so far, or
+        of a zero vector, may need any row."""
+        with np.errstate(all="ignore"):
+            r_min = (least - 2e-6 - near) / norm
+        return np.where((norm > 0) & np.isfinite(r_min), np.maximum(r_min, 0.0), 0.0)
 
     def search(self, queries: DataFrame, k: int = 10, probes: int = PROBES, exact: bool = True) -> DataFrame:
-        """(query_id, doc_id, score, rank) of queries (query_id, query_vector); ties go to the smaller id."""
-        bounds = written(self._bounds(queries.select("query_id", "query_vector")), "vector-bounds")
-        order = Window.partitionBy("query_id").orderBy(F.desc(F.col("near") + F.col("norm") * F.col("r_max") / 2), "list")
-        first = written(bounds.withColumn("at", F.row_number().over(order)).where(F.col("at") <= probes).withColumn("r_min", F.lit(0.0)), "vector-first")
-        found = top_k(self._scored(first), k)
-        if not exact:
-            return found
-        found = written(found, "vector-found")
-        least = found.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
-        beyond = bounds.join(first.select("query_id", "list"), ["query_id", "list"], "left_anti").join(small(least), "query_id", "left")
-        # scores are rounded; without k rows so far, or for a zero vector, any row may be needed
-        r_min = F.when(F.col("norm") > 0, (F.col("least") - 2e-6 - F.col("near")) / F.col("norm"))
-        beyond = written(beyond.withColumn("r_min", F.coalesce(r_min, F.lit(0.0))).where(F.col("r_min") <= F.col("r_max")), "vector-beyond")
-        return top_k(found.drop("rank").unionByName(self._scored(beyond)), k)
+        """(query_id, doc_id, score, rank) of queries (query_id, query_vector); ties go to the smaller id.
+
+        Questions are taken in blocks; a block's bounds (a number a question and list) are made by the driver.
+        """
+        id_type = queries.schema["query_id"].dataType
+        parts = []
+        for asked in products.question_blocks(queries):
+            near, norm, r_max, first = self._bounds(asked, probes)
+            reach = np.where(first, 0.0, np.inf)
+            found = top_k(products.best(self._rows(reach), asked, k, id_type, reach), k)
+            if not exact:
+                parts.append(found)
+                continue
+            found = written(found, "vector-found")
+            least = self._least(found, asked, k)
+            r_min = self._beyond(near, norm, least)
+            reach = np.where(first | (r_min > r_max), np.inf, r_min)
+            more = products.best(self._rows(reach), asked, k, id_type, reach, np.where(np.isnan(least), -np.inf, least))
+            parts.append(top_k(found.drop("rank").unionByName(more), k))
+        if not parts:
+            empty = T.StructType([T.StructField("query_id", id_type), T.StructField("doc_id", self._lists().schema["id"].dataType), T.StructField("score", T.DoubleType())])
+            return top_k(self.spark.createDataFrame([], empty), k)
+        # an id of several rows may be in several blocks
+        return parts[0] if len(parts) == 1 else top_k(reduce(DataFrame.unionByName, parts).drop("rank"), k)
+
+    @staticmethod
+    def _least(found: DataFrame, asked: products.Questions, k: int) -> np.ndarray:
+        """The k-th best score of each question of a block; NaN without one."""
+        rows = found.where(F.col("rank") == k).select("query_id", "score").toArrow()
+        scores = dict(zip(map(repr, rows.column(0).to_pylist()), rows.column(1).to_pylist(), strict=True))
+        return np.array([scores.get(repr(i)) for i in asked.ids.to_pylist()], float)
 
     def rows_in_reach(self, queries: DataFrame, k: int = 10, probes: int = PROBES) -> float:
         """Which share of all pairs of a question and a row an exact search scores."""
-        found = self.search(queries, k, probes, exact=False).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
-        bounds = written(self._bounds(queries.select("query_id", "query_vector")).drop("query_vector"), "vector-bounds")
-        order = Window.partitionBy("query_id").orderBy(F.desc(F.col("near") + F.col("norm") * F.col("r_max") / 2), "list")
-        asked = bounds.withColumn("at", F.row_number().over(order)).join(small(written(found, "vector-least")), "query_id", "left")
-        met = self._lists().select("list", "r").join(small(asked), "list")
-        read = F.count_if((F.col("at") <= probes) | F.coalesce(F.col("near") + F.col("norm") * F.col("r") >= F.col("least") - 2e-6, F.lit(True)))
-        return met.agg((read / F.count(F.lit(1))).alias("share")).first().share
+        read = pairs = 0
+        for asked in products.question_blocks(queries):
+            near, norm, _, first = self._bounds(asked, probes)
+            reach = np.where(first, 0.0, np.inf)
+            found = top_k(products.best(self._rows(reach), asked, k, queries.schema["query_id"].dataType, reach), k)
+            r_min = np.sort(np.where(first, 0.0, self._beyond(near, norm, self._least(found, asked, k))), axis=1)
+
+            def count(batches: Iterator[pa.RecordBatch], held=self.spark.sparkContext.broadcast(r_min)) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    lists, r = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                    met = sum(int(np.searchsorted(held.value[i], r[lists == i], side="right").sum()) for i in np.unique(lists))
+                    yield pa.RecordBatch.from_arrays([pa.array([met]), pa.array([len(r) * held.value.shape[1]])], ["met", "pairs"])
+
+            met, n = self._lists().select(F.col("list").cast("long"), "r").mapInArrow(count, "met long, pairs long").agg(F.sum("met"), F.sum("pairs")).first()
+            read, pairs = read + (met or 0), pairs + (n or 0)
+        return read / max(pairs, 1)
 
 
 def _fitted(points: np.ndarray, k: int) -> np.ndarray:

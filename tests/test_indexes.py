@@ -137,3 +137,14 @@ def test_nearest_makes_no_row_a_pair(spark):
     queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     plan = retrieval.nearest(vectors, queries)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Join" not in plan and "Cartesian" not in plan
+
+
+def test_vector_index_joins_no_pairs(spark, tmp_path):
+    """Lists meet their questions in matrix products, not in a join by list that holds all questions of a list."""
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
+    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    index = VectorIndex(spark, str(tmp_path / "v"))
+    index.build(vectors)
+    plan = index.search(queries)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+    assert rows(index.search(queries)) == rows(retrieval.nearest(vectors, queries))
