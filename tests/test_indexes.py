@@ -10,6 +10,8 @@ from corpusflow.functions.scalars import dot
 from corpusflow.operators import products, retrieval, text_index
 from corpusflow.operators.text_index import TextIndex
 from corpusflow.operators.vector_index import VectorIndex
+from corpusflow.queries import ranking  # noqa: F401  it registers its queries
+from corpusflow.queries.registry import QUERIES
 
 SF = "/root/testdata/sf0.01"
 
@@ -148,3 +150,8 @@ def test_vector_index_joins_no_pairs(spark, tmp_path):
     plan = index.search(queries)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Join" not in plan
     assert rows(index.search(queries)) == rows(retrieval.nearest(vectors, queries))
+
+
+def test_best_of_searches_makes_no_row_a_pair(spark):
+    plan = QUERIES["jn15_best_of_searches"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "BroadcastNestedLoopJoin" not in plan and "Cartesian" not in plan
