@@ -194,3 +194,27 @@ def test_bm25_makes_no_row_a_match(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     plan = retrieval.bm25(docs, spark.createDataFrame([(1, "the and")], "query_id long, query string"))._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Generate" not in plan and "Aggregate" not in plan
+
+
+def test_text_index_lists_are_made_where_slots_are_read(spark, monkeypatch):
+    """No row a word is shuffled: a slot's lists come from its own task, and hold what counting gives."""
+    monkeypatch.setattr(text_index, "SLOT_DOCS", 4)
+    words = corpus(spark, 30).select("doc_id", retrieval.tokens(F.col("text")).alias("words")).select("doc_id", F.size("words").alias("length"), "words")
+    lists = text_index._inverted(words)
+    assert "Exchange hashpartitioning" not in lists._jdf.queryExecution().executedPlan().toString()
+    flat = lists.where("term is not null").select("term", "slot", "tf_max", "length_min", F.explode("docs").alias("d")).collect()
+    want = {}
+    for r in words.collect():
+        for w in r.words:
+            want[w, r.doc_id, r.length] = want.get((w, r.doc_id, r.length), 0) + 1
+    assert {(r.term, r.d.doc_id, r.d.length): r.d.tf for r in flat} == want and len(flat) == len(want)
+    assert all(r.tf_max >= r.d.tf and r.length_min <= r.d.length for r in flat)
+
+
+def test_text_index_with_negative_weights(spark, tmp_path):
+    """Where all words are in over half of the documents, one without a match may be better than one with some."""
+    docs = spark.createDataFrame([(i, "a b" if i < 9 else "") for i in range(12)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "a b"), (2, "a")], "query_id long, query string")
+    index = TextIndex(spark, str(tmp_path))
+    index.add(docs, "one")
+    assert rows(index.search(asked, 5)) == rows(retrieval.bm25(docs, asked, 5))
