@@ -21,7 +21,20 @@ def session(app: str = "corpusflow", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
+#: Bytes of one Arrow batch that goes to a Python worker.
+BATCH_BYTES = 2 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by BATCH_BYTES, unless they are smaller: a worker holds a batch of texts several
+    times, and 10,000 long texts are much."""
+    if int(spark.conf.get(_BATCH).removesuffix("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
