@@ -12,7 +12,7 @@ from corpusflow.session import BATCH_BYTES, table
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-@pytest.mark.parametrize("name", ["src08_markdown", "src16_extracted"])
+@pytest.mark.parametrize("name", ["src08_markdown", "src16_extracted", "ret06_ingest"])
 def test_query_bounds_its_batches(spark, name):
     spark.conf.unset(BATCH)
     QUERIES[name](spark, "/root/testdata/sf0.001")
