@@ -11,8 +11,10 @@ Scale:
   go on: to the hubs of all their bands, then for some rounds to hubs drawn anew. All of this is one pair a member.
 - What is left in buckets of at most BUCKET members meets pair by pair. Nodes of larger ones go to an inverted index of
   their rarest shingles: two sets that are similar enough share one of the rarest (1 - t) n + 1 of each, and the place
-  where they first meet, and how many of the first they share, bound what they can share in all. Only pairs that pass this bound come out. The entries of a
-  frequent shingle are dealt into cells of CELL, so none is a task of its own. Sizes are compared before sets are read.
+  where they first meet, and how many of the first they share, bound what they can share in all. Only pairs that pass this bound come out. Of the
+  smaller set, fewer of its rarest are enough. The entries of a frequent shingle are dealt into a square of cells, so
+  none is a task of its own and copies grow with the power 1.5 of a shingle's sets; the pairs compared grow with their
+  square, as any exact search among texts that share all their shingles does. Sizes are compared before sets are read.
 - Components are found by label propagation with pointer jumping on written tables; nothing of it comes to the driver.
 
 Rules: words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; a set is the distinct runs of `words` words. A text with
@@ -38,8 +40,8 @@ WORDS, PERCENT = 5, 80
 PERMUTATIONS, PER_BAND = 64, 2
 #: Nodes of larger buckets find their remaining links through the index, after at most so many rounds of so many new hubs.
 BUCKET, ROUNDS, HUBS = 50, 3, 8
-#: Entries of one shingle in the index that meet in one cell.
-CELL = 256
+#: A shingle that N sets hold has N / CELL cells: at most about N * CELL of its pairs meet in one.
+CELL = 512
 #: So many first shingles stand with each entry, to be counted against those of others; sets with more go without.
 SHOWN = 64
 #: Places of the table that the index takes its order from, and the parts that it is added up in.
@@ -355,8 +357,8 @@ def _by_rarest(nodes: DataFrame, sets: DataFrame, scratch: Scratch, percent: int
     """(a, b): pairs of nodes (uid, n, label) of different labels, with all that are similar enough among them.
 
     Each set is ordered from its rarest shingle on, by the counts of a table of SLOTS places; any one order for all sets
-    is exact, this one keeps pairs few. What two sets share must begin within the first n - ceil(t n) + 1 of both, and
-    from there at most the shorter rest can be shared.
+    is exact, this one keeps pairs few. What two sets share must begin within the first n - ceil(t n) + 1 of the larger
+    and the first n - ceil(2 t n / (1 + t)) + 1 of the smaller one, and from there at most the shorter rest can be shared.
     """
     if nodes.isEmpty():
         return nodes.select(F.col("uid").alias("a"), F.col("uid").alias("b"))
@@ -375,17 +377,32 @@ def _by_rarest(nodes: DataFrame, sets: DataFrame, scratch: Scratch, percent: int
                 if k:
                     found = own[first[place]]
                     whole = pa.array([found.tolist() if k <= SHOWN else None] * k, pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, uid)), pa.array(np.full(k, n)), pa.array(np.full(k, label)), pa.array(found), pa.array(place + 1), whole], ["uid", "n", "label", "s", "i", "first"])
+                    smaller = pa.array(place <= n + -2 * percent * n // (100 + percent))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, uid)), pa.array(np.full(k, n)), pa.array(np.full(k, label)), pa.array(found), pa.array(place + 1), whole, smaller], ["uid", "n", "label", "s", "i", "first", "smaller"])
 
-    first = scratch.table(held.mapInArrow(rarest, "uid long, n long, label long, s long, i long, first array<long>"), "rarest")
-    cells = first.groupBy("s").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
-    entries = scratch.table(first.join(cells, "s"), "entries")
-    left = entries.select("s", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.col("uid").alias("a"), "n", F.col("label").alias("x"), "i", F.col("first").alias("p"))
-    right = entries.select("s", F.pmod(F.xxhash64("uid"), F.col("cells")).cast("int").alias("cell"), F.col("uid").alias("b"), F.col("n").alias("m"), F.col("label").alias("y"), F.col("i").alias("j"), F.col("first").alias("q"))
+    first = scratch.table(held.mapInArrow(rarest, "uid long, n long, label long, s long, i long, first array<long>, smaller boolean"), "rarest")
+    left, right = _dealt(first, scratch)
+    left = left.select("s", "cell", F.col("uid").alias("a"), "n", F.col("label").alias("x"), "i", F.col("first").alias("p"))
+    right = right.select("s", "cell", F.col("uid").alias("b"), F.col("n").alias("m"), F.col("label").alias("y"), F.col("i").alias("j"), F.col("first").alias("q"))
     enough = lambda most: (100 + percent) * most >= percent * (F.col("n") + F.col("m"))
     # what both have among their first is known where these are few; all else that they share lies behind the first of one
     rest = lambda n: F.ceil(n * percent / 100) - 1
     known = F.size(F.array_intersect("p", "q")) + F.greatest(rest(F.col("n")), rest(F.col("m")))
     few = F.col("p").isNull() | F.col("q").isNull() | enough(known)
-    met = left.join(right, ["s", "cell"]).where("a < b and x <> y").where(_near("n", "m", percent) & enough(1 + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))) & few)
-    return met.select("a", "b").distinct()
+    met = left.join(right, ["s", "cell"]).where("(n < m or n = m and a < b) and x <> y").where(_near("n", "m", percent) & enough(1 + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))) & few)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _dealt(first: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Entries (uid, s, smaller, ...) as smaller and as larger sets, with the cells (s, cell) where each of both meets each once.
+
+    A shingle's cells are a square: an entry stands in one of its rows as the smaller, in one of its columns as the larger.
+    """
+    held = first.groupBy("s").agg(F.count(F.lit(1)).alias("held"), F.count_if("smaller").alias("smaller")).where("held > 1 and smaller > 0")
+    sides = scratch.table(held.select("s", F.ceil(F.sqrt(F.col("held") / CELL)).cast("int").alias("side")), "sides")
+    few = sides.limit(BROADCAST + 1).count() <= BROADCAST
+    entries = scratch.table(first.join(F.broadcast(sides) if few else sides, "s"), "entries")
+    own, each = F.pmod(F.xxhash64("uid"), F.col("side")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("side") - 1))
+    row = entries.where("smaller").select("*", each.alias("at")).withColumn("cell", own * F.col("side") + F.col("at"))
+    column = entries.select("*", each.alias("at")).withColumn("cell", F.col("at") * F.col("side") + own)
+    return row, column

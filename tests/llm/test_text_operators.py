@@ -1,5 +1,6 @@
 """Line dedup, near dedup, decontamination, language ID, licence scan on small fixtures, against brute force."""
 
+import math
 import random
 import textwrap
 from collections import Counter
@@ -442,6 +443,42 @@ def test_near_duplicates_in_large_buckets(spark):
     assert got == dict(enumerate(parent))
 
 
+def generated(df):
+    """Rows that the Generate nodes of a collected DataFrame made."""
+    out, open_ = 0, [df._jdf.queryExecution().executedPlan()]
+    while open_:
+        node = open_.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            open_.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            open_.append(node.plan())
+        else:
+            if kind == "GenerateExec":
+                out += node.metrics().apply("numOutputRows").value()
+            open_ += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
+@pytest.mark.parametrize("sets", [60, 240])
+def test_pairs_by_rarest_of_one_large_group(spark, sets, monkeypatch):
+    """Sets that share half of their shingles: the pairs are exact, and copies of entries grow by less than the square."""
+    monkeypatch.setattr(minhash, "CELL", 4)
+    rnd = random.Random(sets)
+    shared, found = list(range(1, 41)), []
+    for i in range(sets):
+        own = found[-1] if i % 10 == 9 else set(shared) | {1000 * (i + 1) + j for j in range(rnd.randint(0, 12))}
+        found.append((own | {1000 * (i + 1) + 500}) if i % 10 == 9 else own)
+    nodes = spark.createDataFrame([(i, len(s), i) for i, s in enumerate(found)], "uid long, n long, label long")
+    held = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(found)], "uid long, sh array<long>")
+    out = minhash._by_rarest(nodes, held, minhash.Scratch(spark, "test"), 80)
+    got = {(r.a, r.b) for r in out.collect()}
+    similar = {(a, b) for b in range(sets) for a in range(b) if 100 * len(found[a] & found[b]) >= 80 * len(found[a] | found[b])}
+    assert similar and similar <= got
+    # a copy a cell of a row or column; a copy of each entry a cell made 2265 and 28925
+    assert sets < generated(out) <= 5 * sets * math.ceil((sets / 4) ** 0.5)
+
+
 def test_contained_items_of_one_page_with_all(spark):
     """A page that lists hundreds of items, one very long text, and repeated rows."""
     items = [(i, f"item number {i} asks what {i} and {i + 1} make together", 0) for i in range(300)]
